@@ -1,15 +1,38 @@
-"""The corpus operators' queries, by name."""
+"""The corpus operators' queries, by name, and SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
+from .packing import op2_concat_and_cut
+from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
+from .warc import op9_warc_round_trip
+
+OP9_SQL = """
+WITH p AS (
+  SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST(strpos('123456789abcdef', substr(h, i, 1)) AS INTEGER)), 4, '0')), '') AS bits,
+         min(page_id) OVER (PARTITION BY h) AS lead
+  FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * k + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN lead IS NULL OR page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN lead IS NULL OR page_id = lead THEN NULL ELSE lead END AS refers_to
+FROM b
+"""
 
 
 def queries():
     return {
+        "op2_concat_and_cut": op2_concat_and_cut,
+        "op4_secret_scan": op4_secret_scan,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_warc_round_trip": op9_warc_round_trip,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_warc_round_trip": OP9_SQL}
