@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .html_text import op5_composite_text_density
 from .packing import op2_concat_and_cut
+from .quality import op3_line_crf_quality
 from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .warc import op9_warc_round_trip
@@ -28,7 +30,9 @@ FROM b
 def queries():
     return {
         "op2_concat_and_cut": op2_concat_and_cut,
+        "op3_line_crf_quality": op3_line_crf_quality,
         "op4_secret_scan": op4_secret_scan,
+        "op5_composite_text_density": op5_composite_text_density,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_warc_round_trip": op9_warc_round_trip,
     }
