@@ -7,6 +7,7 @@ from .packing import op2_concat_and_cut
 from .quality import op3_line_crf_quality
 from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
+from .suffix_dedup import op6_suffix_levels
 from .warc import op9_warc_round_trip
 
 OP9_SQL = """
@@ -33,6 +34,7 @@ def queries():
         "op3_line_crf_quality": op3_line_crf_quality,
         "op4_secret_scan": op4_secret_scan,
         "op5_composite_text_density": op5_composite_text_density,
+        "op6_suffix_levels": op6_suffix_levels,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_warc_round_trip": op9_warc_round_trip,
     }
