@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op5_composite_text_density
 from .packing import op2_concat_and_cut
+from .pii import op1_pii_surrogates
 from .quality import op3_line_crf_quality
 from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
@@ -30,6 +31,7 @@ FROM b
 
 def queries():
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_concat_and_cut": op2_concat_and_cut,
         "op3_line_crf_quality": op3_line_crf_quality,
         "op4_secret_scan": op4_secret_scan,
