@@ -11,8 +11,8 @@ a level of its own rank, and the result with the next, so there are at most
 log2(batches) levels; a merge meets equal fingerprints side by side, and those
 with two suffixes or more are the candidates for long matches.
 
-A second scan takes only suffixes of such fingerprints (a bitmap of fixed size,
-which lets a few others through). Where all surroundings are equal the whole
+A second scan takes only suffixes of such fingerprints (a bitmap of bounded size,
+which lets a few others through, and only costs work where it is too full). Where all surroundings are equal the whole
 run repeats; where they differ, each distinct surrounding comes along once and
 every string in it is looked up among its fingerprint's others. A fingerprint
 with more than HOT surroundings is resolved by a distributed grouping of its
@@ -39,7 +39,9 @@ LENGTH = 200
 GRAM = 32
 BATCHES = 2
 HOT = 20_000
-FILTER_BITS = 26
+#: A bitmap's size, as a power of two: at least, at most (64 MB).
+FILTER_BITS = (20, 29)
+BLOCK = 16
 BUFFER = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -178,16 +180,29 @@ class Levels:
         self.levels = []
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits, as a power, of a bitmap for n keys: 16 a key, within FILTER_BITS."""
+    return min(max(FILTER_BITS), max(min(FILTER_BITS), (16 * n).bit_length()))
+
+
+def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    words = np.zeros(1 << (BLOCK - 6), np.int64)
+    words[pdf["word"].to_numpy(np.int64) & (len(words) - 1)] = pdf["mask"].to_numpy(np.int64)
+    return pd.DataFrame({"block": [key[0]], "words": [words.tobytes()]})
+
+
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, two set for each key: at most 2**(bits - 6) words whatever
-    the number of keys."""
+    """2**bits bits, two set for each key, put together on the executors; the
+    driver gets 2**(bits - BLOCK) blocks of 2**BLOCK bits whatever the keys."""
     spots = F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("key", bits).bitwiseAND(F.lit((1 << bits) - 1)))
     one = keys.select(F.explode(spots).alias("spot"))
     word = F.shiftrightunsigned("spot", 6).alias("word")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(F.lit(63)).cast("int"))
-    found = one.groupBy(word).agg(F.bit_or(mask).alias("mask")).toPandas()
+    found = one.groupBy(word).agg(F.bit_or(mask).alias("mask")).withColumn("block", F.shiftrightunsigned("word", BLOCK - 6))
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    per = 1 << (BLOCK - 6)
+    for row in found.groupBy("block").applyInPandas(_block, "block long, words binary").toLocalIterator():
+        out[row["block"] * per : (row["block"] + 1) * per] = np.frombuffer(row["words"], np.int64)
     return out
 
 
@@ -328,7 +343,7 @@ def _hot_runs(strings: DataFrame) -> DataFrame:
     return found.select("key", "around", F.col("back").alias("first"), F.col("back").alias("last"))
 
 
-def repeated_runs(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_runs(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """(row, start, stop): byte runs of rows(row, text) that strings of `length`
     bytes occurring twice or more cover; runs may overlap."""
     spark = rows.sparkSession
@@ -342,6 +357,7 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     matches = materialize(family.matches(), "suffix-matches")
     family.drop()
     send = spark.sparkContext.broadcast
+    bits = bitmap_bits(matches.count())
     every, mixed = send(bitmap(matches, bits)), send(bitmap(matches.filter("mixed"), bits))
     discard(matches)
     found = materialize(rows.select("row", "text").mapInPandas(_candidates(length, every, mixed, bits), _SUFFIX), "suffix-found")
