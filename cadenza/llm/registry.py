@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html_text import op5_composite_text_density
+from .itq import op10_itq_near_dedup
 from .packing import op2_concat_and_cut
 from .pii import op1_pii_surrogates
 from .quality import op3_line_crf_quality
@@ -39,6 +40,7 @@ def queries():
         "op6_suffix_levels": op6_suffix_levels,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_warc_round_trip": op9_warc_round_trip,
+        "op10_itq_near_dedup": op10_itq_near_dedup,
     }
 
 
