@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html_text import op5_composite_text_density
 from .itq import op10_itq_near_dedup
 from .packing import op2_concat_and_cut
+from .pieces import op8_sentencepiece_viterbi
 from .pii import op1_pii_surrogates
 from .quality import op3_line_crf_quality
 from .secrets import op4_secret_scan
@@ -39,6 +40,7 @@ def queries():
         "op5_composite_text_density": op5_composite_text_density,
         "op6_suffix_levels": op6_suffix_levels,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_sentencepiece_viterbi": op8_sentencepiece_viterbi,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_itq_near_dedup": op10_itq_near_dedup,
     }
