@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
-CHUNK_CHARS = 1_500_000
+CACHE_WORDS = 250_000
+CHUNK_CHARS = 1_000_000
 GROUP = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -263,6 +263,18 @@ def _decode(path: str):
     return run
 
 
+def _both(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = pieces(path)
+        for b in batches:
+            texts = [t or "" for t in b["text"]]
+            for s in _chunks(texts):
+                ids = model.encode(texts[s])
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[s], "ids": ids, "text": model.decode_batch(ids)})
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -274,6 +286,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(_decode(path), "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) with one Python worker a task."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(_both(path), "doc_id long, ids array<int>, text string")
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -283,5 +301,5 @@ def default_model() -> str:
 def op8_sentencepiece_viterbi(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    path = default_model()
-    return decode(encode(table(spark, sf_dir, "documents"), path), path).withColumn("n_tokens", F.size("ids").cast("long"))
+    found = round_trip(table(spark, sf_dir, "documents"), default_model())
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
