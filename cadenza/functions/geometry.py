@@ -78,17 +78,31 @@ def geometry_step_ok(now: Column, before: Column, scale_step: float, area_step:
     return ok & within_ratio(area(now), area(before), area_step)
 
 
-def _square_to_quad(quad: Column) -> list[Column]:
+def let(values: list[Column], f) -> Column:
+    """f of values that are each evaluated once: a lambda's variable holds them,
+    so long formulas stay as long as they are written."""
+    held = F.array(F.array(*[v.cast("double") for v in values]))
+    return F.transform(held, lambda v: f(*[v[i] for i in range(len(values))]))[0]
+
+
+def _square_to_quad(quad: Column) -> Column:
     """Unit square to quad, the last entry one."""
-    p = [(quad[i]["x"], quad[i]["y"]) for i in range(4)]
-    dx1, dx2, sx = p[1][0] - p[2][0], p[3][0] - p[2][0], p[0][0] - p[1][0] + p[2][0] - p[3][0]
-    dy1, dy2, sy = p[1][1] - p[2][1], p[3][1] - p[2][1], p[0][1] - p[1][1] + p[2][1] - p[3][1]
-    den = dx1 * dy2 - dx2 * dy1
-    g = F.try_divide(sx * dy2 - dx2 * sy, den)
-    h = F.try_divide(dx1 * sy - sx * dy1, den)
-    a, b = p[1][0] - p[0][0] + g * p[1][0], p[3][0] - p[0][0] + h * p[3][0]
-    d, e = p[1][1] - p[0][1] + g * p[1][1], p[3][1] - p[0][1] + h * p[3][1]
-    return [a, b, p[0][0], d, e, p[0][1], g, h, F.lit(1.0)]
+
+    def outer(x0, y0, x1, y1, x2, y2, x3, y3):
+        dx1, dx2, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
+        dy1, dy2, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+        den = dx1 * dy2 - dx2 * dy1
+        g, h = F.try_divide(sx * dy2 - dx2 * sy, den), F.try_divide(dx1 * sy - sx * dy1, den)
+        return let([x0, y0, x1, y1, x3, y3, g, h], inner)
+
+    def inner(x0, y0, x1, y1, x3, y3, g, h):
+        return F.array(x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h, F.lit(1.0))
+
+    return let([quad[i][a] for i in range(4) for a in ("x", "y")], outer)
+
+
+def _entries(m: Column) -> list[Column]:
+    return [m[i] for i in range(9)]
 
 
 def _adjugate(m: list[Column]) -> list[Column]:
@@ -101,9 +115,15 @@ def _times(m: list[Column], n: list[Column]) -> list[Column]:
 
 
 def homography(source: Column, target: Column) -> Column:
-    """The exact transform of four points to four; null if degenerate."""
-    m = _times(_square_to_quad(target), _adjugate(_square_to_quad(source)))
-    return F.transform(F.array(*m), lambda v: F.try_divide(v, m[8]))
+    """The exact transform of four points to four; null entries if degenerate."""
+
+    def scaled(*m):
+        return F.array(*[F.try_divide(v, m[8]) for v in m])
+
+    def composed(*v):
+        return let(_times(list(v[9:]), _adjugate(list(v[:9]))), scaled)
+
+    return let([*_entries(_square_to_quad(source)), *_entries(_square_to_quad(target))], composed)
 
 
 def canvas(width, height) -> Column:
@@ -122,10 +142,15 @@ def project(points: Column, h: Column) -> Column:
 
 def invert(h: Column) -> Column:
     """Inverse by adjugate over determinant; null entries if singular."""
-    m = [h[i] for i in range(9)]
-    adj = _adjugate(m)
-    det = m[0] * adj[0] + m[1] * adj[3] + m[2] * adj[6]
-    return F.array(*[F.try_divide(v, det) for v in adj])
+
+    def outer(*m):
+        return let([*m[:3], *_adjugate(list(m))], inner)
+
+    def inner(m0, m1, m2, *adj):
+        det = m0 * adj[0] + m1 * adj[3] + m2 * adj[6]
+        return F.array(*[F.try_divide(v, det) for v in adj])
+
+    return let(_entries(h), outer)
 
 
 def components(h: Column) -> Column:

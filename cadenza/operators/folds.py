@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 Step = Callable[[Any, tuple], tuple[Any, Any]]
 
@@ -21,7 +22,7 @@ Step = Callable[[Any, tuple], tuple[Any, Any]]
 def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, output: str, kind: str, start: Any = None) -> DataFrame:
     """df with a column `output` of type `kind`: step(state, inputs) gives the
     next state and the row's value; a series begins with `start`."""
-    schema = df.schema.add(output, kind)
+    schema = StructType([*df.schema.fields, StructField(output, _parse_datatype_string(kind))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, now = start, object()

@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Step
@@ -18,7 +19,7 @@ from ..operators.folds import Step
 def stream_fold(stream: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, output: str, kind: str, start: Any = None) -> DataFrame:
     """fold() over a stream: each micro-batch's rows of a key are taken in order
     after all earlier ones, and the state is kept between batches."""
-    schema = stream.schema.add(output, kind)
+    schema = StructType([*stream.schema.fields, StructField(output, _parse_datatype_string(kind))])
 
     def run(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = pickle.loads(state.get[0]) if state.exists else start
