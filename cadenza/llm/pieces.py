@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 CHUNK_CHARS = 1_000_000
 GROUP = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: A substring's hash, shifted so, is its place in a table's bitmap.
+_SHIFT = np.uint64(46)
 
 
 def _signs(points: np.ndarray) -> np.ndarray:
@@ -66,67 +68,68 @@ class Pieces:
         self.tables = {}
         for size in sorted({len(self.text[i]) for i in plain}):
             ids = np.array([i for i in plain if len(self.text[i]) == size])
-            keys = self._prefix(_points([self.text[i] for i in ids], size))[:, -1]
+            keys = self._prefix(_points([self.text[i] for i in ids], size))[-1]
             order = np.argsort(keys)
             if len(np.unique(keys)) != len(keys):
                 raise ValueError("two pieces share a hash")
             scores = np.array([m.get_score(int(i)) for i in ids])
-            self.tables[size] = keys[order], ids[order].astype(np.int32), scores[order]
+            there = np.zeros(1 << (64 - int(_SHIFT)), bool)
+            there[keys >> _SHIFT] = True
+            self.tables[size] = keys[order], ids[order].astype(np.int32), scores[order], there
         self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _prefix(points: np.ndarray) -> np.ndarray:
-        """Rolling hashes of each row's prefixes, the empty one first."""
-        sign = _signs(points)
-        out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+        """Rolling hashes of each row's prefixes, the empty one first; a prefix
+        length is a row of the result."""
+        sign = _signs(points).T.copy()
+        out = np.zeros((points.shape[1] + 1, len(points)), np.uint64)
         for j in range(points.shape[1]):
-            out[:, j + 1] = out[:, j] * _BASE + sign[:, j]
+            np.multiply(out[j], _BASE, out=out[j + 1])
+            out[j + 1] += sign[j]
         return out
 
-    def _viterbi(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _viterbi(self, words: list[str], length: int) -> np.ndarray:
         """Piece that ends at each position of each word on the best path, -1
-        where none ends, -2 for a character without a piece."""
+        where none ends, -2 for a character without a piece. A bitmap of the
+        keys' leading bits spares most substrings the search."""
         n = len(words)
         prefix = self._prefix(_points(words, length))
         power = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        piece = np.full((n, length + 1), -1, np.int32)
-        back = np.zeros((n, length + 1), np.int32)
+        best = np.zeros((length + 1, n))
+        piece = np.full((length + 1, n), -2, np.int32)
+        back = np.ones((length + 1, n), np.int32)
         for j in range(1, length + 1):
+            top = best[j]
+            np.add(best[j - 1], self.unknown, out=top)
             for size in range(min(j, self.longest), 0, -1):
-                score, ids = best[:, j - size] + self.unknown, None
-                if size in self.tables:
-                    keys, numbers, scores = self.tables[size]
-                    want = prefix[:, j] - prefix[:, j - size] * power[size]
-                    at = np.searchsorted(keys, want)
-                    at[at == len(keys)] = 0
-                    hit = keys[at] == want
-                    if size > 1:
-                        if not hit.any():
-                            continue
-                        score = np.where(hit, best[:, j - size] + scores[at], -np.inf)
-                        ids = numbers[at]
-                    else:
-                        score = np.where(hit, best[:, j - 1] + scores[at], score)
-                        ids = np.where(hit, numbers[at], -2)
-                elif size > 1:
+                if size not in self.tables:
                     continue
-                else:
-                    ids = np.full(n, -2, np.int32)
-                better = score > best[:, j]
-                best[better, j] = score[better]
-                piece[better, j] = ids[better]
-                back[better, j] = size
-        used = np.zeros((n, length + 1), bool)
+                keys, numbers, scores, there = self.tables[size]
+                want = prefix[j] - prefix[j - size] * power[size]
+                rows = np.flatnonzero(there[want >> _SHIFT])
+                if not len(rows):
+                    continue
+                want = want[rows]
+                at = np.searchsorted(keys, want)
+                at[at == len(keys)] = 0
+                hit = keys[at] == want
+                rows, at = rows[hit], at[hit]
+                score = best[j - size][rows] + scores[at]
+                better = score > top[rows]
+                rows, at = rows[better], at[better]
+                top[rows] = score[better]
+                piece[j, rows] = numbers[at]
+                back[j, rows] = size
+        used = np.zeros((length + 1, n), bool)
         at, rows = np.full(n, length), np.arange(n)
         while len(rows):
-            used[rows, at] = True
-            at = at - back[rows, at]
+            used[at, rows] = True
+            at = at - back[at, rows]
             going = at > 0
             rows, at = rows[going], at[going]
         piece[~used] = -1
-        return piece[:, 1:]
+        return np.ascontiguousarray(piece[1:].T)
 
     def _segment(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -213,16 +216,18 @@ class Pieces:
         return self._byte_of
 
     def decode_batch(self, rows: list[np.ndarray]) -> list[str]:
-        """decode() of each row; rows without byte pieces are joined directly."""
+        """decode() of each row; rows without byte pieces beyond ASCII are
+        joined directly."""
         if "_table" not in self.__dict__:
-            self._table = np.array([t if i not in self.skip else "" for i, t in enumerate(self.text)], object)
-            self._is_byte = np.isin(np.arange(len(self.text)), list(self.byte_of))
-        out = []
+            low = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
+            self._table = [low.get(i, "" if i in self.skip else t) for i, t in enumerate(self.text)]
+            self._beyond = np.isin(np.arange(len(self.text)), [i for i, b in self.byte_of.items() if b > 127])
+        table, out = self._table, []
         for ids in rows:
-            if self._is_byte[ids].any():
+            if self._beyond[ids].any():
                 out.append(self.decode(ids.tolist()))
             else:
-                out.append("".join(self._table[ids].tolist()).replace(SPACE, " ")[1:])
+                out.append("".join([table[i] for i in ids.tolist()]).replace(SPACE, " ")[1:])
         return out
 
 
