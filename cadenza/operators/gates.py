@@ -19,7 +19,7 @@ def cascade(steps: list[tuple[str, Column]], passed: str) -> Column:
 
 
 def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return F.lit(x) if isinstance(x, bool) else F.col(x) if isinstance(x, str) else x
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class TrackerGates:
     coverage_x: float = 0.25
     coverage_y: float = 0.20
 
-    def reason(self, mature="mature_valid_count", has_transform=F.lit(True), inliers="inlier_count", ratio="inlier_ratio", error="reprojection_error", cov_x="coverage_x", cov_y="coverage_y", geometry_ok=F.lit(True)) -> Column:
+    def reason(self, mature="mature_valid_count", has_transform=True, inliers="inlier_count", ratio="inlier_ratio", error="reprojection_error", cov_x="coverage_x", cov_y="coverage_y", geometry_ok=True) -> Column:
         """The reprojection error is always compared, even with zero."""
         return cascade(
             [
@@ -98,7 +98,7 @@ class LearnedGates:
     coverage_y: float = 0.15
     reprojection_error: float = 4.0
 
-    def reason(self, matches="match_count", has_transform=F.lit(True), inliers="inlier_count", ratio="inlier_ratio", error="reprojection_error", cov_x="coverage_x", cov_y="coverage_y", corners_ok=F.lit(True), step_ok=F.lit(True)) -> Column:
+    def reason(self, matches="match_count", has_transform=True, inliers="inlier_count", ratio="inlier_ratio", error="reprojection_error", cov_x="coverage_x", cov_y="coverage_y", corners_ok=True, step_ok=True) -> Column:
         return cascade(
             [
                 ("not_enough_matches", _c(matches) < self.matches),

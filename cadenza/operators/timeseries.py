@@ -14,11 +14,26 @@ class Series:
     def __init__(self, key: str | list[str], order: str | list[str]):
         self.key = [key] if isinstance(key, str) else list(key)
         self.order = [order] if isinstance(order, str) else list(order)
-        self.ordered = Window.partitionBy(*self.key).orderBy(*self.order)
-        self.whole = Window.partitionBy(*self.key)
-        self.all = self.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        self.past = self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.future = self.ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+    @property
+    def ordered(self):
+        return Window.partitionBy(*self.key).orderBy(*self.order)
+
+    @property
+    def whole(self):
+        return Window.partitionBy(*self.key)
+
+    @property
+    def all(self):
+        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    @property
+    def past(self):
+        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    @property
+    def future(self):
+        return self.ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
     def index(self) -> Column:
         return F.row_number().over(self.ordered) - 1
