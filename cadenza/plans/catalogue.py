@@ -732,43 +732,33 @@ def ransac_similarity(spark, d):
 
 
 def _stream(spark, d):
-    """The events as a stream of one batch."""
-    spark.sparkContext  # a live session
-    batch = observations(spark, d).select("user_id", "event_id", "ts", "value", "ok")
+    """The events as a stream; a stream's source is a folder or a glob."""
     path = f"{d}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(path)), batch
-
-
-def _folder(path: str) -> str:
-    return path.replace("events.parquet", "event[s].parquet")
-
-
-def _drained(spark, out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    run = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return spark.readStream.schema(read(spark, d, "events").schema).parquet(path.replace("events.parquet", "event[s].parquet"))
 
 
 @query(_SQL["ema_smooth"])
 def stream_fold(spark, d):
     """The averaging fold over a stream: equal to the batch fold."""
     from ..streaming.folds import stream_fold as fold
+    from ..streaming.run import drain
 
-    stream, _ = _stream(spark, d)
+    stream = _stream(spark, d)
     rows = stream.select("user_id", "event_id", "ts", "value")
     out = fold(rows, "user_id", ["ts", "event_id"], ["value"], D.Ema(0.8), "ema", "double")
-    return rounded(_drained(spark, out, "cadenza_stream_fold").select("user_id", "event_id", "ema"))
+    return rounded(drain(out).select("user_id", "event_id", "ema"))
 
 
 @query(f"""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS pairs, count(*) FILTER (WHERE event_type <> 'error') AS ok_pairs, {_r("avg(value) FILTER (WHERE event_type <> 'error')")} AS mean, {_r("max(value) FILTER (WHERE event_type <> 'error')")} AS max FROM events GROUP BY 1, 2""")
 def stream_windows(spark, d):
     """Daily stability counts over a stream, all windows."""
     from ..streaming.folds import windowed_stability
+    from ..streaming.run import drain
 
-    stream, _ = _stream(spark, d)
+    stream = _stream(spark, d)
     rows = stream.withColumn("ok", F.col("event_type") != "error")
     out = windowed_stability(rows, "user_id", "ts", "value", "ok").select("user_id", F.col("window.start").alias("start"), "pairs", "ok_pairs", "mean", "max")
-    done = _drained(spark, out, "cadenza_stream_windows", "complete")
+    done = drain(out, "complete")
     return rounded(done.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "pairs", "ok_pairs", "mean", "max"))
 
 
