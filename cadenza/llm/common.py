@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -63,5 +64,15 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def id_text(id_col: str) -> Column:
+    """An id on its way through pandas, which holds a column of whole numbers
+    with nulls as doubles and loses digits; with_id() takes it back."""
+    return F.col(f"`{id_col}`").cast("long").cast("string")
+
+
+def with_id(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text, with_id
+
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
@@ -248,8 +250,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = rows.mapInPandas(_extract, "page_id long, url string, text string")
+    rows = pages.select(id_text("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    found = with_id(rows.mapInPandas(_extract, "page_id string, url string, text string"), "page_id")
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, id_text, materialize, with_id
 from .components import components
 
 SAMPLE = 10_000
@@ -170,10 +170,10 @@ def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int =
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = MIN_COSINE, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(id_text(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     dims = rows.select(F.size("vector").alias("d")).filter("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
     dim = dims["d"] if dims else 1
-    units = materialize(rows.mapInPandas(_prepared(dim), "vec_id long, unit binary"), "itq-units")
+    units = materialize(with_id(rows.mapInPandas(_prepared(dim), "vec_id string, unit binary"), "vec_id"), "itq-units")
     real = units.filter("unit is not null")
     classes = real.groupBy("unit").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "itq-classes")

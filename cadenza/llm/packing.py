@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_text, materialize, with_id
 
 LENGTH = 1024
 SEPARATOR = 0
@@ -129,7 +129,7 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-_STORED = "doc_id long, part int, before long, n long, ids binary"
+_STORED = "doc_id string, part int, before long, n long, ids binary"
 
 
 def _tokenize(path: str, separator: int):
@@ -147,7 +147,7 @@ def _tokenize(path: str, separator: int):
     return run
 
 
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _cut(offsets: dict[int, int], kind: str, length: int, keep_ids: bool):
@@ -167,7 +167,6 @@ def _cut(offsets: dict[int, int], kind: str, length: int, keep_ids: bool):
                     s = e
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             out = pd.DataFrame(rows, columns=names + ["ids"] * keep_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return run
@@ -176,13 +175,14 @@ def _cut(offsets: dict[int, int], kind: str, length: int, keep_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, separator: int = SEPARATOR, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The boundary records: one row per piece of a document in a window of
     `length` tokens; with keep_ids also the piece's ids (array<int>)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     stored = materialize(rows.mapInPandas(_tokenize(tokenizer, separator), _STORED), "packing-ids")
     total, offsets = 0, {}
     for part, n in sorted(map(tuple, stored.groupBy("part").agg(F.sum("n")).collect())):
         offsets[part], total = total, total + n
     kind = encoder(tokenizer).kind.str
-    return stored.mapInPandas(_cut(offsets, kind, length, keep_ids), _PIECE + ", ids array<int>" * keep_ids)
+    pieces = stored.mapInPandas(_cut(offsets, kind, length, keep_ids), _PIECE + ", ids array<int>" * keep_ids)
+    return with_id(pieces, "doc_id")
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, padding: int = SEPARATOR) -> DataFrame:

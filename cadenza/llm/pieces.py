@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text, with_id
+
 SPACE = "▁"
 CACHE_WORDS = 600_000
 CHUNK_CHARS = 1_000_000
@@ -282,19 +284,20 @@ def _both(path: str):
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(_encode(path), "doc_id long, ids array<int>")
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_id(rows.mapInPandas(_encode(path), "doc_id string, ids array<int>"), "doc_id")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(doc_id, ids) with text."""
-    return encoded.select("doc_id", "ids").mapInPandas(_decode(path), "doc_id long, ids array<int>, text string")
+    rows = encoded.select(id_text("doc_id").alias("doc_id"), "ids")
+    return with_id(rows.mapInPandas(_decode(path), "doc_id string, ids array<int>, text string"), "doc_id")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """decode(encode(docs)) with one Python worker a task."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(_both(path), "doc_id long, ids array<int>, text string")
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_id(rows.mapInPandas(_both(path), "doc_id string, ids array<int>, text string"), "doc_id")
 
 
 def default_model() -> str:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text, with_id
+
 SAMPLE = 2000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -230,19 +232,16 @@ def _judge(crf: Crf | None, names: list[str]):
 def judge(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """One row per input row: doc_id, the base counts and verdict, the number of
     lines, of content lines, and the share of words that those hold."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_judge(crf, ["doc_id"]), "doc_id long, " + _JUDGED)
+    rows = docs.select(id_text("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_id(rows.mapInPandas(_judge(crf, ["doc_id"]), "doc_id string, " + _JUDGED), "doc_id")
 
 
 def keep_good(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """The rows of docs that are kept, with docs' own columns."""
-    names = docs.columns
-    inner = [f"c{i}" for i in range(len(names))]
-    text = F.col("text").alias("text")
-    plain = docs.select(*[F.col(f"`{n}`").alias(i) for n, i in zip(names, inner, strict=True)], text)
-    schema = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.dtypes, strict=True)) + ", " + _JUDGED
-    judged = plain.mapInPandas(_judge(crf, inner), schema).filter("kept")
-    return judged.select(*[F.col(i).alias(n) for n, i in zip(names, inner, strict=True)])
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
+    own = rows.schema["own"].dataType.simpleString()
+    judged = rows.mapInPandas(_judge(crf, ["own"]), f"own {own}, {_JUDGED}").filter("kept")
+    return judged.select(*[F.col("own").getField(n).alias(n) for n in docs.columns])
 
 
 def op3_line_crf_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Dfa, compile_patterns, dead_state, longest, scan_flags
+from .common import id_text, with_id
 
 CELL = 384
 
@@ -146,8 +147,9 @@ def _scan(rules: tuple[Rule, ...]):
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans array<struct<kind, start, stop>>
     (code points, end exclusive, by start and then by the rules' order)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_scan(rules), "doc_id long, spans array<struct<kind:string,start:long,stop:long>>")
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(_scan(rules), "doc_id string, spans array<struct<kind:string,start:long,stop:long>>")
+    return with_id(found, "doc_id")
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

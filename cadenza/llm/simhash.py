@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, id_text, materialize, partitions, with_id
 from .components import components
 
 SEGMENTS = 32
@@ -264,8 +264,8 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell_rows: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 7) -> DataFrame:
     """One row per input row: doc_id, fp (the fingerprint as a signed long) and
     component_id, the least id reachable over links of `distance` bits or fewer."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = materialize(rows.mapInPandas(_fingerprints(width, seed), "doc_id long, fp long"), "simhash-fp")
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fps = materialize(with_id(rows.mapInPandas(_fingerprints(width, seed), "doc_id string, fp long"), "doc_id"), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     real = nodes.filter("node is not null")
     roots = components(links(real, distance, blocks))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prepare, scratch
+from .common import materialize, partitions, prepare, scratch, with_id
 
 BUCKETS = 4096
 SHARD_BYTES = 64 << 20
@@ -100,7 +100,7 @@ def _write(target: str, roll_bytes: int):
                 if row.shard != shard:
                     close()
                     shard, roll, last = row.shard, -1, None
-                page = None if pd.isna(row.page_id) else int(row.page_id)
+                page = None if row.page_id is None else int(row.page_id)
                 if row.kind == 0:
                     refers = (page, row.digest, int(row.refers_to))
                     continue
@@ -185,6 +185,7 @@ def write_archives(pages: DataFrame, target: str, least: int = 0, shard_bytes: i
     order = ["shard", "page_id", "digest", "kind", "url"]
     n = max(1, min(shard + 1, 8 * partitions(spark)))
     dealt = told.unionByName(whole).repartitionByRange(n, "shard").sortWithinPartitions(*order)
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     manifest = materialize(dealt.mapInPandas(_write(target, roll_bytes), _MANIFEST), "warc-manifest")
     manifest.select("tmp", "name").mapInPandas(_rename(target), "name string").write.format("noop").mode("overwrite").save()
     return manifest
@@ -216,13 +217,12 @@ def records_of(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         raise ValueError("the archive ends within a record")
 
 
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_READ = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def _read(target: str):
-    def page(name: str) -> int | None:
-        digits = name.split(":")[2]
-        return int(digits) if digits else None
+    def page(name: str) -> str | None:
+        return name.split(":")[2] or None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _store(target)
@@ -238,8 +238,7 @@ def _read(target: str):
                             raise ValueError(f"damaged payload {fields['WARC-Record-ID']}")
                         refers = page(fields["WARC-Refers-To"]) if kind == "revisit" else None
                         rows.append((page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), n, digest, kind, refers))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
 
     return run
 
@@ -247,7 +246,7 @@ def _read(target: str):
 def read_archives(manifest: DataFrame, target: str) -> DataFrame:
     """One row per record of the manifest's archives; every digest is checked."""
     files = manifest.select("name").repartition(partitions(manifest.sparkSession))
-    return files.mapInPandas(_read(target), _READ)
+    return with_id(with_id(files.mapInPandas(_read(target), _READ), "page_id"), "refers_to")
 
 
 def op9_warc_round_trip(spark, sf_dir: str) -> DataFrame:

@@ -234,3 +234,14 @@ def test_collisions_are_drawn_again(spark):
     out = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
     made = [(r["kind"], r["surrogate"]) for r in out]
     assert len(out) == len(rows) == len(set(made)) and not set(made) & set(rows)
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, "the same text of words", big), (None, "other", None)], "doc_id long, text string, n_chars long")
+    from cadenza.llm import secrets, simhash
+
+    for out in (simhash.near_duplicates(df), secrets.find_secrets(df), packing.pack(df, packing.default_tokenizer()), pieces.encode(df, pieces.default_model()), quality.judge(df, None)):
+        assert {r["doc_id"] for r in out.collect()} == {big, None}
+    long = spark.createDataFrame([(big, " ".join(map(str, range(99))), big), (None, " ".join(map(str, range(99))), None)], df.schema)
+    assert {(r["doc_id"], r["n_chars"]) for r in quality.keep_good(long, None).collect()} == {(big, big), (None, None)}
