@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes that a Python worker is handed at a time; Spark's own default is 64 MB.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers started from now on import this package."""
+    """Let Python workers started from now on import this package, and bound
+    what they are handed at a time unless the session says otherwise."""
+    if spark.conf.get(_BATCH, None) == f"{64 << 20}b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
