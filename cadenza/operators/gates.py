@@ -22,6 +22,7 @@ def _c(x) -> Column:
     return F.lit(x) if isinstance(x, bool) else F.col(x) if isinstance(x, str) else x
 
 
+# The gates' default thresholds and the order of their reasons.
 @dataclass(frozen=True)
 class TrackerGates:
     mature_points: int = 20

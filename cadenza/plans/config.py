@@ -9,6 +9,7 @@ def _odd(n: int) -> bool:
     return n > 0 and n % 2 == 1
 
 
+# The defaults that make gates comparable.
 @dataclass(frozen=True)
 class Config:
     tracker: str = "flow"

@@ -3,6 +3,7 @@ inferred: a file with unknown columns loses them, a missing one reads as null.""
 
 from pyspark.sql import types as T
 
+# Column names and orders of the tables that are exchanged.
 _D, _I, _S, _B = T.DoubleType(), T.IntegerType(), T.StringType(), T.BooleanType()
 CORNERS = [f"{c}_{a}" for c in ("tl", "tr", "br", "bl") for a in ("x", "y")]
 COMPONENTS = ["translation_x", "translation_y", "rotation_deg", "scale_x", "scale_y", "scale_avg", "perspective_x", "perspective_y"]

@@ -150,6 +150,15 @@ def test_last_seconds_of_the_published_clip(spark):
     assert times.filter(Q.in_last_seconds(F.col("t"), F.lit(317 / 60.1465), 2.0)).count() == 120
 
 
+def test_published_improvement(spark):
+    rows = [("clip", "detect", 1.9267), ("clip", "flow", 1.9292), ("clip", "reference", 0.1179)]
+    df = spark.createDataFrame(rows, "scenario string, method string, p95 double")
+    r = A.improvement_ratio(df, ["scenario"], "method", "p95", "detect", "reference").first()
+    assert round(r["improvement"], 1) == 16.3
+    wide = A.method_pivot(df, ["scenario"], "method", "p95", ["detect", "flow", "reference"]).first()
+    assert tuple(wide) == ("clip", 1.9267, 1.9292, 0.1179)
+
+
 def test_summary_of_nothing_is_null(spark):
     df = series(spark, {"v": [(1.0, False)]})
     r = A.summarize(df, "video", {"m": F.col("value")}, F.col("ok")).first()
