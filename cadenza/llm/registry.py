@@ -30,6 +30,55 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+#: Every 200-byte string, as hexadecimal digits, counted over all documents.
+OP6_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT rid, o, substr(h, 2 * o + 1, 1398) AS h FROM (SELECT rid, h, unnest(range(0, greatest(0, length(h) // 2 - 199), 500)) AS o FROM d)
+), w AS MATERIALIZED (
+  SELECT rid, o + i AS s, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT rid, o, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM c)
+), r AS (
+  SELECT rid, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), e AS (
+  SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM r
+), g AS (
+  SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS island FROM e
+), span AS (
+  SELECT rid, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY rid, island
+), cut AS (
+  SELECT rid, a, b FROM span UNION ALL SELECT rid, length(h) // 2, NULL FROM d
+), part AS (
+  SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a, b NULLS LAST), 0) AS a, a AS b FROM cut
+), kept AS (
+  SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM part JOIN d USING (rid) GROUP BY rid
+), total AS (
+  SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY rid
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN total USING (rid)
+"""
+
+#: All pairs, in double precision.
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS MATERIALIZED (
+  SELECT rid, vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), l AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND list_dot_product(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b
+), c AS (
+  SELECT reach.a AS rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY reach.a
+), n AS (
+  SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
 
 def queries():
     return {
@@ -47,4 +96,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_warc_round_trip": OP9_SQL}
+    return {"op6_suffix_levels": OP6_SQL, "op9_warc_round_trip": OP9_SQL, "op10_itq_near_dedup": OP10_SQL}
