@@ -31,8 +31,8 @@ from .common import id_text, materialize, with_id
 
 LENGTH = 1024
 SEPARATOR = 0
-CACHE_WORDS = 600_000
-CHUNK_CHARS = 1_500_000
+CACHE_WORDS = 300_000
+CHUNK_CHARS = 1_000_000
 #: The byte-level pre-tokenizer's pattern (a fixed value of that format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -143,6 +143,7 @@ def _tokenize(path: str, separator: int):
             at = before + np.cumsum(n) - n
             before += int(n.sum())
             yield pd.DataFrame({"doc_id": b["doc_id"], "part": part, "before": at, "n": n, "ids": ids})
+        model.known.clear()  # workers are used again, by other operators too
 
     return run
 

@@ -361,6 +361,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     every, mixed = send(bitmap(matches, bits)), send(bitmap(matches.filter("mixed"), bits))
     discard(matches)
     found = materialize(rows.select("row", "text").mapInPandas(_candidates(length, every, mixed, bits), _SUFFIX), "suffix-found")
+    every.destroy()
+    mixed.destroy()
     first = lambda c: F.first(c).alias(c)
     classes = found.groupBy("key", "around").agg(F.count("*").alias("n"), first("head"), first("tail"), first("body"))
     dealt = classes.repartition(partitions(spark), "key").sortWithinPartitions("key")
