@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm import packing, pii, quality, simhash, suffix_dedup
+from cadenza.llm import minhash, packing, pii, quality, suffix_dedup
 from cadenza.llm.common import materialize, prepare, table
 
 
@@ -18,6 +18,15 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+_ROW = "corpus_pipeline_row"
+
+
+def _row(docs: DataFrame):
+    """Names a row by its text's hash and then all of its columns'; rows with
+    the same name are the same in every column."""
+    return F.concat(F.md5(F.coalesce("text", F.lit(""))), F.lit("-"), F.hex(F.xxhash64(*docs.columns)), F.hex(F.hash(*docs.columns)))
+
+
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go."""
     prepare(spark)
@@ -25,13 +34,16 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays, once;
-    rows without an id can't be named and stay."""
+    """Of each group of documents joined by chains of Jaccard similarity 0.8 or
+    more over shingles of five words, the document of least id stays, once; rows
+    without an id can't be named and stay."""
     prepare(spark)
-    found = simhash.near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    named = docs.filter("doc_id is not null").withColumn(_ROW, _row(docs))
+    found = minhash.near_duplicates(named.select(F.col(_ROW).alias("row"), "text"))
+    ids = named.select(F.col(_ROW).alias("row"), "doc_id").distinct()
+    lead = found.distinct().join(ids, "row").groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    kept = named.join(lead.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_strings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
