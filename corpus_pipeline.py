@@ -34,16 +34,17 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by chains of Jaccard similarity 0.8 or
-    more over shingles of five words, the document of least id stays, once; rows
-    without an id can't be named and stay."""
+    """Of each group of rows joined by chains of Jaccard similarity 0.8 or more
+    over shingles of five words one row stays: the one of least id (none comes
+    last), of these the one of least text hash. Ids may repeat or be null."""
     prepare(spark)
-    named = docs.filter("doc_id is not null").withColumn(_ROW, _row(docs))
+    named = docs.withColumn(_ROW, _row(docs))
     found = minhash.near_duplicates(named.select(F.col(_ROW).alias("row"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     ids = named.select(F.col(_ROW).alias("row"), "doc_id").distinct()
-    lead = found.distinct().join(ids, "row").groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    kept = named.join(lead.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    lead = found.distinct().join(ids, "row").groupBy("component").agg(F.min(order).alias("lead"))
+    kept = named.join(lead.select(F.col("lead.row").alias(_ROW)), _ROW, "left_semi")
+    return kept.dropDuplicates([_ROW]).select(*docs.columns)
 
 
 def repeated_strings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,15 @@ def test_sketch_and_minima_follow_the_similarity():
     true = similarity(set(a.tolist()), set(b.tolist()))
     assert abs((minhash.minima(a) == minhash.minima(b)).mean() - true) < 0.12
     assert minhash.alike(a, a) and minhash.alike(a, b) == (true >= 0.8)
+
+
+def test_rows_are_decided_by_row_not_by_id(spark):
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(120)) for _ in range(8)]
+    near = " ".join(edited(text[0].split(), 1, rng))
+    rows = [(1, text[0], "a"), (5, near, "a"), (5, text[1], "a"), (5, text[2], "a"), (5, text[2], "b"), (5, text[2], "b"), (None, text[3], "a"), (None, text[3], "b"), (None, text[0], "a"), (7, text[4], "a"), (None, text[4], "a"), (None, None, "a"), (9, "", "a")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        want = [(1, text[0]), (5, text[1]), (5, text[2]), (None, text[3]), (7, text[4]), (9, "")]
+        assert sorted(out, key=str) == sorted(want, key=str)
