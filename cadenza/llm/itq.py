@@ -1,17 +1,20 @@
 """Embedding near-duplicates by iterative quantisation.
 
-Equal directions are one class, so copies cost one row. A rotation that balances
-and decorrelates the signs of centred vectors is learned on a bounded sample by
-alternating signs and a Procrustes step; TURNS such rotations, from different
-random starts, give codes of TURNS x dimension bits. A code is cut into tables
-of TABLE_BITS bits. Each class is stored under its own word in every table and
-looked up under all words within RADIUS bits of it; of the classes that meet,
-those whose whole codes differ in at most MAX_BITS bits are ranked again with
-the original vectors in double precision, and pairs with a cosine of MIN_COSINE
-or more are links. All rows are indexed and looked up; the sample only fits the
-rotations.
-
-Vectors that are null, zero or hold null or non-finite components link with
+Equal directions are one class, so copies cost one row. A rotation that keeps
+vectors far from its sign changes is learned on a bounded sample by alternating
+signs and a Procrustes step; vectors aren't centred, as that widens the angles
+between vectors that share a mean. Such rotations, from different random starts,
+give codes of TABLES words of TABLE_BITS bits. Each class is stored under its
+own word in every table and looked up under all words within RADIUS bits of it.
+A bit differs with probability acos(c) / pi at cosine c if rotations are random,
+so a pair at exactly 0.9 meets in one table with 0.31 and in none of 24 with
+1.4e-4 if tables are independent. Of the classes that meet, those whose codes'
+first CUT_BITS bits differ in at most CUT_DEVIATIONS standard deviations more
+than expected at MIN_COSINE are ranked again with the original vectors in double
+precision, and pairs with a cosine of MIN_COSINE or more are links. All rows are
+indexed and looked up; the sample only fits the rotations.
+
+Vectors of one dimension are a group of their own. Vectors that are null, zero or hold null or non-finite components link with
 nothing and are their own component. A null id takes part in links, but never
 names a component; repeated ids are vectors of their own.
 """
@@ -19,6 +22,7 @@ names a component; repeated ids are vectors of their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,22 +34,21 @@ from .common import discard, id_text, materialize, with_id
 from .components import components
 
 SAMPLE = 10_000
-TURNS = 2
+TABLES = 24
 TABLE_BITS = 16
 RADIUS = 1
-MAX_BITS = 0.29
+CUT_BITS = 128
+CUT_DEVIATIONS = 5
 MIN_COSINE = 0.9
 ROUNDS = 30
 SEED = 42
 
 
-def fit(sample: np.ndarray, turns: int = TURNS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, projection of dimension x bits) for unit vectors."""
+def fit(sample: np.ndarray, turns: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """Projection of dimension x bits for unit vectors."""
     d = sample.shape[1]
-    centre = sample.mean(0)
-    x = sample - centre
-    _, axes = np.linalg.eigh(x.T @ x)
-    v = x @ axes
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    v = sample @ axes
     rng = np.random.default_rng(seed)
     parts = []
     for _ in range(turns):
@@ -55,7 +58,13 @@ def fit(sample: np.ndarray, turns: int = TURNS, rounds: int = ROUNDS, seed: int
             u, _, w = np.linalg.svd(v.T @ signs)
             r = u @ w
         parts.append(axes @ r)
-    return centre, np.hstack(parts)
+    return np.hstack(parts)
+
+
+def most_bits(bits: int, least: float) -> int:
+    """Differing bits of `bits` at cosine `least` that are hardly ever passed."""
+    p = np.arccos(least) / np.pi
+    return int(np.ceil(bits * p + CUT_DEVIATIONS * np.sqrt(bits * p * (1 - p))))
 
 
 def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +84,14 @@ def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     return scaled / np.where(norm > 0, norm, 1)[:, None], good
 
 
-def _prepared(dim: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            vectors = [v if v is not None and len(v) == dim else None for v in b["vector"]]
-            unit, good = _unit(vectors)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "unit": [u.tobytes() if g else None for u, g in zip(unit, good, strict=True)]})
-
-    return run
+def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        vectors, units = list(b["vector"]), [None] * len(b)
+        for dim in {len(v) for v in vectors if v is not None}:
+            own = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+            for i, u, g in zip(own, *_unit([vectors[i] for i in own]), strict=True):
+                units[i] = u.tobytes() if g else None
+        yield pd.DataFrame({"vec_id": b["vec_id"], "unit": units})
 
 
 def _words(code: np.ndarray, table_bits: int) -> np.ndarray:
@@ -96,7 +105,7 @@ def _flips(table_bits: int, radius: int) -> np.ndarray:
     return np.array(masks, np.int64)
 
 
-def _coded(dim: int, centre: np.ndarray, project: np.ndarray, table_bits: int, masks: np.ndarray):
+def _coded(dim: int, project: np.ndarray, table_bits: int, masks: np.ndarray):
     """One row per class, table and word: (spot, cls, code)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +113,8 @@ def _coded(dim: int, centre: np.ndarray, project: np.ndarray, table_bits: int, m
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
                 x = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(-1, dim)
-                bits = (x - centre) @ project >= 0
-                raw = [r.tobytes() for r in np.packbits(bits, axis=1)]
+                bits = x @ project >= 0
+                raw = [r.tobytes() for r in np.packbits(bits[:, :CUT_BITS], axis=1)]
                 words = _words(bits, table_bits)
                 for t in range(words.shape[1]):
                     spot = (words[:, t, None] ^ masks[None, :]) + (t << table_bits)
@@ -146,18 +155,18 @@ def _ranked(dim: int, least: float):
     return run
 
 
-def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int = SAMPLE, table_bits: int = TABLE_BITS, radius: int = RADIUS, max_bits: float = MAX_BITS) -> DataFrame:
+def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int = SAMPLE, tables: int = TABLES, table_bits: int = TABLE_BITS, radius: int = RADIUS) -> DataFrame:
     """(a, b, cosine), a < b, over classes(cls, unit)."""
     picked = classes.orderBy(F.xxhash64("unit")).limit(sample).select("unit").collect()
     x = np.frombuffer(b"".join(r["unit"] for r in picked), np.float64).reshape(-1, dim) if picked else np.zeros((1, dim))
-    centre, project = fit(x, turns=max(TURNS, -(-2 * 64 // dim)))
+    project = fit(x, turns=-(-tables * table_bits // dim))[:, : tables * table_bits]
     schema = "spot long, cls long, code binary"
     own, around = np.zeros(1, np.int64), _flips(table_bits, radius)
-    stored = classes.mapInPandas(_coded(dim, centre, project, table_bits, own), schema)
-    probed = classes.mapInPandas(_coded(dim, centre, project, table_bits, around), schema)
+    stored = classes.mapInPandas(_coded(dim, project, table_bits, own), schema)
+    probed = classes.mapInPandas(_coded(dim, project, table_bits, around), schema)
     stored = stored.select("spot", F.col("cls").alias("a"), "code")
     probed = probed.select("spot", F.col("cls").alias("b"), F.col("code").alias("code2"))
-    limit = int(max_bits * project.shape[1])
+    limit = most_bits(min(CUT_BITS, project.shape[1]), least)
     met = stored.join(probed, "spot").filter("a < b").select("a", "b", "code", "code2")
     pairs = materialize(met.mapInPandas(_near(limit), "a long, b long").distinct(), "itq-pairs")
     left = classes.select(F.col("cls").alias("a"), F.col("unit").alias("ua"))
@@ -171,13 +180,13 @@ def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int =
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = MIN_COSINE, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(id_text(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    dims = rows.select(F.size("vector").alias("d")).filter("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 1
-    units = materialize(with_id(rows.mapInPandas(_prepared(dim), "vec_id string, unit binary"), "vec_id"), "itq-units")
+    units = materialize(with_id(rows.mapInPandas(_prepared, "vec_id string, unit binary"), "vec_id"), "itq-units")
     real = units.filter("unit is not null")
     classes = real.groupBy("unit").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "itq-classes")
-    found = links(classes.select("cls", "unit"), dim, least, **options)
+    dims = sorted(r["d"] for r in classes.select((F.octet_length("unit") / 8).cast("int").alias("d")).distinct().collect()) or [1]
+    found = [links(classes.filter(F.octet_length("unit") == 8 * d).select("cls", "unit"), d, least, **options) for d in dims]
+    found = reduce(DataFrame.unionByName, found)
     size = classes.select("cls", "n")
     ends = found.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     others = ends.join(size.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("n").alias("others"))
