@@ -10,7 +10,9 @@ body is the threshold. The seed's article or main element is the main text if
 it has one; else every branch off the path whose density reaches the threshold
 adds its own greatest-sum subtree. Menus, page headers, footers, side bars,
 notices, adverts, forms, comments and hidden parts are recognised by element,
-role or class words and count for nothing.
+role or class words and count for nothing, unless they hold the article or main
+element or half of the page's text outside links: those are plain blocks, and
+their parts are judged each by itself. If nothing is left, all words are ignored.
 
 Blocks are the text between block-level tags, character references decoded,
 white space made one space; <br> is white space. A null, blank or tagless page
@@ -55,6 +57,11 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 OUT_TAG = frozenset("nav footer aside form dialog menu search button select fieldset svg math canvas object audio video head".split()) | RAW
+#: What is no text of the page wherever it stands.
+NEVER = frozenset("button select svg math canvas object audio video head".split()) | RAW
+#: Least share of the page's text outside links that makes a part a plain block,
+#: and least share in another article or main element that prevents it.
+WRAPS, ELSEWHERE = 0.5, 0.1
 OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 OUT_WORD = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement adsense "
@@ -93,7 +100,8 @@ def _is_out(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class _Tree:
-    """Nodes by number, parents before children; events in page order are
+    """Nodes by number, parents before children; `out` is each node's own mark,
+    and `core` tells what is or is within an article or main element; events in page order are
     (node, text) or (node, None) at a block's edge."""
 
     def __init__(self, html: str):
@@ -156,7 +164,7 @@ class _Tree:
             tag.append(name)
             up.append(parent)
             core.append(core[parent] or name in ("article", "main"))
-            out.append(out[parent] or _is_out(name, attrs, core[parent]))
+            out.append(_is_out(name, attrs, core[parent]))
             if name in BLOCK:
                 events.append((node, None))
             elif name == "br":
@@ -180,12 +188,46 @@ def _density(c: int, t: int, lc: int, lt: int, ratio: float) -> float:
     return c / t1 * math.log(max(c / lc1 * t1 / lt1, 1)) / math.log(max(base, 1.0001)) if base > 1 else c / t1
 
 
+def _left_out(tree: _Tree, words: bool = True) -> list[bool]:
+    """Nodes that count for nothing; without `words` only those that never do."""
+    n, tag, up = len(tree.tag), tree.tag, tree.up
+    never, link = [False] * n, [False] * n
+    for k in range(1, n):
+        never[k] = never[up[k]] or tag[k] in NEVER
+        link[k] = link[up[k]] or tag[k] == "a"
+    if not words:
+        return never
+    text, core = [0] * n, 0
+    holds = [tag[k] in ("article", "main") and not tree.out[k] for k in range(n)]
+    for node, t in tree.events:
+        if t is not None and not never[node] and not link[node]:
+            text[node] += len("".join(t.split()))
+    within = holds[:]
+    for k in range(1, n):
+        within[k] = within[k] or within[up[k]]
+        core += text[k] if within[k] else 0
+    for k in range(n - 1, 0, -1):
+        text[up[k]] += text[k]
+        holds[up[k]] = holds[up[k]] or holds[k]
+    out = never[:]
+    for k in range(1, n):
+        if tree.out[k] and not never[k] and not holds[k]:
+            other = core - (text[k] if within[k] else 0)
+            out[k] = text[k] < WRAPS * text[0] or not text[k] or other >= ELSEWHERE * text[0]
+        out[k] = out[k] or out[up[k]]
+    return out
+
+
 def extract(html: str | None) -> str:
     """The main text of one whole page."""
     if not html:
         return ""
     tree = _Tree(html)
-    n, tag, up, out = len(tree.tag), tree.tag, tree.up, tree.out
+    return _main(tree, _left_out(tree)) or _main(tree, _left_out(tree, words=False))
+
+
+def _main(tree: _Tree, out: list[bool]) -> str:
+    n, tag, up = len(tree.tag), tree.tag, tree.up
     chars, tags, link_chars, links = [0] * n, [0] * n, [0] * n, [0] * n
     events = [(node, text if text is None else unescape(text)) for node, text in tree.events if not out[node]]
     for node, text in events:
