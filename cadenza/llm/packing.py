@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,10 +33,18 @@ from .common import id_text, materialize, with_id
 
 LENGTH = 1024
 SEPARATOR = 0
-CACHE_WORDS = 300_000
+#: Parts of texts in one of a worker's two cache generations.
+CACHE_PARTS = 200_000
 CHUNK_CHARS = 1_000_000
-#: The byte-level pre-tokenizer's pattern (a fixed value of that format).
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The byte-level pre-tokenizer's pattern on ASCII text (a fixed value of that format).
+_LEVEL = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+_ASCII_LEVEL = re.compile(_LEVEL, re.A)
+#: Letters of the Latin, Greek and Cyrillic blocks, which all versions of Unicode in use agree on.
+_LETTER = "A-Za-z" + "".join(c for c in map(chr, range(0x80, 0x530)) if c.isalpha())
+#: The same with runs of such letters; what begins otherwise and has other characters goes up to white space.
+_MIXED_LEVEL = re.compile(rf" ?[{_LETTER}]++(?![^\x00-\x7f])| ?[\x00-\x08\x0e-\x1f!-\x7f]*+[^\x00-\x7f]\S*|{_LEVEL}", re.A)
+_LETTERS = re.compile(f" ?[{_LETTER}]+")
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -45,72 +55,72 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def rank_encoder(path: str):
-    """The same ids by rank merging, for a plain byte-level vocabulary: no
-    normalizer or prefix space, merges in the order of their results' ids.
-    None for any other file."""
-    import tiktoken
-
-    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level with no normalizer, prefix space
+    or dropout, so that parts of a text can be tokenized apart."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    if not plain or spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout"):
-        return None
-    vocab = {k: v for k, v in model["vocab"].items() if k not in special}
-    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-    made = [vocab[m.replace(" ", "")] for m in merges]
-    if made != sorted(made) or len(set(made)) != len(made) or sorted(vocab.values()) != list(range(len(vocab))):
-        return None
-    sign = _byte_of_sign()
-    ranks = {bytes(sign[c] for c in k): v for k, v in vocab.items()}
-    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return level and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
 
 
 class Encoder:
-    """Ids of whole texts as bytes. A single space between other characters
-    begins a pre-token, so a text is cut there and each distinct part is
-    tokenized once. A text with other white space beside a space is tokenized
-    whole."""
+    """Ids of whole texts as bytes, all made by the tokenizers library. A text
+    is cut where a pre-token begins: ASCII and plain letters into single
+    pre-tokens, which the library's model tokenizes, the rest at white space,
+    and that goes through the whole tokenizer; each distinct part once. A text with an added
+    token's string or with white space beyond ASCII goes through it uncut."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.ranks = rank_encoder(path)
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.plain = _plain(spec)
+        self.sign = {b: c for c, b in _byte_of_sign().items()}
         self.code = "H" if self.model.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.known: dict[str, bytes | None] = {}
+        self.known: list[dict[str, bytes]] = [{}, {}]
+
+    def forget(self) -> None:
+        self.known = [{}, {}]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The cache, with the ids of all these parts of texts."""
+        if len(self.known[0]) > CACHE_PARTS:
+            self.known = [{}, self.known[0]]
+        known, old = self.known
+        new = parts.difference(known)
+        one, sign, code, letters = self.model.model.tokenize, self.sign, self.code, _LETTERS.fullmatch
+        beyond = []
+        for p in new:
+            if p in old:
+                known[p] = old[p]
+            elif p.isascii() or letters(p):
+                known[p] = array(code, [t.id for t in one(p.encode().decode("latin-1").translate(sign))]).tobytes()
+            else:
+                beyond.append(p)
+        known.update(zip(beyond, self._whole(beyond), strict=True))
+        return known
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        if self.ranks is None:
-            return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
-        one, code = self.ranks.encode_ordinary, self.code
-        return [array(code, one(t)).tobytes() for t in texts]
+    def _parts(self, text: str) -> list[str] | None:
+        if any(a in text for a in self.added):
+            return None
+        if text.isascii():
+            return _ASCII_LEVEL.findall(text)
+        return None if _OTHER_SPACE.search(text) else _MIXED_LEVEL.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.ranks is None:
-            return self._raw(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, rows, new = self.known, [t.split(" ") for t in texts], set()
-        for words in rows:
-            new.update(words)
-        new = [w for w in new if w not in known]
-        inner = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]
-        ids = iter(self._raw([" " + w for w, ok in zip(new, inner, strict=True) if ok]))
-        known.update((w, next(ids) if ok else None) for w, ok in zip(new, inner, strict=True))
-        out = []
-        for t, words in zip(texts, rows, strict=True):
-            parts = [known[w] for w in words]
-            if None in parts:
-                out += self._raw([t])
-            else:
-                parts[0] = self._raw(words[:1])[0]
-                out.append(b"".join(parts))
-        return out
+        rows = [self._parts(t) if self.plain else None for t in texts]
+        known = self._learn(set(chain.from_iterable(r for r in rows if r)))
+        whole = iter(self._whole([t for t, r in zip(texts, rows, strict=True) if r is None]))
+        return [next(whole) if r is None else b"".join([known[p] for p in r]) for r in rows]
 
 
 @cache
@@ -143,7 +153,7 @@ def _tokenize(path: str, separator: int):
             at = before + np.cumsum(n) - n
             before += int(n.sum())
             yield pd.DataFrame({"doc_id": b["doc_id"], "part": part, "before": at, "n": n, "ids": ids})
-        model.known.clear()  # workers are used again, by other operators too
+        model.forget()  # workers are used again, by other operators too
 
     return run
 
