@@ -1,11 +1,15 @@
 """Secret scan: one combined deterministic automaton over whole texts.
 
-All rules' patterns become one minimal automaton (automaton.py). Texts are
-joined to one byte buffer and cut at bytes that no rule's match can hold and that send
-every state back to the start, so that no match crosses a cut; all cells then advance
-together, one table lookup a byte, whatever the number of rules. A cell that met
-an accepting state is resolved exactly: leftmost-longest, non-overlapping spans
-per rule from that rule's own anchored automaton. Spans are in code points.
+All rules' patterns become one minimal automaton (automaton.py) that reads bytes
+from the end and tells, at each byte, which rules have a match that begins there.
+Texts are joined to one byte buffer and cut at bytes that no match can hold, so
+that no match crosses a cut; all cells then advance together, one table lookup a
+byte, whatever the number of rules. Spans are leftmost-longest and do not overlap
+within a rule: from the leftmost place where a match begins, a second combined
+automaton is followed to that match's end. No place is tried in vain and no byte
+of a match is read again for the same rule, so time grows with the text on any
+text, as long as a rule's pattern ends in a run or a fixed part. Spans are in
+code points.
 
 A null text is empty. Every row gets a result, repeated ids included.
 """
@@ -13,7 +17,7 @@ A null text is empty. Every row gets a result, repeated ids included.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Dfa, compile_patterns, dead_state, longest, scan_flags
+from .automaton import Walker, backward, compile_trees, parse, scan_backward, shortest
 from .common import id_text, with_id
 
 CELL = 384
@@ -59,40 +63,32 @@ MORE = (
 )
 
 
-@dataclass
 class Scanner:
-    rules: tuple[Rule, ...]
-    scan: Dfa = field(init=False)
-
-    def __post_init__(self):
-        self.scan = compile_patterns([(r.pattern, r.fold) for r in self.rules], anchored=False)
-        self.whole = [compile_patterns([(r.pattern, r.fold)], anchored=True) for r in self.rules]
-        self.head = [compile_patterns([(r.head, r.fold)], anchored=True) if r.least_tail else None for r in self.rules]
-        self.dead = [dead_state(d) for d in self.whole]
-        self.reset = self.scan.all_to(self.scan.start) & np.all(
-            [d.all_to(dead) for d, dead in zip(self.whole, self.dead, strict=True)], axis=0
-        )
-        self.first = [
-            [bool(d.next[d.start * 256 + b] != dead) for b in range(256)] for d, dead in zip(self.whole, self.dead, strict=True)
-        ]
+    """The rules' automata: one that, read backwards, tells where any rule's
+    match begins, and one that follows all rules from such a place."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        trees = [parse(r.pattern, r.fold) for r in rules]
+        self.starts = compile_trees([backward(shortest(t)) for t in trees], floating=True)
+        follow = compile_trees(trees, floating=False)
+        self.follow = Walker(follow)
+        self.head = [Walker(compile_trees([parse(r.head, r.fold)], floating=False)) if r.least_tail else None for r in rules]
+        self.reset = self.starts.resets() & follow.ends()
         if not self.reset[10]:
             raise ValueError("a rule's match can hold a line feed: texts could not be joined")
 
-    def spans_of(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        rule, found, at = self.rules[k], [], 0
-        first, dfa, dead = self.first[k], self.whole[k], self.dead[k]
-        while at < len(data):
-            if not first[data[at]] or (end := longest(dfa, dead, data, at)) < 0:
-                at += 1
-                continue
-            enough = end - at >= rule.least
-            if enough and rule.least_tail:
-                head = longest(self.head[k], dead_state(self.head[k]), data, at)
-                enough = end - head >= rule.least_tail
-            if enough:
-                found.append((at, end))
-            at = max(end, at + 1)
-        return found
+    def spans_of(self, k: int, data: bytes, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Leftmost-longest spans of rule k, of which these are all the places
+        where a match begins; a span beneath the rule's least still counts as
+        passed."""
+        rule, i = self.rules[k], 0
+        while i < len(starts):
+            at = int(starts[i])
+            end = self.follow.longest(data, at, k)
+            if end - at >= rule.least and (not rule.least_tail or end - self.head[k].longest(data, at) >= rule.least_tail):
+                yield at, end
+            i += int(np.searchsorted(starts[i:], end))
 
     def find(self, texts: list[str | None]) -> dict[int, list[tuple[int, int, int]]]:
         """text number -> [(start, rule number, end)] in code points, by start."""
@@ -101,21 +97,16 @@ class Scanner:
         data = np.frombuffer(whole, np.uint8)
         if not len(data):
             return {}
-        starts = np.cumsum([0] + [len(r) + 1 for r in raw])
+        texts_at = np.cumsum([0] + [len(r) + 1 for r in raw])
         cuts = np.flatnonzero(self.reset[data])
         pick = np.unique(np.searchsorted(cuts, np.arange(CELL, len(data), CELL)))
-        begin = np.concatenate(([0], cuts[pick[pick < len(cuts)]]))
-        size = np.diff(np.append(begin, len(data)))
-        flags = scan_flags(self.scan, data, begin, size)
+        begin = np.unique(np.concatenate(([0], cuts[pick[pick < len(cuts)]])))
+        places, bits = scan_backward(self.starts, data, begin, np.diff(np.append(begin, len(data))))
         out: dict[int, list[tuple[int, int, int]]] = {}
-        for c in np.flatnonzero(flags).tolist():
-            b = int(begin[c])
-            cell = whole[b : b + int(size[c])]
-            for k in range(len(self.rules)):
-                if flags[c] >> k & 1:
-                    for s, e in self.spans_of(k, cell):
-                        doc = int(np.searchsorted(starts, b + s, "right")) - 1
-                        out.setdefault(doc, []).append((b + s - int(starts[doc]), k, b + e - int(starts[doc])))
+        for k in range(len(self.rules)):
+            for s, e in self.spans_of(k, whole, places[bits >> k & 1 == 1]):
+                doc = int(np.searchsorted(texts_at, s, "right")) - 1
+                out.setdefault(doc, []).append((s - int(texts_at[doc]), k, e - int(texts_at[doc])))
         for doc, spans in out.items():
             spans.sort()
             if not raw[doc].isascii():

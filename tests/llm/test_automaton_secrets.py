@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
 
 from cadenza.llm import automaton, secrets
 
@@ -29,21 +32,53 @@ def test_base_spans_equal_regex():
     assert [[s for s in found.get(i, []) if s[1] < 3] for i in range(len(texts))] == [brute(t) for t in texts]
 
 
-def test_added_rules():
-    text = "x ghp_" + "Z1" * 20 + " AIza" + "z" * 35 + " -----BEGIN RSA PRIVATE KEY-----"
-    kinds = [(secrets.BASE + secrets.MORE)[k].kind for _, k, _ in secrets.scanner(secrets.BASE + secrets.MORE).find([text])[0]]
-    assert kinds == ["code_host", "cloud", "private_key"]
+ADDED = {
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    "code_host": (r"gh[pousr]_[A-Za-z0-9]+", 40),
+    "chat": (r"xox[abprs]-[A-Za-z0-9-]+", 20),
+    "cloud": (r"AIza[A-Za-z0-9_-]+", 39),
+    "payment": (r"[sr]k_(live|test)_[A-Za-z0-9]+", 24),
+    "web_token": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+}
+MORE_PARTS = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "PRIVATE KEY", "-----", "ghp_", "ghs_", "Z1" * 20, "xoxb-", "1-2-3", "AIza", "z_-" * 13, "sk_live_", "rk_test_", "eyJ", "eyJhbGci", ".", "x" * 30, " ", "\n", "é", "AKIA", "token=", "ab12" * 6, "eyJhbGciOiJI.eyJzdWIiOiIx.", "SflKxwRJSMeKKF2QT4"]
+
+
+def test_added_rules_equal_regex():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(MORE_PARTS) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    rules = secrets.BASE + secrets.MORE
+    found, seen = secrets.scanner(rules).find(texts), set()
+    for i, text in enumerate(texts):
+        got = [(s, rules[k].kind, e) for s, k, e in found.get(i, []) if k >= 3]
+        want = sorted((m.start(), kind, m.end()) for kind, (r, least) in ADDED.items() for m in re.finditer(r, text) if m.end() - m.start() >= least)
+        seen.update(k for _, k, _ in want)
+        assert sorted(got) == want
+    assert seen == set(ADDED)
+
+
+def test_crafted_texts_take_linear_time():
+    token = "eyJabcdefghijklmnop.eyJabcdefghijklmnop.abcdefghijklmnop"
+    texts = [token + " " + "eyJ" * 350_000, "eyJ" * 350_000 + ".", "f" * 1_000_000, "-----BEGIN " * 95_000, "token " * 170_000, "token" + " " * 1_000_000, "AKIA" * 250_000, "api_key= " * 110_000, "eyJa.eyJb." * 100_000]
+    begin = time.process_time()
+    found = secrets.scanner(secrets.BASE + secrets.MORE).find(texts)
+    assert time.process_time() - begin < 40
+    assert found[0] == [(0, 8, len(token))] and found[2] == [(0, 2, 1_000_000)] and found[6] == [(0, 1, 1_000_000)]
+    assert 1 not in found and 3 not in found and 5 not in found
 
 
 def test_minimal_automaton_agrees_with_re():
     rng = random.Random(4)
-    for pattern in ("a(b|c)*d", "[a-c]{2,4}x?", "(ab|a)(c|bcd)+"):
-        dfa = automaton.compile_patterns([(pattern, False)], anchored=True)
-        dead = automaton.dead_state(dfa)
+    for pattern in ("a(b|c)*d", "[a-c]{2,4}x?", "(ab|a)(c|bcd)+", "a{2}(b|)c{1,}", "[ab-]+\\.x"):
+        tree = automaton.parse(pattern)
+        dfa = automaton.compile_trees([tree], floating=False)
+        starts = automaton.compile_trees([automaton.backward(automaton.shortest(tree))], floating=True)
         for _ in range(300):
-            s = "".join(rng.choice("abcdx") for _ in range(rng.randint(0, 8)))
+            s = "".join(rng.choice("abcdx.-") for _ in range(rng.randint(0, 8)))
             ends = [e for e in range(len(s) + 1) if re.fullmatch(pattern, s[:e]) and e]
-            assert automaton.longest(dfa, dead, s.encode(), 0) == (max(ends) if ends else -1)
+            assert automaton.Walker(dfa).longest(s.encode(), 0) == (max(ends) if ends else -1)
+            places, _ = automaton.scan_backward(starts, np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(s)]))
+            want = [i for i in range(len(s)) if any(re.fullmatch(pattern, s[i:e]) for e in range(i + 1, len(s) + 1))]
+            assert places.tolist() == want
 
 
 def test_edges(spark):
