@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import id_text, with_id
 
-_TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+_INSIDE = re.compile(r"=\s*+([\"'])|>")
+_COMMENT_END = re.compile("--!?>")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _WORD = re.compile(r"[A-Za-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +45,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead tr ul".split()
 )
+_RAW_END = {name: re.compile(f"</{name}\\s*+>", re.I) for name in RAW}
 #: Elements that a start tag of this name closes, and where the search ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -99,6 +99,43 @@ def _is_out(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name or None, closing, attributes) of each piece of markup.
+    A quoted value may hold `>`; once a quote isn't closed, the rest of the page
+    is read without quotes, so that no part is read more than twice."""
+    at, quotes = 0, True
+    while m := _OPEN.search(html, at):
+        if m[3]:
+            found = _COMMENT_END.search(html, m.end())
+            at = found.end() if found else len(html)
+            yield m.start(), at, None, False, ""
+            continue
+        close = html.find(">", m.end())
+        if close < 0:
+            begin = html.find("<!--", m.end())
+            if begin >= 0:
+                yield begin, len(html), None, False, ""
+            return
+        if m[2] is None:
+            at = close + 1
+            yield m.start(), at, None, False, ""
+            continue
+        end, where = -1, m.end()
+        while quotes and end < 0:
+            n = _INSIDE.search(html, where)
+            if n and not n[1]:
+                end = n.start()
+                break
+            where = html.find(n[1], n.end()) + 1 if n else 0
+            quotes = where > 0
+        end = close if end < 0 else end
+        at = end + 1
+        skip = yield m.start(), at, m[2].lower(), bool(m[1]), html[m.end() : end]
+        if skip:
+            at = skip
+            yield at, at, None, False, ""
+
+
 class _Tree:
     """Nodes by number, parents before children; `out` is each node's own mark,
     and `core` tells what is or is within an article or main element; events in page order are
@@ -107,60 +144,43 @@ class _Tree:
     def __init__(self, html: str):
         self.tag, self.up, self.out, self.core = ["body"], [-1], [False], [False]
         self.events: list[tuple[int, str | None]] = []
-        stack, names = [0], ["body"]
+        stack, names, blocks = [0], ["body"], [0]
+        where: dict[str, list[int]] = {}
         tag, up, out, core, events = self.tag, self.up, self.out, self.core, self.events
 
+        def last(of) -> int:
+            """Depth of the innermost open element of these names."""
+            return max((where[n][-1] for n in of if where.get(n)), default=0)
+
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
-                name = names.pop()
-                node = stack.pop()
+                name, node = names.pop(), stack.pop()
+                where[name].pop()
                 if name in BLOCK:
+                    blocks.pop()
                     events.append((node, None))
 
-        at, size = 0, len(html)
-        while at < size:
-            m = _TAG.search(html, at)
-            if m is None:
-                events.append((stack[-1], html[at:]))
-                break
-            if m.start() > at:
-                events.append((stack[-1], html[at : m.start()]))
-            at = m.end()
-            name, closing, attrs = m[2] or m[5], m[1] or m[4], m[3] or m[6] or ""
-            if name is None:
+        at, tags = 0, _tags(html)
+        for begin, end, name, closing, attrs in tags:
+            if begin > at:
+                events.append((stack[-1], html[at:begin]))
+            at = end
+            if name is None or name in ("html", "body"):
                 continue
-            name = name.lower()
             if closing:
-                if name in ("html", "body") or name not in names:
-                    continue
-                block = name in BLOCK
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] == name:
-                        pop_to(depth)
-                        break
-                    if not block and names[depth] in BLOCK:
-                        break
-                continue
-            if name in ("html", "body"):
+                depth = last((name,))
+                if depth and (name in BLOCK or blocks[-1] < depth):
+                    pop_to(depth)
                 continue
-            if name in BLOCK and "p" in names:
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] == "p":
-                        pop_to(depth)
-                        break
-                    if names[depth] in ("table", "button", "object"):
-                        break
+            if name in BLOCK and (depth := last(("p",))) > last(("table", "button", "object")):
+                pop_to(depth)
             if name in CLOSES:
                 closed, stop = CLOSES[name]
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] in stop:
+                while (depth := last(closed)) > last(stop):
+                    pop_to(depth)
+                    if name != "tr":
                         break
-                    if names[depth] in closed:
-                        pop_to(depth)
-                        if name != "tr":
-                            break
-            parent = stack[-1]
-            node = len(tag)
+            parent, node = stack[-1], len(tag)
             tag.append(name)
             up.append(parent)
             core.append(core[parent] or name in ("article", "main"))
@@ -170,13 +190,19 @@ class _Tree:
             elif name == "br":
                 events.append((parent, " "))
             if name in RAW:
-                end = re.compile(f"</{name}\\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                found = _RAW_END[name].search(html, at)
+                at = found.end() if found else len(html)
+                tags.send(at)
                 continue
             if name in VOID or attrs.endswith("/") and name in ("svg", "path"):
                 continue
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
             names.append(name)
+        if at < len(html):
+            events.append((stack[-1], html[at:]))
         pop_to(1)
 
 
