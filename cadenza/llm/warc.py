@@ -1,14 +1,19 @@
 """WARC: a deterministic sharded writer and a verifying reader.
 
-Records are range-sorted by page id: the id range is cut into even buckets
-whose payload bytes are counted, and buckets are gathered, in order, to shards
-of a target size, so the shards depend on the rows alone and not on sampling or
-partitioning. A shard's task rolls its files by compressed size, each record a
+Records are range-sorted by page id and payload digest. The ids' range is cut
+into even slots whose payload bytes are counted; a slot with more than a shard's
+bytes is cut again, over the ids that it really holds, then over the digests of
+its one id, until every slot fits (an outlying id costs one more cut). Slots are
+gathered, in order, to shards of a target size, so the shards depend on the rows
+alone and not on sampling or partitioning; only rows equal in id and payload that
+are more than a shard by themselves are dealt out by their place in the input.
+A task writes a shard and rolls its files by compressed size, each record a
 gzip member of its own. Headers, lengths and digests are regenerated. A file is
 written under a temporary name that holds the task attempt; the manifest, a
 Parquet table with Spark's own commit, lists the files of the attempts that
-won, and only those are renamed. Renaming is idempotent, so a lost executor
-costs a repeat and never a torn archive.
+won, and only those are renamed, then what other attempts left is removed.
+Renaming is idempotent, so a lost executor costs a repeat and never a torn
+archive.
 
 Of records with equal payloads of `least` bytes or more, those with the
 smallest page id are responses and the others revisit it. A null html is an
@@ -24,15 +29,19 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prepare, scratch, with_id
+from .common import discard, materialize, partitions, prepare, scratch, with_id
 
-BUCKETS = 4096
-SHARD_BYTES = 64 << 20
+#: Slots of the first cut and, at most, of one further cut.
+SLOTS = 4096
+#: A shard's payload bytes: this part of all, within these bounds.
+SHARD_PART = 256
+SHARD_BYTES = (4 << 20, 1 << 30)
 ROLL_BYTES = 32 << 20
 SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
@@ -49,10 +58,16 @@ def b32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, ordinal: int, url: str | None, payload: bytes, refers_to: int | None, first: bool) -> bytes:
+def _name(page_id: int | None, digest: str, copy: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}:{copy}>"
+
+
+def record(page_id: int | None, copy: str, url: str | None, payload: bytes, refers_to: int | None, first: bool) -> bytes:
     """One WARC/1.1 record, not compressed. A revisit's block is the HTTP head
-    alone, whose Content-Length is the full payload's."""
-    name = f"<urn:page:{'' if page_id is None else page_id}:{ordinal}>"
+    alone, whose Content-Length is the full payload's. `copy` tells rows of
+    equal id and payload apart."""
+    digest = b32_sha1(payload)
+    name = _name(page_id, digest, copy)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if first else http
     fields = [("WARC-Type", "response" if first else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
@@ -61,9 +76,9 @@ def record(page_id: int | None, ordinal: int, url: str | None, payload: bytes, r
         fields.append(("WARC-Target-URI", clean))
     if not first:
         fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        fields.append(("WARC-Refers-To", f"<urn:page:{refers_to}:0>"))
+        fields.append(("WARC-Refers-To", _name(refers_to, digest, "0")))
     fields += [
-        ("WARC-Payload-Digest", f"sha1:{b32_sha1(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{b32_sha1(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -86,7 +101,7 @@ def _write(target: str, roll_bytes: int):
         attempt, done, out = uuid.uuid4().hex, [], None
         shard = roll = -1
         refers: tuple | None = None
-        last, ordinal = None, 0
+        last, copies = None, 0
 
         def close():
             nonlocal out
@@ -105,10 +120,11 @@ def _write(target: str, roll_bytes: int):
                     refers = (page, row.digest, int(row.refers_to))
                     continue
                 first = refers is None or refers[:2] != (page, row.digest)
-                ordinal = ordinal + 1 if last == (page,) else 0
-                last = (page,)
+                copies = copies + 1 if last == (page, row.digest) else 0
+                last = (page, row.digest)
                 payload = (row.html or "").encode("utf-8", "surrogatepass")
-                data = member(record(page, ordinal, row.url, payload, None if first else refers[2], first))
+                copy = f"{row.piece}.{copies}" if row.piece else str(copies)
+                data = member(record(page, copy, row.url, payload, None if first else refers[2], first))
                 if out is None:
                     roll += 1
                     name = f"{path}/tmp-{attempt}-{shard:06d}-{roll:05d}"
@@ -156,7 +172,130 @@ def _refers(slim: DataFrame) -> DataFrame:
     return found.filter("page_id is null or page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, target: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+@dataclass
+class _Cut:
+    """A range of ids (axis 0), of one id's digests (1) or of one id and
+    digest's rows (2), cut into slots; kids has a slot's bytes or its own cut."""
+
+    axis: int
+    low: int
+    width: int
+    slots: int
+    kids: dict = field(default_factory=dict)
+
+
+def _cut(row, shard_bytes: int) -> _Cut:
+    slots = min(SLOTS, max(2, -(-4 * row["n"] // shard_bytes)))
+    for axis, low, high in ((0, row["p0"], row["p1"]), (1, row["d0"], row["d1"])):
+        if low < high:
+            return _Cut(axis, low, (high - low) // slots + 1, slots)
+    return _Cut(2, 0, 1, min(row["rows"], -(-row["n"] // shard_bytes)))
+
+
+def _extent() -> list:
+    low = [F.min(c).alias(f"{c[0]}0") for c in ("pid", "dig")]
+    return [F.sum("n").alias("n"), F.count("*").alias("rows"), *low, *[F.max(c).alias(f"{c[0]}1") for c in ("pid", "dig")]]
+
+
+class ShardPlan:
+    """Cuts of all rows to shards; `salted` has the (pid, dig, pieces) that are
+    more than a shard by themselves."""
+
+    def __init__(self, slim: DataFrame, shard_bytes: int):
+        self.levels: list[list[_Cut]] = []
+        self.shards, self.salted = 1, []
+        whole = slim.agg(*_extent()).first()
+        if whole["n"] is None or whole["n"] <= shard_bytes or whole["rows"] == 1:
+            return
+        level = [_cut(whole, shard_bytes)]
+        now, spot = slim, F.lit(0)
+        while level:
+            self.levels.append(level)
+            deeper: list[_Cut] = []
+            base = [sum(c.slots for c in level[:k]) for k in range(len(level))]
+            now = now.withColumn("spot", self._spot(spot, level, F.lit(0)))
+            found = {r["spot"]: r for r in now.filter("spot is not null").groupBy("spot").agg(*_extent()).collect()}
+            state: list[int | None] = [None] * (base[-1] + level[-1].slots)
+            for c, b in zip(level, base, strict=True):
+                for k in range(c.slots):
+                    if c.axis == 2:
+                        c.kids[k] = shard_bytes
+                    elif (r := found.get(b + k)) is None:
+                        continue
+                    elif r["n"] <= shard_bytes or r["rows"] == 1:
+                        c.kids[k] = r["n"]
+                    else:
+                        c.kids[k] = _cut(r, shard_bytes)
+                        state[b + k] = len(deeper)
+                        deeper.append(c.kids[k])
+                        if c.kids[k].axis == 2:
+                            self.salted.append((r["p0"], r["d0"], c.kids[k].slots))
+            spot = F.element_at(F.lit(state).cast("array<int>"), F.col("spot").cast("int") + 1)
+            level = deeper
+        held = shard = 0
+        self.leaf: dict[int, int] = {}
+
+        def number(c: _Cut):
+            nonlocal held, shard
+            for k in sorted(c.kids):
+                kid = c.kids[k]
+                if isinstance(kid, _Cut):
+                    number(kid)
+                    continue
+                if held and held + kid > shard_bytes:
+                    held, shard = 0, shard + 1
+                c.kids[k], held = -shard - 1, held + kid
+
+        number(self.levels[0][0])
+        self.shards = shard + 1
+
+    @staticmethod
+    def _spot(state, level: list[_Cut], salt):
+        """The number of a row's slot among all slots of a level; `state` is the
+        number of its cut, null if it has none."""
+        base, at = [], 0
+        for c in level:
+            base.append(at)
+            at += c.slots
+
+        def of(values, kind: str, x):
+            return F.element_at(F.lit([str(v) for v in values]).cast(f"array<{kind}>"), x + 1)
+
+        def slot(x):
+            axis = of([c.axis for c in level], "int", x)
+            value = F.when(axis == 0, F.col("pid")).when(axis == 1, F.col("dig")).otherwise(salt.cast("long")).cast("decimal(20,0)")
+            low, width = (of([getattr(c, name) for c in level], "decimal(20,0)", x) for name in ("low", "width"))
+            k = F.floor((value - low) / width).cast("long")
+            k = F.greatest(F.lit(0).cast("long"), F.least(k, of([c.slots - 1 for c in level], "long", x)))
+            return F.when(x.isNotNull(), of(base, "long", x) + k)
+
+        # a lambda evaluates the state once
+        return F.element_at(F.transform(F.array(state.cast("int")), slot), 1)
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """rows(pid, dig, piece, ...) with the number of their shard."""
+        rows = rows.withColumn("shard", F.lit(0).cast("long"))
+        if not self.levels:
+            return rows
+        rows = rows.withColumn("cut", F.lit(0).cast("long"))
+        for level in self.levels:
+            to, deeper = [], 0
+            for c in level:
+                for k in range(c.slots):
+                    kid = c.kids.get(k, -1)
+                    to.append(deeper if isinstance(kid, _Cut) else kid)
+                    deeper += isinstance(kid, _Cut)
+            told = F.lit(to).cast("array<long>")
+            rows = rows.withColumn("spot", self._spot(F.when(F.col("cut") >= 0, F.col("cut")), level, F.col("piece")))
+            rows = rows.withColumn("cut", F.coalesce(F.element_at(told, F.col("spot").cast("int") + 1), F.col("cut")))
+        return rows.withColumn("shard", -F.col("cut") - 1).drop("cut", "spot")
+
+
+def shard_bytes_of(total: int) -> int:
+    return min(max(total // SHARD_PART, SHARD_BYTES[0]), SHARD_BYTES[1])
+
+
+def write_archives(pages: DataFrame, target: str, least: int = 0, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages(page_id, url, html) under `target`, a folder that driver and
     executors share; returns the committed manifest."""
     spark = prepare(pages.sparkSession)
@@ -164,33 +303,45 @@ def write_archives(pages: DataFrame, target: str, least: int = 0, shard_bytes: i
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumns({"digest": F.sha1(body), "n": F.octet_length(body).cast("long")})
     slim = materialize(rows.select("page_id", "digest", "n"), "warc-slim")
-    span = slim.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    width = (hi - lo) // BUCKETS + 1
-    bucket = F.coalesce(((F.col("page_id") - lo) / width).cast("long"), F.lit(0).cast("long"))
-    sizes = slim.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
-    shard_of, shard, held = [0] * (BUCKETS + 1), 0, 0
-    known = {r["bucket"]: r["n"] for r in sizes}
-    for k in range(BUCKETS + 1):
-        if held and held + known.get(k, 0) > shard_bytes:
-            shard, held = shard + 1, 0
-        shard_of[k], held = shard, held + known.get(k, 0)
-    place = F.element_at(F.lit(shard_of), (bucket + 1).cast("int")).cast("long").alias("shard")
+    lowest = slim.agg(F.coalesce(F.min("page_id"), F.lit(0).cast("long"))).first()[0]
+    keyed = {"pid": F.coalesce("page_id", F.lit(lowest)), "dig": F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")}
+    if shard_bytes is None:
+        shard_bytes = shard_bytes_of(slim.agg(F.sum("n")).first()[0] or 0)
+    plan = ShardPlan(slim.withColumns(keyed), shard_bytes)
     store, path = _store(target)
     store.create_dir(path, recursive=True)
     told = _refers(slim.filter(F.col("n") >= least)).select(
-        place, "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to"
+        "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to"
     )
-    whole = rows.select(place, "page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    order = ["shard", "page_id", "digest", "kind", "url"]
-    n = max(1, min(shard + 1, 8 * partitions(spark)))
-    dealt = told.unionByName(whole).repartitionByRange(n, "shard").sortWithinPartitions(*order)
+    whole = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    told, whole = told.withColumns(keyed), whole.withColumns(keyed)
+    if plan.salted:
+        pieces = F.broadcast(spark.createDataFrame(plan.salted, "pid long, dig long, pieces long"))
+        told = told.join(pieces, ["pid", "dig"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)))
+        whole = whole.join(pieces, ["pid", "dig"], "left").withColumn("piece", F.pmod(F.monotonically_increasing_id(), F.coalesce("pieces", F.lit(1))))
+        told, whole = told.drop("pieces"), whole.drop("pieces")
+    else:
+        told, whole = (d.withColumn("piece", F.lit(0).cast("long")) for d in (told, whole))
+    order = ["shard", "page_id", "digest", "piece", "kind", "url"]
+    n = min(plan.shards, max(SLOTS, 8 * partitions(spark)))
+    dealt = plan.place(told.unionByName(whole)).drop("pid", "dig").repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions(*order)
     dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     manifest = materialize(dealt.mapInPandas(_write(target, roll_bytes), _MANIFEST), "warc-manifest")
+    discard(slim)
     manifest.select("tmp", "name").mapInPandas(_rename(target), "name string").write.format("noop").mode("overwrite").save()
+    _sweep(store, path)
     return manifest
 
 
+def _sweep(store, path: str) -> None:
+    """Remove what attempts that didn't win left under temporary names."""
+    from pyarrow import fs
+
+    for found in store.get_file_info(fs.FileSelector(path)):
+        if found.base_name.startswith("tmp-"):
+            store.delete_file(found.path)
+
+
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(WARC fields, HTTP head, payload) of each gzip member of an archive."""
     z, raw, rest = zlib.decompressobj(31), [], b""

@@ -4,10 +4,13 @@ import base64
 import hashlib
 import os
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyarrow.fs import FileSelector
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadenza.llm import itq, packing, pii, quality, registry, suffix_dedup, warc
@@ -47,12 +50,53 @@ def test_files_depend_on_the_rows_alone(spark):
     assert sums[0] == sums[1] and len(sums[0]) > 2
 
 
+def _shards(spark, rows, shard_bytes, parts=3):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    target = scratch(spark, "warc")
+    manifest = warc.write_archives(df, target, shard_bytes=shard_bytes)
+    back = warc.read_archives(manifest, target).collect()
+    return {r["shard"]: r["records"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("records")).collect()}, back
+
+
+def test_shards_of_outlying_hot_and_many_ids(spark):
+    far = [(k, "u", f"{k:04d}" * 25) for k in range(300)] + [(2**60, "u", "far" * 30), (-(2**62), "u", "near" * 20), (2**63 - 1, None, "end"), (-(2**63), None, "low")]
+    sizes, back = _shards(spark, far, 1000)
+    assert len(back) == 304 and max(sizes.values()) <= 21 and len(sizes) > 25
+    assert sorted(r["page_id"] for r in back) == sorted(r[0] for r in far)
+    hot = [(7, "u", f"{k:04d}" * 25) for k in range(300)] + [(k, "u", "x" * 100) for k in range(5)]
+    sizes, back = _shards(spark, hot, 1000)
+    assert len(back) == 305 and max(sizes.values()) <= 21 and len(sizes) > 25
+    same = [(7, "u", "y" * 100)] * 300 + [(3, "u", "y" * 100), (None, "u", "y" * 100)]
+    sizes, back = _shards(spark, same, 1000)
+    assert len(back) == 302 and max(sizes.values()) <= 25
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in back) == {(7, "revisit", 3): 300, (3, "response", None): 1, (None, "revisit", 3): 1}
+    many = [(k, "u", "z") for k in range(300)]
+    sizes, back = _shards(spark, many, 1)
+    assert len(back) == 300 and set(sizes.values()) == {1}
+
+
+def test_shards_depend_on_the_rows_alone(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([rng.randint(-50, 50), 2**50 + rng.randint(0, 9), 4]), rng.choice("ab"), "k" * rng.randint(0, 300)) for _ in range(400)]
+    assert _shards(spark, rows, 900, 1)[0] == _shards(spark, rows[::-1], 900, 7)[0]
+
+
+def test_left_over_files_go(spark):
+    target = scratch(spark, "warc")
+    store, path = warc._store(target)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/tmp-dead-000000-00000") as f:
+        f.write(b"half")
+    warc.write_archives(pages(spark), target)
+    assert not [f for f in store.get_file_info(FileSelector(path)) if f.base_name.startswith("tmp-")]
+
+
 def test_damage_is_found(tmp_path):
-    good = warc.member(warc.record(1, 0, "u", b"payload", None, True))
+    good = warc.member(warc.record(1, "0", "u", b"payload", None, True))
     (tmp_path / "a").write_bytes(good)
     with open(tmp_path / "a", "rb") as f:
         assert [p for _, _, p in warc.records_of(f)] == [b"payload"]
-    (tmp_path / "b").write_bytes(warc.member(warc.record(1, 0, "u", b"payload", None, True).replace(b"payload", b"paYload")))
+    (tmp_path / "b").write_bytes(warc.member(warc.record(1, "0", "u", b"payload", None, True).replace(b"payload", b"paYload")))
     with open(tmp_path / "b", "rb") as f, pytest.raises(ValueError, match="damaged"):
         list(warc.records_of(f))
     (tmp_path / "c").write_bytes(good[:-9])
