@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import suffix_dedup
+from cadenza.llm.common import scratch
 
 rng = random.Random(3)
 
@@ -45,7 +47,7 @@ def brute(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 3, "batches": 4}, {"batches": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 3, "batches": 5, "buffer": 3000}, {"batches": 1, "buffer": 1}, {"batches": 11, "hot": 1}])
 def test_against_counting(spark, options):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -53,6 +55,68 @@ def test_against_counting(spark, options):
     assert [tuple(r)[1:] for r in sorted(rows)] == brute(texts)
 
 
+def test_anchors_hang_on_the_string_alone():
+    inner = prose(200).encode()
+    places = set()
+    for _ in range(60):
+        before, after = prose(rng.randint(0, 3000)).encode(), prose(rng.randint(0, 3000)).encode()
+        data = np.frombuffer(before + inner + after, np.uint8)
+        _, p, a, b, _, _ = suffix_dedup.anchors(data, np.array([0]), np.array([len(data)]), 200)
+        k = int(np.searchsorted(a, len(before), "right")) - 1
+        assert a[k] <= len(before) <= b[k]
+        places.add(int(p[k]) - len(before))
+    assert len(places) == 1
+
+
+def test_unlike_strings_of_one_mark():
+    data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    at = np.array([0, 4, 8, 12])
+    assert suffix_dedup.repeated(data, at, np.zeros(4, np.uint64), 4).tolist() == [True, False, True, False]
+
+
+def _grams(texts):
+    found = Counter()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        if len(data) >= 200:
+            p = suffix_dedup.anchors(data, np.array([0]), np.array([len(data)]), 200)[1]
+            found.update(data[i : i + 32].tobytes() for i in p.tolist())
+    return found
+
+
+def test_levels_and_matches_of_arriving_batches(spark):
+    shared = [prose(400) for _ in range(5)]
+    batches = [[prose(150) + rng.choice(shared) + prose(150) if rng.random() < 0.6 else prose(500) for _ in range(6)] for _ in range(11)]
+    path = scratch(spark, "index")
+    index, before = suffix_dedup.SuffixIndex(spark, path, 3), Counter()
+    for k, texts in enumerate(batches):
+        if k == 6:
+            index = suffix_dedup.SuffixIndex.open(spark, path)
+        df = spark.createDataFrame([(0, t) for t in texts], "batch int, text string")
+        met = {bytes(r["gram"]) for r in index.add(suffix_dedup.suffixes(df)).collect()}
+        own = _grams(texts)
+        assert met == {g for g, n in own.items() if n > 1 or before[g]}
+        before += own
+    assert [r for r, _, _ in index.levels] == [3, 1, 0]
+    total = Counter()
+    for _, table, _ in index.levels:
+        for r in spark.table(table).collect():
+            total[bytes(r["gram"])] += r["n"]
+        for part in spark.table(table).groupBy(F.input_file_name()).agg(F.collect_list("gram").alias("g")).collect():
+            assert [bytes(x) for x in part["g"]] == sorted(bytes(x) for x in part["g"])
+    assert total == before
+    plan = index._joined(index.levels[0][1], index.levels[1][1], "inner")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_long_document_and_hot_text(spark):
+    passage = prose(260)
+    texts = [prose(20_000) + passage + prose(60_000)] + [prose(40) + passage[:250] + prose(60) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix_dedup.remove_repeats(df, hot=10).select("own.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert [tuple(r)[1:] for r in sorted(rows)] == brute(texts)
+
+
 def test_edges(spark):
     t = prose(250)
     df = spark.createDataFrame([(None, t, 1), (4, t, 2), (4, None, 3), (4, t, 2)], "doc_id long, text string, runs int")
