@@ -1,19 +1,25 @@
 """Personal data replaced by keyed surrogates.
 
-Detected: e-mail and IP addresses (4 and 6), hardware addresses, payment card,
-telephone, social security and account (IBAN) numbers, and persons named with a
-title or by a known given name and a surname. An entity is its kind and its
-canonical text, so its mentions in any case or format get one surrogate
-(coreference), written in each mention's own format and case.
+Detected: e-mail and IP addresses (4 and 6), hardware addresses, payment card
+(an issuer's prefix and length, groups of four, or a valid check digit), telephone, social
+security and account (IBAN) numbers, and persons named with a title, after a cue such as
+"my name is" or "author:", by a known given name and a surname, with initials, or in
+Chinese characters before a form of address. A surname found in a text is replaced
+wherever else it stands in that text. An entity is its kind and its canonical text, so
+its mentions in any case or format get one surrogate (coreference), written in each
+mention's own format and case. Telephone numbers keep their country: those with +1 are
+one with the bare national number.
 
 Numbers and addresses go through a keyed format-preserving permutation: letters
 stay letters of their script, digits digits, and check digits, network prefixes,
-address ranges and mail domains' ends keep their validity. Given names are drawn
-by the key from names of the same gender and script, surnames are built in the
-script. A collision check over the corpus's distinct entities settles all: a
-candidate that is itself a real entity, is taken, or is wanted by two (the least
-canonical text wins) is drawn again in the next round, so distinct entities get
-distinct surrogates and no surrogate is a real entity.
+address ranges, country codes and mail domains' ends keep their validity. Given names are drawn
+by the key from names of the same gender and script (neutral ones if the gender isn't
+told), surnames are built in the script. A collision check over the corpus's distinct
+entities settles all: numbers are one space and names another, whatever their kinds; a
+candidate that is itself a real entity of its space, is taken, or is wanted by two (the
+least kind and canonical text win) is drawn again in the next round, so distinct entities
+get distinct surrogates and no surrogate is a real entity. The key is the caller's; the
+query and the pipeline read it from the session's cadenza.pii.key.
 
 A null text stays null, and texts without an entity stay as they are. Repeated
 rows, and rows with a null id, are each replaced alike.
@@ -27,12 +33,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-KEY = "replace-this-key"
+#: The session setting that holds the key, and what the queries take without it.
+KEY_SETTING = "cadenza.pii.key"
+DEMO_KEY = "replace-this-key"
+#: Rounds of the collision check in a row that may settle nothing.
 ROUNDS = 12
 
 # Names by gender and script, titles by gender.
@@ -43,7 +53,13 @@ GIVEN = {
     ("f", "cyrillic"): "Анна Мария Ольга Татьяна Наталья Елена Светлана Ирина Екатерина Людмила".split(),
     ("m", "greek"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης".split(),
     ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Βασιλική Αγγελική".split(),
+    ("n", "latin"): "Alex Robin Sam Kim Jordan Taylor Morgan Casey Jamie Charlie Dominique Andrea Sascha Noa".split(),
+    ("n", "cyrillic"): "Саша Женя Валя Шура Слава Никита".split(),
+    ("n", "greek"): "Άλεξ Χάρις Σάσα Κρις".split(),
+    ("m", "han"): "伟 强 磊 军 勇 杰 涛 明 刚 平".split(),
+    ("f", "han"): "芳 娜 敏 静 丽 艳 娟 霞 玲 燕".split(),
 }
+SURNAMES_HAN = "王李张刘陈杨黄赵周吴徐孙马朱胡林郭何高罗"
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Господин Κύριος".split(), "f": "Mrs Ms Frau Madame Mme Mlle Señora Sra Госпожа Κυρία".split()}
 SYLLABLES = {
     "latin": "ba be bo da de do fa fi ga go ha he ka ko la le lo ma mi mo na ne no pa pe ra ri ro sa se so ta te to va ve vi wa we zo".split(),
@@ -53,11 +69,16 @@ SYLLABLES = {
 END = {"latin": "n r l s t".split(), "cyrillic": "н р л к в".split(), "greek": "ς ν".split()}
 
 _GENDER = {t: g for g, names in TITLES.items() for t in names}
-_KNOWN = {n: (g, s) for (g, s), names in GIVEN.items() for n in names}
+_KNOWN = {n: (g, s) for (g, s), names in GIVEN.items() if g != "n" and s != "han" for n in names}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΆ-ΏΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+"
 _TITLE = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_CAP}(?:[ -]{_CAP}){{0,2}})(?!\w)")
 _NAMED = re.compile(rf"(?<!\w)({'|'.join(sorted(_KNOWN, key=len, reverse=True))}) ({_CAP}(?:-{_CAP})?)(?!\w)")
-_HINT = re.compile(rf"(?<!\w)(?:{'|'.join([*_GENDER, *_KNOWN])})[. ]")
+_PART = rf"(?:{_CAP}|[A-ZА-ЯΑ-Ω]\.)"
+_CUES = r"[Mm]y name is|[Nn]ame:|[Aa]uthor:|[Cc]ontact:|[Pp]atient:|[Ee]mployee:|[Ss]igned(?: by|:)|[Rr]egards,|[Ss]incerely,|[Dd]ear|меня зовут|Имя:|Όνομα:"
+_CUED = re.compile(rf"(?<!\w)(?:{_CUES})\s({_PART}(?:[ -]{_PART}){{1,3}})(?!\w)")
+_LEARNED = re.compile(rf"(?<!\w)(?:Dr|Prof|Doctor|Professor)\.? ({_PART}(?:[ -]{_PART}){{0,3}})(?!\w)")
+_HAN = re.compile(rf"([{SURNAMES_HAN}][\u4e00-\u9fff]{{1,2}})(先生|女士|小姐)")
+_HINT = re.compile(rf"(?<!\w)(?:{'|'.join([*_GENDER, *_KNOWN])})[. ]|(?<!\w)(?:{_CUES}|Dr|Prof|Doctor|Professor)[. \n]|先生|女士|小姐")
 _SIGN = re.compile(r"[0-9@:]")
 _DOMAIN = re.compile(r"@([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)")
 _LOCAL = re.compile(r"[\w.%+-]")
@@ -89,6 +110,56 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _card_ok(digits: str, grouped: bool) -> bool:
+    """Groups of four, a network's prefix and length, or a valid check digit."""
+    n, two = len(digits), int(digits[:2])
+    known = (
+        digits[0] == "4" and n in (13, 16, 19)
+        or n == 16 and (51 <= two <= 55 or 2221 <= int(digits[:4]) <= 2720 or digits[:4] == "6011" or two == 65 or two == 35)
+        or n == 15 and two in (34, 37)
+    )
+    return grouped or known or luhn_digit(digits[:-1]) == int(digits[-1])
+
+
+#: Two-digit country codes start with these; 1 and 7 stand alone, all others have three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country(digits: str) -> int:
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3
+
+
+def _phone(raw: str) -> str:
+    digits = _digits(raw)
+    if not raw.startswith("+"):
+        return digits
+    return digits[1:] if digits[0] == "1" and len(digits) == 11 else "+" + digits
+
+
+def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
+    def parts(m: re.Match, group: int, gender: str):
+        names = list(re.finditer(_CAP, m[group]))
+        for k, n in enumerate(names):
+            script = script_of(n[0])
+            known = _KNOWN.get(n[0], (gender, script))[0] if gender == "n" else gender
+            kind = f"surname_{script}" if k == len(names) - 1 else f"given_{known}_{script}"
+            yield m.start(group) + n.start(), m.start(group) + n.end(), kind, n[0].lower()
+
+    for m in _TITLE.finditer(text):
+        yield from parts(m, 2, _GENDER[m[1]])
+    for m in _NAMED.finditer(text):
+        gender, script = _KNOWN[m[1]]
+        yield m.start(1), m.end(1), f"given_{gender}_{script}", m[1].lower()
+        for n in re.finditer(_CAP, m[2]):
+            yield m.start(2) + n.start(), m.start(2) + n.end(), f"surname_{script_of(n[0])}", n[0].lower()
+    for pattern in (_CUED, _LEARNED):
+        for m in pattern.finditer(text):
+            if not any(w in _GENDER for w in re.findall(_CAP, m[1])):
+                yield from parts(m, 1, "n")
+    for m in _HAN.finditer(text):
+        yield m.start(1), m.end(1), f"given_{'m' if m[2] == '先生' else 'f'}_han", m[1]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) by start, not overlapping; earlier kinds
     in this function's order win."""
@@ -97,7 +168,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if "@" in text:
             for m in _DOMAIN.finditer(text):
                 b = m.start()
-                while b and m.start() - b < 64 and _LOCAL.match(text[b - 1]):
+                while b and _LOCAL.match(text[b - 1]):
                     b -= 1
                 while b < m.start() and text[b] == ".":
                     b += 1
@@ -117,9 +188,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if not 15 <= len(canon) <= 34 or not _iban_ok(canon):
                     continue
             else:
-                canon = _digits(raw)
-                if kind == "phone":
-                    canon = canon[-10:]
+                canon = _phone(raw) if kind == "phone" else _digits(raw)
+                if kind == "card" and not _card_ok(canon, m["gap"] is not None):
+                    continue
             found.append((m.start(), m.end(), kind, canon))
         if text.count(":") > 1:
             for m in _IPV6.finditer(text):
@@ -128,16 +199,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 except ValueError:
                     continue
     if _HINT.search(text):
-        for m in _TITLE.finditer(text):
-            names = list(re.finditer(_CAP, m[2]))
-            for k, n in enumerate(names):
-                script = script_of(n[0])
-                kind = f"surname_{script}" if k == len(names) - 1 else f"given_{_GENDER[m[1]]}_{script}"
-                found.append((m.start(2) + n.start(), m.start(2) + n.end(), kind, n[0].lower()))
-        for m in _NAMED.finditer(text):
-            gender, script = _KNOWN[m[1]]
-            found.append((m.start(1), m.end(1), f"given_{gender}_{script}", m[1].lower()))
-            found += [(m.start(2) + n.start(), m.start(2) + n.end(), f"surname_{script_of(n[0])}", n[0].lower()) for n in re.finditer(_CAP, m[2])]
+        persons = list(_persons(text))
+        found += persons
+        again = {text[s:e]: (k, c) for s, e, k, c in persons if k.startswith("surname_") and e - s > 3}
+        if again:
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(again, key=len, reverse=True)))})(?!\w)", text):
+                found.append((m.start(), m.end(), *again[m[0]]))
     out: list[tuple[int, int, str, str]] = []
     for _, e in sorted(enumerate(found), key=lambda x: (x[1][0], x[0])):
         if not out or e[0] >= out[-1][1]:
@@ -236,10 +303,16 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         body = reshape(key, tweak, canon[4:].lower()).upper()
         check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
         return f"{canon[:2]}{check:02d}{body}"
+    if kind == "phone" and canon[0] == "+":
+        n = 1 + _country(canon[1:])
+        return canon[:n] + reshape(key, tweak + canon[:n], canon[n:])
     if kind.startswith("given_"):
         _, gender, script = kind.split("_")
         names = GIVEN[gender, script]
         pick = _number(key, tweak, canon)
+        if script == "han":
+            size = max(1, len(canon) - 1 + (attempt + 3) // 4 - 1)
+            return SURNAMES_HAN[pick % len(SURNAMES_HAN)] + "".join(names[_number(key, tweak, canon, i) % len(names)] for i in range(size))
         if attempt == 0:
             return names[pick % len(names)].lower()
         if attempt < 4:
@@ -253,6 +326,7 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 def render(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the mention's format and case."""
     if kind in ("card", "ssn", "phone"):
+        surrogate = surrogate.lstrip("+")
         spots = [i for i, c in enumerate(mention) if c.isdigit()][-len(surrogate) :]
         out = list(mention)
         for i, d in zip(spots, surrogate, strict=True):
@@ -271,24 +345,19 @@ def render(kind: str, mention: str, surrogate: str) -> str:
         if len(mention) == len(surrogate):
             return "".join(s.upper() if m.isupper() else s for m, s in zip(mention, surrogate, strict=True))
         return surrogate
-    if kind.startswith(("given_", "surname_")):
+    if kind.startswith(("given_", "surname_")) and not kind.endswith("han"):
         return "-".join(x.capitalize() for x in surrogate.split("-"))
     return surrogate
 
 
-def _hits(wanted: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [detect(t) if t else [] for t in b["text"]]
-            pick = [i for i, f in enumerate(found) if bool(f) == wanted]
-            if not pick:
-                continue
-            out = b.iloc[pick]
-            if wanted:
-                out = out.assign(ents=[[{"start": s, "stop": e, "kind": k, "canon": c} for s, e, k, c in found[i]] for i in pick])
-            yield out
+_ENTS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("canon", pa.string())]))
 
-    return run
+
+def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [detect(t) if t else [] for t in b.column("text").to_pylist()]
+        ents = pa.array([[{"start": s, "stop": e, "kind": k, "canon": c} for s, e, k, c in f] for f in found], _ENTS)
+        yield pa.RecordBatch.from_arrays([b.column("own"), ents], ["own", "ents"])
 
 
 def _candidates(key: bytes, attempt: int):
@@ -300,20 +369,25 @@ def _candidates(key: bytes, attempt: int):
     return run
 
 
-def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def _space() -> Column:
+    """Kinds whose surrogates may not be equal."""
+    kind = F.col("kind")
+    names = kind.startswith("given_") | kind.startswith("surname_")
+    return F.when(kind.isin("card", "ssn", "phone"), "number").when(names, "name").otherwise(kind).alias("space")
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """(kind, canon, surrogate) for distinct entities(kind, canon); see the
     module's text for the collision check."""
     secret = hashlib.sha256(key.encode()).digest()
-    real = entities.select("kind", F.col("canon").alias("surrogate"))
-    given, pending, attempt = None, entities.select("kind", "canon"), 0
+    taken = entities.select(_space(), F.col("canon").alias("surrogate"))
+    given, pending, attempt, idle, waiting = None, entities.select("kind", "canon"), 0, 0, None
     while True:
-        if attempt == rounds:
-            raise RuntimeError(f"entities without a surrogate after {rounds} rounds")
-        made = pending.mapInPandas(_candidates(secret, attempt), "kind string, canon string, surrogate string")
-        free = made.join(real, ["kind", "surrogate"], "left_anti")
+        made = pending.mapInPandas(_candidates(secret, attempt), "kind string, canon string, surrogate string").withColumn("space", _space())
+        free = made.join(taken, ["space", "surrogate"], "left_anti")
         if given is not None:
-            free = free.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate")
+            free = free.join(given.select(_space(), "surrogate"), ["space", "surrogate"], "left_anti")
+        won = free.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("e")).select("e.kind", "e.canon", "surrogate")
         won = won if given is None else given.unionByName(won)
         done = materialize(won, "pii-given")
         left = materialize(entities.join(done.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-pending")
@@ -321,41 +395,53 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
         if attempt:
             discard(pending)
         given, pending, attempt = done, left, attempt + 1
-        if left.isEmpty():
+        still = left.count()
+        if not still:
+            discard(pending)
             return given
+        idle, waiting = (idle + 1 if still == waiting else 0), still
+        if idle == rounds:
+            raise RuntimeError(f"{still} entities without a surrogate: {rounds} rounds settled none")
 
 
-def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, kinds = [], []
-        for text, marks in zip(b["text"], b["marks"], strict=True):
+        for text, marks in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
             out, at = [], 0
             for m in sorted(marks, key=lambda m: m["start"]):
                 out += [text[at : m["start"]], render(m["kind"], text[m["start"] : m["stop"]], m["surrogate"])]
                 at = m["stop"]
             texts.append("".join(out) + text[at:])
             kinds.append(sorted(m["kind"] for m in marks))
-        yield b[["own"]].assign(text=texts, kinds=kinds)
+        yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["own", "text", "kinds"])
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per input row: own (its columns, a struct), text with every
     detected entity replaced, kinds (array<string>, one per mention, sorted)."""
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("own"), text.alias("text"))
     own = rows.schema["own"].dataType.simpleString()
-    ents = "ents array<struct<start:int,stop:int,kind:string,canon:string>>"
-    hits = rows.mapInPandas(_hits(True), f"own {own}, text string, {ents}")
-    hits = materialize(hits.withColumn("row", F.monotonically_increasing_id()), "pii-hits")
-    mentions = hits.select("row", F.explode("ents").alias("e")).select("row", "e.*")
+    found = rows.mapInArrow(_detected, f"own {own}, ents array<struct<start:int,stop:int,kind:string,canon:string>>")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    some = F.size("ents") > 0
+    text = F.col("own.text").cast("string").alias("text")
+    mentions = found.filter(some).select("row", F.explode("ents").alias("e")).select("row", "e.*")
     entities = materialize(mentions.select("kind", "canon").distinct(), "pii-entities")
     chosen = surrogates(entities, key)
+    discard(entities)
     marks = mentions.join(chosen, ["kind", "canon"]).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "kind", "surrogate")).alias("marks"))
-    new = hits.select("row", "own", "text").join(marks, "row").drop("row").mapInPandas(_replace, f"own {own}, text string, kinds array<string>")
-    rest = rows.mapInPandas(_hits(False), f"own {own}, text string")
-    return new.unionByName(rest.withColumn("kinds", F.array().cast("array<string>")))
+    hit = found.filter(some).select("row", "own", text).join(marks, "row").select("own", "text", "marks")
+    new = hit.mapInArrow(_replace, f"own {own}, text string, kinds array<string>")
+    return new.unionByName(found.filter(~some).select("own", text, F.array().cast("array<string>").alias("kinds")))
+
+
+def session_key(spark) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
 
 
-def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs, same columns, with surrogates in text."""
     new = pseudonymise(docs, key)
     return new.select(*[F.col("text") if n == "text" else F.col("own").getField(n).alias(n) for n in docs.columns])
@@ -364,5 +450,5 @@ def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    new = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    new = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return new.select(F.col("own.doc_id").alias("doc_id"), "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"))

@@ -199,7 +199,7 @@ TEXTS = [
 def test_detection():
     kinds = [[k for _, _, k, _ in pii.detect(t)] if t else [] for t in TEXTS]
     assert kinds[0] == ["email", "phone", "card"] and kinds[1] == ["email", "card", "ip", "ip"]
-    assert kinds[2] == ["given_m_latin", "surname_latin", "surname_latin", "iban"]
+    assert kinds[2] == ["given_m_latin", "surname_latin", "surname_latin", "surname_latin", "iban"]
     assert kinds[3] == ["ip6", "mac", "ssn", "phone"] and kinds[4:] == [[], [], []]
 
 
@@ -228,18 +228,82 @@ def test_replacement(spark):
     a = pii.detect(out[0]), pii.detect(out[1])
     assert a[0][0][3] == a[1][0][3] and a[0][2][3] == a[1][1][3]
     assert re.search(r"[A-Z]{4}\.[a-z]{3}@[A-Z][a-z]{3}\.org", out[0]) and re.search(r"\d{4}-\d{4}-\d{4}-\d{4}!", out[0])
-    assert pii.without_pii(df.limit(0)).collect() == []
+    assert pii.without_pii(df.limit(0), "key").collect() == []
 
 
 def test_collisions_are_drawn_again(spark):
     canon = [f"a{i}@example.com" for i in range(10)] + [f"b{i}@example.com" for i in range(10)]
     names = [f"name{i}" for i in range(60)]
-    rows = [("email", c) for c in canon] + [("given_f_greek", n) for n in names]
+    rows = [("email", c) for c in canon] + [(k, n) for n in names for k in ("given_f_greek", "given_n_greek", "surname_greek", "given_m_han")]
+    rows += [(k, f"{i:09d}") for i in range(40) for k in ("ssn", "phone")]
     out = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
     made = [(r["kind"], r["surrogate"]) for r in out]
+    space = [("name" if "_" in r["kind"] else r["kind"], r["surrogate"]) for r in out]
+    assert len(set(space)) == len(space)
     assert len(out) == len(rows) == len(set(made)) and not set(made) & set(rows)
 
 
+def test_detection_by_context():
+    told = lambda t: [(t[s:e], k) for s, e, k, _ in pii.detect(t)]
+    assert told("Dr. Priya Raghunathan met them. Raghunathan left.") == [("Priya", "given_n_latin"), ("Raghunathan", "surname_latin"), ("Raghunathan", "surname_latin")]
+    assert told("my name is Wei Zhang, author: J. R. Tolkien") == [("Wei", "given_n_latin"), ("Zhang", "surname_latin"), ("Tolkien", "surname_latin")]
+    assert told("меня зовут Анна Петрова") == [("Анна", "given_f_cyrillic"), ("Петрова", "surname_cyrillic")]
+    assert told("我是王伟先生。") == [("王伟", "given_m_han")]
+    assert told("New York and Machine Learning, Dear reader") == []
+    local = "x" * 80
+    assert told(f"to {local}@example.org now") == [(f"{local}@example.org", "email")]
+    assert [k for _, k in told("1234567890123456 and 4539578763621486 or 1234567890123452")] == ["card", "card"]
+    phones = [c for _, _, _, c in pii.detect("+1 212 555 0000, +44 212 555 0000, 212-555-0000")]
+    assert phones == ["2125550000", "+442125550000", "2125550000"]
+
+
+def test_distinct_and_one_surrogate_each_over_a_corpus(spark):
+    """Every line is a lead, one mention and an end, so each surrogate can be
+    read off; compared with the entities that made the lines."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    made = []  # (entity, forms)
+    for _ in range(60):
+        e = f"{word()}.{word()}@{word()}.com"
+        made.append((("email", e), [e, e.upper(), e.title()]))
+        n = digits(10)
+        made.append((("phone", n), [f"({n[:3]}) {n[3:6]}-{n[6:]}", f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}"]))
+        made.append((("phone", "+44" + n), [f"+44 {n[:3]} {n[3:6]} {n[6:]}"]))
+        c = "4" + digits(15)
+        made.append((("card", c), [c, "-".join(c[k : k + 4] for k in range(0, 16, 4))]))
+        d = digits(9)
+        made.append((("ssn", d), [f"{d[:3]}-{d[3:5]}-{d[5:]}"]))
+        ip = ".".join(str(rng.randint(1, 250)) for _ in range(4))
+        made.append((("ip", ip), [ip]))
+        made.append((("surname", w := word().capitalize()), [f"Mr {w}", f"Prof. {w}", f"Frau {w}"]))
+    lines = [(e, rng.choice(forms)) for e, forms in made for _ in range(3)]
+    rng.shuffle(lines)
+    texts = ["\n".join(f"of <{m}> end" for _, m in lines[k : k + 10]) for k in range(0, len(lines), 10)] + ["nothing here " * 50_000 + "<212-555-0101>"]
+    out = {r["doc_id"]: r["text"] for r in pii.without_pii(docs(spark, texts), "secret").collect()}
+    assert len(out[len(texts) - 1]) == len(texts[-1]) and out[len(texts) - 1] != texts[-1]
+    new = [x for k in range(len(texts) - 1) for x in out[k].split("\n")]
+
+    def plain(kind, mention):
+        if kind in ("phone", "card", "ssn"):
+            d = re.sub(r"\D", "", mention)
+            return "+" + d if mention.startswith("+44") else d[-10:] if kind == "phone" else d
+        return mention.split(" ")[-1].lower() if kind == "surname" else mention.lower()
+
+    to = {}
+    for (entity, old), line in zip(lines, new, strict=True):
+        got = re.fullmatch("of <(.+)> end", line)[1]
+        assert plain(entity[0], old) == entity[1].lower()
+        assert re.sub(r"\w", "", old) == re.sub(r"\w", "", got) and (not old.isupper() or got.isupper())
+        assert to.setdefault(entity, plain(entity[0], got)) == plain(entity[0], got)
+    space = lambda kind: "number" if kind in ("phone", "card", "ssn") else kind
+    found = [(space(k), v) for (k, _), v in to.items()]
+    assert len(set(found)) == len(found) == len({e for e, _ in made})
+    assert not set(found) & {(space(k), c.lower()) for k, c in to}
+    again = {r["doc_id"]: r["text"] for r in pii.without_pii(docs(spark, texts[::-1]), "secret").collect()}
+    assert sorted(again.values()) == sorted(out.values())
+
+
 def test_large_ids_beside_null(spark):
     big = 2**62 + 1
     df = spark.createDataFrame([(big, "the same text of words", big), (None, "other", None)], "doc_id long, text string, n_chars long")
