@@ -56,7 +56,7 @@ def repeated_strings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Detected entities get surrogates."""
     prepare(spark)
-    return _counted(pii.without_pii(docs))
+    return _counted(pii.without_pii(docs, pii.session_key(spark)))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
