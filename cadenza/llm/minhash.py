@@ -1,4 +1,5 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles.
+"""Minima of word shingles, for SimHash's near-duplicates by similarity
+(simhash.similar_texts): what fingerprints are too coarse to find.
 
 Texts are compared as sets of shingles of WIDTH words; a text of fewer words is
 one shingle, a text without words the empty set, which equals itself alone.
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .components import components
 
 WIDTH = 5
 LEAST = 0.8
@@ -38,7 +38,7 @@ SEED = 42
 _CHUNK = 1024
 _TURNS, _SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, MINIMA), np.uint64, endpoint=False)
 _TURNS |= np.uint64(1)
-_SKETCH = ("s0", "s1", "s2", "s3")
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -70,24 +70,35 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for row, text in zip(b["row"], b["text"], strict=True):
-            found = shingles(text)
-            low = minima(found)
-            bands = low[: BANDS * GROUP].reshape(BANDS, GROUP)
-            cells = np.array([xxhash.xxh3_64_intdigest(v.tobytes(), k) for k, v in enumerate(bands)], np.uint64)
-            # the low bits of a product with an odd number hang on few bits of the value
-            sketch = np.packbits((low >> np.uint64(31) ^ low >> np.uint64(17)) & np.uint64(1) == 1).view(np.uint64)
-            cls = xxhash.xxh3_64_intdigest(found.tobytes(), SEED)
-            rows.append((row, *_signed(np.array([cls], np.uint64)), _signed(cells), *_signed(sketch)))
-        yield pd.DataFrame(rows, columns=["row", "cls", "cells", *_SKETCH])
+SIGNED = "row string, cls long, fp long, cells array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"cls": b["cls"], "found": [shingles(t).tobytes() for t in b["text"]]})
+def signatures(width: int, fold):
+    """Of rows(row, text): SIGNED, where fold gives a set's fingerprint."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for row, text in zip(b["row"], b["text"], strict=True):
+                found = shingles(text, width)
+                low = minima(found)
+                bands = low[: BANDS * GROUP].reshape(BANDS, GROUP)
+                cells = np.array([xxhash.xxh3_64_intdigest(v.tobytes(), k) for k, v in enumerate(bands)], np.uint64)
+                # the low bits of a product with an odd number hang on few bits of the value
+                sketch = np.packbits((low >> np.uint64(31) ^ low >> np.uint64(17)) & np.uint64(1) == 1).view(np.uint64)
+                cls = xxhash.xxh3_64_intdigest(found.tobytes(), SEED)
+                rows.append((row, *_signed(np.array([cls, fold(found)], np.uint64)), _signed(cells), *_signed(sketch)))
+            yield pd.DataFrame(rows, columns=["row", "cls", "fp", "cells", *SKETCH])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "found": [shingles(t, width).tobytes() for t in b["text"]]})
+
+    return run
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -105,54 +116,18 @@ def _decided(least: float):
     return run
 
 
-def _close(left: str, right: str):
+def close(left: str, right: str):
     """The sketches of two sides differ in few bits."""
-    apart = sum(F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _SKETCH)
+    apart = sum(F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH)
     return apart <= SKETCH_BITS
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of (a, b) those whose sets are alike; texts(cls, text) has every class."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = materialize(texts.join(ends, "cls", "left_semi").mapInPandas(_sets, "cls long, found binary"), "minhash-sets")
+    sets = materialize(texts.join(ends, "cls", "left_semi").mapInPandas(_sets(width), "cls long, found binary"), "minhash-sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
     done = materialize(both.mapInPandas(_decided(least), "a long, b long"), "minhash-links")
     discard(sets)
     return done
-
-
-def near_duplicates(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(row, component) for rows(row, text): `row` names a row, equal names have
-    equal texts; a component holds the rows joined by chains of similarity
-    `least` or more."""
-    schema = "row string, cls long, cells array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
-    signed = materialize(rows.mapInPandas(_signatures, schema), "minhash-rows")
-    classes = signed.dropDuplicates(["cls"])
-    posted = materialize(classes.select(F.explode("cells").alias("cell"), "cls", *_SKETCH), "minhash-cells")
-    named = signed.groupBy("cls").agg(F.min("row").alias("row"))
-    texts = rows.join(named, "row").select("cls", "text").dropDuplicates(["cls"])
-
-    lead = posted.groupBy("cell").agg(F.min(F.struct("cls", *_SKETCH)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    lead = materialize(lead.select("cell", F.col("lead.cls").alias("cls"), *[F.col(f"lead.{s}").alias(s) for s in _SKETCH]), "minhash-leads")
-    x, y = posted.alias("x"), lead.alias("y")
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") > F.col("y.cls")) & _close("x", "y"))
-    stars = materialize(met.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct(), "minhash-stars")
-    first = _verified(stars, texts, least)
-    roots = components(first)
-
-    mixed = posted.join(lead.select("cell"), "cell", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    mixed = materialize(mixed.withColumn("root", F.coalesce("root", "cls")), "minhash-mixed")
-    shares = mixed.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    major = shares.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("k")).filter("k > 1")
-    mixed = mixed.join(major.select("cell", "major"), "cell")
-    x, y = mixed.filter("root <> major").alias("x"), mixed.alias("y")
-    unlike = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y")
-    met = x.join(y, unlike).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    rest = materialize(met.distinct().join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    second = _verified(rest, texts, least)
-
-    whole = materialize(components(first.unionByName(second)), "minhash-roots")
-    for df in (posted, lead, stars, rest):
-        discard(df)
-    return signed.select("row", "cls").join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("row", F.coalesce("root", "cls").alias("component"))

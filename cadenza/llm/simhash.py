@@ -15,6 +15,12 @@ CELL rows is passed on in pieces; every pair of pieces is then a task of its own
 Copies with the same fingerprint are one node. Null or empty texts (no word)
 have fingerprint zero and link like any other; rows with a null id take part in
 no link of their own but get their fingerprint's component.
+
+similar_texts() takes a least Jaccard similarity of the shingles' sets in place of a
+distance. Pairs within the distance are candidates there, found as above; as
+fingerprints of less alike texts differ in too many bits for selective grids (10 of
+64 on average at 0.8), the rest come from minima of the sets (minhash.py). All are
+decided by the sets themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import discard, id_text, materialize, partitions, with_id
 from .components import components
 
@@ -53,6 +60,11 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
         np.uint64,
         n - k + 1,
     )
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes."""
     octets = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 512:
         count = np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -276,6 +288,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = minhash.LEAST, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(row, component) for rows(row, text): `row` names a row, equal names have
+    equal texts; a component holds the rows joined by chains of Jaccard
+    similarity `least` or more over shingles of `width` words."""
+    sketch, close = minhash.SKETCH, minhash.close
+    signed = materialize(rows.mapInPandas(minhash.signatures(width, majority), minhash.SIGNED), "simhash-rows")
+    classes = signed.dropDuplicates(["cls"])
+    posted = materialize(classes.select(F.explode("cells").alias("cell"), "cls", *sketch), "minhash-cells")
+    named = signed.groupBy("cls").agg(F.min("row").alias("row"))
+    texts = rows.join(named, "row").select("cls", "text").dropDuplicates(["cls"])
+
+    prints = materialize(classes.groupBy("fp").agg(F.min("cls").alias("node")), "simhash-nodes")
+    within = links(prints, distance, blocks).unionByName(classes.join(prints, "fp").select(F.col("node").alias("a"), F.col("cls").alias("b")))
+    within = within.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    lead = posted.groupBy("cell").agg(F.min(F.struct("cls", *sketch)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    lead = materialize(lead.select("cell", F.col("lead.cls").alias("cls"), *[F.col(f"lead.{s}").alias(s) for s in sketch]), "minhash-leads")
+    x, y = posted.alias("x"), lead.alias("y")
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") > F.col("y.cls")) & close("x", "y"))
+    stars = within.unionByName(met.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")))
+    stars = materialize(stars.distinct(), "minhash-stars")
+    first = minhash.verified(stars, texts, width, least)
+    roots = components(first)
+
+    mixed = posted.join(lead.select("cell"), "cell", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    mixed = materialize(mixed.withColumn("root", F.coalesce("root", "cls")), "minhash-mixed")
+    shares = mixed.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    major = shares.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("k")).filter("k > 1")
+    mixed = mixed.join(major.select("cell", "major"), "cell")
+    x, y = mixed.filter("root <> major").alias("x"), mixed.alias("y")
+    unlike = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & close("x", "y")
+    met = x.join(y, unlike).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    rest = materialize(met.distinct().join(stars, ["a", "b"], "left_anti"), "minhash-rest")
+    second = minhash.verified(rest, texts, width, least)
+
+    whole = materialize(components(first.unionByName(second)), "minhash-roots")
+    for df in (posted, lead, prints, stars, rest):
+        discard(df)
+    return signed.select("row", "cls").join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("row", F.coalesce("root", "cls").alias("component"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

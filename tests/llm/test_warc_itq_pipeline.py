@@ -152,11 +152,12 @@ def test_pipeline_against_plain_versions(spark):
     kept = {r["doc_id"] for r in quality.judge(docs, crf).filter("kept").select("doc_id").collect()}
     assert good.columns == docs.columns and {r["doc_id"] for r in good.select("doc_id").collect()} == kept
 
-    from .test_simhash_components import brute_fp, groups
+    from .test_minhash import brute_set, similarity
+    from .test_simhash_components import groups
 
     rows = good.orderBy("doc_id").collect()
-    fps = [brute_fp(r["text"]) for r in rows]
-    roots = groups(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    sets = [brute_set(r["text"]) for r in rows]
+    roots = groups(len(rows), lambda i, j: similarity(sets[i], sets[j]) >= 0.8)
     single = stage["simhash_near_dedup"](spark, good, SF)
     assert single.columns == docs.columns
     assert sorted(r["doc_id"] for r in single.select("doc_id").collect()) == [r["doc_id"] for i, r in enumerate(rows) if roots[i] == i]
