@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm import minhash, packing, pii, quality, suffix_dedup
+from cadenza.llm import packing, pii, quality, simhash, suffix_dedup
 from cadenza.llm.common import materialize, prepare, table
 
 
@@ -39,7 +39,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     last), of these the one of least text hash. Ids may repeat or be null."""
     prepare(spark)
     named = docs.withColumn(_ROW, _row(docs))
-    found = minhash.near_duplicates(named.select(F.col(_ROW).alias("row"), "text"))
+    found = simhash.similar_texts(named.select(F.col(_ROW).alias("row"), "text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     ids = named.select(F.col(_ROW).alias("row"), "doc_id").distinct()
     lead = found.distinct().join(ids, "row").groupBy("component").agg(F.min(order).alias("lead"))
