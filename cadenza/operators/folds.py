@@ -11,32 +11,39 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 Step = Callable[[Any, tuple], tuple[Any, Any]]
 
+#: Kinds of results that a step may give.
+KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+
 
 def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, output: str, kind: str, start: Any = None) -> DataFrame:
     """df with a column `output` of type `kind`: step(state, inputs) gives the
-    next state and the row's value; a series begins with `start`."""
-    schema = StructType([*df.schema.fields, StructField(output, _parse_datatype_string(kind))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    next state and the row's value; a series begins with `start`. Rows without a
+    key are one series. Only the inputs are read in Python, as they are (a null
+    as None); the other columns pass by in Arrow's form."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")
+    rows = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(key, *order)
+    rows = rows.select(own, F.col(f"`{key}`").cast("string").alias("series"), *[F.col(f"`{c}`").alias(f"in{k}") for k, c in enumerate(inputs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = start, object()
         for b in batches:
             values = []
-            columns = [b[c].tolist() for c in inputs]
-            for k, *row in zip(b[key].tolist(), *columns, strict=True):
+            columns = [b.column(f"in{k}").to_pylist() for k in range(len(inputs))]
+            for k, *row in zip(b.column("series").to_pylist(), *columns, strict=True):
                 if k != now:
                     state, now = start, k
                 state, value = step(state, tuple(row))
                 values.append(value)
-            yield b.assign(**{output: values})
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(values, KINDS[kind])], ["own", "made"])
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    made = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, made {kind}")
+    return made.select(*[F.col("own").getField(c).alias(c) for c in df.columns], F.col("made").alias(output))
 
 
 @dataclass(frozen=True)
@@ -138,6 +145,22 @@ class LineRoll:
         return target, target
 
 
+@dataclass(frozen=True)
+class LineRollDriver:
+    """LineRoll with its counts: (angle, updates, misses) after each row."""
+
+    roll: LineRoll = LineRoll()
+
+    def __call__(self, state, row):
+        angle, updates, misses = state or (None, 0, 0)
+        value = row[0]
+        missing = value is None or value != value
+        miss = missing or (angle is not None and self.roll.jump > 0 and abs(value - angle) > self.roll.jump)
+        angle, _ = self.roll(angle, row)
+        state = (angle, updates + (not miss), misses + miss)
+        return state, [angle, float(state[1]), float(state[2])]
+
+
 @dataclass(frozen=True)
 class Blend:
     """Flow prediction corrected towards a detection. Inputs: predicted,

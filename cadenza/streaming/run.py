@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, a temporary one on a single
-    machine without it."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a
+    local master without it a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or "file://" + tempfile.mkdtemp(prefix="cadenza-stream-")).rstrip("/")
 
 
