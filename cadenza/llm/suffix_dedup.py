@@ -22,7 +22,7 @@ bounded size over their fingerprints, which lets a few others through, and only
 work where it is too full). Where all surroundings are equal the whole run repeats;
 where they differ, each distinct surrounding comes along once and every string in it
 is looked up among those of its fingerprint, and compared byte by byte. Texts with
-more than HOT suffixes are not gathered: their strings are dealt out, each by itself,
+more than HOT distinct surroundings are not gathered: their strings are dealt out, each by itself,
 under fingerprints of 128 bits. Equal surroundings are told by 128 bits too
 (fingerprints of the 32 bytes and of the surroundings).
 
@@ -47,12 +47,14 @@ from .common import discard, materialize, partitions, remove, scratch
 LENGTH = 200
 GRAM = 32
 #: Batches that a table given at once is dealt to.
-BATCHES = 8
-HOT = 1000
+BATCHES = 4
+HOT = 20_000
 #: A bitmap's size, as a power of two: at least, at most (64 MB).
 FILTER_BITS = (20, 29)
 BLOCK = 16
 BUFFER = 1 << 18
+#: Bits of a place in a buffer, whatever its size; a longer text is cut to overlapping parts.
+PLACE_BITS = 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -101,20 +103,16 @@ def gram_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def _least(values: np.ndarray, window: int) -> np.ndarray:
-    """The place of the least value, leftmost of equals, in each window."""
-    at = np.arange(len(values), dtype=np.int32)
-
-    def joined(step: int):
-        right = values[step:] < values[:-step]
-        return np.where(right, values[step:], values[:-step]), np.where(right, at[step:], at[:-step])
-
-    width = 1
+    """The place of the least value by its high bits, leftmost of equals, in each
+    window: a rule that hangs on the window's own values alone."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    best, width = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while width * 2 <= window:
-        values, at = joined(width)
+        best = np.minimum(best[:-width], best[width:])
         width *= 2
-    if window > width:
-        values, at = joined(window - width)
-    return at
+    if rest := window - width:
+        best = np.minimum(best[:-rest], best[rest:])
+    return best & low
 
 
 def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int):
@@ -135,26 +133,28 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int):
     return text, p, a, b, gram[p].view(np.int64), around.view(np.int64)
 
 
-def _buffers(texts: list, length: int, buffer: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts long enough for a match, joined to buffers of some bytes (a longer
-    text is a buffer of its own)."""
-    rows, raws, size = [], [], 0
+def _buffers(texts: list, length: int, buffer: int, most: int = 1 << PLACE_BITS) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts long enough for a match, joined to buffers of some bytes: (text
+    numbers, bytes, begins, ends, offsets in the text). A longer text is a buffer
+    of its own, one beyond `most` bytes several, which share length - 1 bytes."""
+    rows, raws, places, size = [], [], [], 0
 
     def joined():
         n = np.fromiter(map(len, raws), np.int64, len(raws))
         end = np.cumsum(n)
-        return rows, np.frombuffer(b"".join(raws), np.uint8), end - n, end
+        return rows, np.frombuffer(b"".join(raws), np.uint8), end - n, end, np.array(places)
 
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        if len(raw) < length:
-            continue
-        if size and size + len(raw) > buffer:
-            yield joined()
-            rows, raws, size = [], [], 0
-        rows.append(i)
-        raws.append(raw)
-        size += len(raw)
+        for at in range(0, len(raw) - length + 1, most - length + 1):
+            part = raw[at : at + most] if len(raw) > most else raw
+            if size and size + len(part) > buffer:
+                yield joined()
+                rows, raws, places, size = [], [], [], 0
+            rows.append(i)
+            raws.append(part)
+            places.append(at)
+            size += len(part)
     if rows:
         yield joined()
 
@@ -170,7 +170,7 @@ def _index(length: int, buffer: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             batch = b.column("batch").to_numpy(zero_copy_only=False)
-            for rows, data, begin, end in _buffers(b.column("text").to_pylist(), length, buffer):
+            for rows, data, begin, end, _ in _buffers(b.column("text").to_pylist(), length, buffer):
                 text, p, _, _, _, around = anchors(data, begin, end, length)
                 grams = data[p[:, None] + np.arange(GRAM)]
                 yield pa.RecordBatch.from_arrays([pa.array(batch[np.array(rows)[text]], pa.int32()), _fixed(grams), pa.array(around)], ["batch", "gram", "around"])
@@ -300,16 +300,16 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return hit
 
 
-_SUFFIX = "row binary, key long, around long, place int, head int, tail int, hot boolean, body binary"
+_SUFFIX = "row binary, key long, around long, place int, head int, tail int, mixed boolean, body binary"
 
 
-def _candidates(length: int, buffer: int, all_words, mixed_words, hot_words, bits: int):
+def _candidates(length: int, buffer: int, all_words, mixed_words, bits: int):
     """head, tail: from the anchor back to the first and the last start."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             row = part["row"].to_numpy()
-            for rows, data, begin, end in _buffers(part["text"].tolist(), length, buffer):
+            for rows, data, begin, end, offset in _buffers(part["text"].tolist(), length, buffer):
                 text, p, a, b, key, around = anchors(data, begin, end, length)
                 hit = np.flatnonzero(in_bitmap(all_words.value, key, bits))
                 if not len(hit):
@@ -322,10 +322,10 @@ def _candidates(length: int, buffer: int, all_words, mixed_words, hot_words, bit
                         "row": row[np.array(rows)[text]],
                         "key": key,
                         "around": around,
-                        "place": (p - begin[text]).astype(np.int32),
+                        "place": (p - begin[text] + offset[text]).astype(np.int32),
                         "head": (p - a).astype(np.int32),
                         "tail": (p - b).astype(np.int32),
-                        "hot": mixed & in_bitmap(hot_words.value, key, bits),
+                        "mixed": mixed,
                         "body": [raw[x : y + length] if m else None for x, y, m in zip(a.tolist(), b.tolist(), mixed.tolist(), strict=True)],
                     }
                 )
@@ -477,16 +477,20 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES,
         discard(m)
     send = spark.sparkContext.broadcast
     bits = bitmap_bits(matches.count())
-    crowded = matches.filter(F.col("mixed") & (F.col("n") > hot))
-    words = [send(bitmap(m, bits)) for m in (matches, matches.filter("mixed"), crowded)]
+    words = [send(bitmap(m, bits)) for m in (matches, matches.filter("mixed"))]
+    discard(matches)
     found = materialize(rows.select("row", "text").mapInPandas(_candidates(length, buffer, *words, bits), _SUFFIX), "suffix-found")
     for w in words:
         w.destroy()
-    dealt = _classes(found.filter("not hot")).repartition(partitions(spark), "key").sortWithinPartitions("key")
+    crowded = found.filter("mixed").select("key", "around").distinct().groupBy("key").count().filter(F.col("count") > hot).select("key")
+    crowded = materialize(crowded, "suffix-crowded")
+    some = not crowded.isEmpty()
+    cold = found.join(crowded, "key", "left_anti") if some else found
+    dealt = _classes(cold).repartition(partitions(spark), "key").sortWithinPartitions("key")
     runs = materialize(dealt.mapInPandas(_resolve(length), _RESOLVED), "suffix-resolved")
-    if not crowded.isEmpty():
-        runs = runs.unionByName(_hot_runs(_classes(found.filter("hot")), length))
-    discard(matches)
+    if some:
+        runs = runs.unionByName(_hot_runs(_classes(found.join(crowded, "key", "left_semi")), length))
+    discard(crowded)
     joined = found.select("row", "key", "around", "place").join(runs, ["key", "around"])
     return joined.select("row", (F.col("place") - F.col("first")).alias("start"), (F.col("place") - F.col("last") + length).alias("stop"))
 

@@ -68,6 +68,15 @@ def test_anchors_hang_on_the_string_alone():
     assert len(places) == 1
 
 
+def test_long_texts_are_cut_to_parts_that_share_bytes():
+    t = prose(5000)
+    raw = t.encode()
+    parts = [(data.tobytes(), int(o[0])) for _, data, _, _, o in suffix_dedup._buffers([t], 200, 1, most=700)]
+    assert all(raw[o : o + len(d)] == d and len(d) >= 200 for d, o in parts)
+    starts = [s for d, o in parts for s in range(o, o + len(d) - 199)]
+    assert starts == list(range(len(raw) - 199))
+
+
 def test_unlike_strings_of_one_mark():
     data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
     at = np.array([0, 4, 8, 12])
