@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import project
 from .gates import finite, ratio
 
 
@@ -102,8 +103,50 @@ def median_reprojection(error: Column) -> Column:
     return F.coalesce(F.percentile(error, F.lit(0.5)), F.lit(float("inf")))
 
 
+def unit_coverage(points: Column, h: Column) -> tuple[Column, Column]:
+    """Coverage of points seen through a transform to the unit square; the
+    points of a row are an array."""
+    at = project(points, h)
+
+    def spread(axis: str) -> Column:
+        v = F.array_sort(F.transform(at, lambda p: p[axis]))
+        n = F.size(v)
+
+        def quantile(q: float) -> Column:
+            place = F.lit(q) * (n - 1)
+            low = F.floor(place).cast("int")
+            a, b = F.element_at(v, low + 1), F.element_at(v, F.least(low + 2, n))
+            return a + (b - a) * (place - low)
+
+        return F.when(n < 2, 0.0).otherwise(F.greatest(F.lit(0.0), quantile(0.95) - quantile(0.05)))
+
+    return spread("x"), spread("y")
+
+
+def background_level(gray: Column, masked: Column, white: float, share: float) -> Column:
+    """The lesser of the white threshold and a percentile of the masked gray
+    values of a group; the threshold if nothing is masked."""
+    return F.least(F.lit(white), F.coalesce(F.percentile(F.when(masked, gray), F.lit(share)), F.lit(white)))
+
+
+def best_by(value: str, *order: str) -> Column:
+    """The value of a group's greatest row by several columns."""
+    return F.max_by(value, F.struct(*order))
+
+
 def angle_summary(df: DataFrame, key: list[str], angle: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.avg(angle).alias("mean"), F.stddev_pop(angle).alias("std"), F.percentile(F.abs(angle), F.lit(0.95)).alias("p95_abs"))
+    """Mean, population deviation and p95 of the absolute angle. Equal absolute
+    values are counted before they meet, so a group costs its distinct values."""
+    plain = df.groupBy(*key).agg(F.avg(angle).alias("mean"), F.stddev_pop(angle).alias("std"))
+    counted = df.filter(F.col(angle).isNotNull()).groupBy(*key, F.abs(angle).alias("__a")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*key)
+    run = counted.withColumns({"__to": F.sum("__n").over(w.orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(w)})
+    place = 0.95 * (F.col("__all") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    at = lambda k: F.min(F.when(F.col("__to") > k, F.col("__a")))
+    found = run.groupBy(*key).agg(at(low).alias("__low"), at(high).alias("__high"), F.max(place - low).alias("__t"))
+    p95 = F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__t")
+    return plain.join(found, key, "left").select(*key, "mean", "std", p95.alias("p95_abs"))
 
 
 def improvement_ratio(df: DataFrame, key: list[str], method: str, value: str, base: str, other: str) -> DataFrame:

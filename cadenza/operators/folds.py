@@ -77,15 +77,16 @@ def quad_measures(q: tuple) -> tuple[float, ...]:
 @dataclass(frozen=True)
 class GeometryGate:
     """The corner trajectory's gate. Inputs: reliable and the eight corner
-    coordinates. The first row comes out true, but is compared with only if it
-    was reliable."""
+    coordinates. The first row comes out true, unless first_true is off, but is
+    compared with only if it was reliable."""
 
     scale_step: float = 0.035
     area_step: float = 0.08
+    first_true: bool = True
 
     def __call__(self, state, row):
         reliable, quad = row[0], row[1:]
-        seen, last = state or (False, None)
+        seen, last = state or (not self.first_true, None)
         if not reliable:
             return (True, last), not seen
         now = quad_measures(quad)

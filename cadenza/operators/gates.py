@@ -133,6 +133,11 @@ def flow_consistent(forward: Column, backward: Column, drift: Column, most: floa
     return forward & backward & (drift < most)
 
 
+def mature(valid: Column, age: Column, least: int = 15) -> Column:
+    """Points tracked well and long enough to be fitted."""
+    return valid & (age >= least)
+
+
 def keep_after_accept(error: Column, most_error: float) -> Column:
     return error <= max(3.0, 1.5 * most_error)
 
@@ -153,10 +158,18 @@ def line_candidate_ok(length: Column, angle: Column, width, most_angle: float, l
     return (length >= F.greatest(F.lit(least), F.floor(F.lit(width) / share))) & (F.abs(angle) <= most_angle)
 
 
-def component_ok(area: Column, frame_area: Column, intersects: Column, touches: Column, long: Column, short: Column, fill: Column, aspect: Column, angle: Column, least_long, least_short, most_angle: float) -> Column:
+def frames_the_picture(box: Column, width, height) -> Column:
+    """A box of struct x0, y0, x1, y1 (ends exclusive) that comes within a pixel
+    of an edge and is over nine tenths as wide or as high as the picture."""
+    w, h = F.lit(width) if isinstance(width, int) else width, F.lit(height) if isinstance(height, int) else height
+    touches = (box["x0"] <= 1) | (box["y0"] <= 1) | (box["x1"] >= w - 1) | (box["y1"] >= h - 1)
+    return touches & ((box["x1"] - box["x0"] > w * 0.9) | (box["y1"] - box["y0"] > h * 0.9))
+
+
+def component_ok(area: Column, box: Column, width: Column, height: Column, intersects: Column, long: Column, short: Column, fill: Column, aspect: Column, angle: Column, least_long, least_short, most_angle: float) -> Column:
     """A connected component that can be a text line or edge."""
-    framing = touches & (area > 0.9 * frame_area)
-    sized = (area >= 0.002 * frame_area) & (long >= least_long) & (short >= least_short)
+    framing = frames_the_picture(box, width, height)
+    sized = (area >= 0.002 * width * height) & (long >= least_long) & (short >= least_short)
     return sized & intersects & ~framing & (fill >= 0.35) & (aspect >= 1.2) & (F.abs(angle) <= most_angle)
 
 

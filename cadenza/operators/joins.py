@@ -105,6 +105,20 @@ def concat_videos(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def first_points(points: DataFrame, key: list[str], order: str, k: int) -> DataFrame:
+    """The first k points of each group in their detector's order."""
+    w = Window.partitionBy(*key).orderBy(order)
+    return points.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
+
+
+def hit(points: DataFrame, key: list[str], x: float, y: float, radius: float, index: str = "i") -> DataFrame:
+    """The point of each group that is nearest to a place, of equals the first;
+    none beyond the radius."""
+    far = F.hypot(F.col("x") - x, F.col("y") - y)
+    near = points.withColumn("__d", far).filter(F.col("__d") <= radius)
+    return near.groupBy(*key).agg(F.min_by(index, F.struct("__d", index)).alias(index))
+
+
 def top_points(points: DataFrame, key: list[str], quality: str, k: int, tie: Column | str = "point_id") -> DataFrame:
     w = Window.partitionBy(*key).orderBy(F.desc(quality), tie)
     return points.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -111,6 +111,20 @@ def smooth_corners(df: DataFrame, series: Series, columns: list[str], median: in
     return out.withColumns({c: F.col("__quad")[k // 2]["x" if k % 2 == 0 else "y"] for k, c in enumerate(columns)}).drop("__quad")
 
 
+def smooth_residual(df: DataFrame, series: Series, transform: str, median: int, mean: int) -> DataFrame:
+    """The transforms of a series taken apart to translation, rotation and mean
+    scale, smoothed, and put together as similarities; a missing transform's
+    NaN spreads as far as the windows reach."""
+    from ..functions.geometry import components, similarity
+
+    names = ["translation_x", "translation_y", "rotation_deg", "scale_avg"]
+    parts = df.withColumn("__c", components(F.col(transform)))
+    parts = parts.withColumns({f"__{n}": F.col("__c")[n] for n in names}).drop("__c")
+    columns = [f"__{n}" for n in names]
+    out = smooth_trajectory(parts, series, columns, median, mean)
+    return out.withColumn(transform, similarity(*[F.col(c) for c in columns])).drop(*columns)
+
+
 def adjacent(df: DataFrame, series: Series, columns: list[str]) -> DataFrame:
     """Each column's previous value beside it, as previous_<name>; first rows
     have none."""

@@ -276,8 +276,9 @@ def component_lines(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.
     out = []
     for p in components(mask):
         x0, y0, x1, y1 = p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max()
-        touches = x0 == 0 or y0 == 0 or x1 == w - 1 or y1 == h - 1
-        if not select[int(y0) : int(y1) + 1, int(x0) : int(x1) + 1].any() or (touches and (x1 - x0 + 1) * (y1 - y0 + 1) > 0.9 * w * h):
+        touches = x0 <= 1 or y0 <= 1 or x1 >= w - 2 or y1 >= h - 2
+        framing = touches and (x1 - x0 + 1 > 0.9 * w or y1 - y0 + 1 > 0.9 * h)
+        if not select[int(y0) : int(y1) + 1, int(x0) : int(x1) + 1].any() or framing:
             continue
         axes = np.linalg.eigh(np.cov((p - p.mean(0)).T))[1]
         major = axes[:, 1] * (1 if axes[0, 1] >= 0 else -1)

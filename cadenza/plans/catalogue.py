@@ -523,19 +523,15 @@ def geometry_step_gate(spark, d):
 
 
 _SQUARE = """d0 AS (SELECT *, tr_x - br_x AS dx1, bl_x - br_x AS dx2, tl_x - tr_x + br_x - bl_x AS sx, tr_y - br_y AS dy1, bl_y - br_y AS dy2, tl_y - tr_y + br_y - bl_y AS sy FROM ordered),
-d1 AS (SELECT *, dx1 * dy2 - dx2 * dy1 AS den FROM d0), d2 AS (SELECT *, (sx * dy2 - dx2 * sy) / den AS g, (dx1 * sy - sx * dy1) / den AS h FROM d1 WHERE abs(den) > 1000),
+d1 AS (SELECT *, dx1 * dy2 - dx2 * dy1 AS den FROM d0), d2 AS (SELECT *, (sx * dy2 - dx2 * sy) / nullif(den, 0) AS g, (dx1 * sy - sx * dy1) / nullif(den, 0) AS h FROM d1),
 d3 AS (SELECT *, tr_x - tl_x + g * tr_x AS a, bl_x - tl_x + h * bl_x AS b, tl_x AS c, tr_y - tl_y + g * tr_y AS dd, bl_y - tl_y + h * bl_y AS e, tl_y AS f FROM d2),
 adj AS (SELECT vec_id, q, e - f * h AS m0, c * h - b AS m1, b * f - c * e AS m2, f * g - dd AS m3, a - c * g AS m4, c * dd - a * f AS m5, dd * h - e * g AS m6, b * g - a * h AS m7, a * e - b * dd AS m8 FROM d3),
-hom AS (SELECT vec_id, q, """ + ", ".join(f"({'1919.0 * ' if k < 3 else '1079.0 * ' if k < 6 else ''}m{k}) / m8 AS h{k}" for k in range(9)) + " FROM adj WHERE abs(m8) > 1000)"
+hom AS (SELECT vec_id, q, """ + ", ".join(f"({'1919.0 * ' if k < 3 else '1079.0 * ' if k < 6 else ''}m{k}) / nullif(m8, 0) AS h{k}" for k in range(9)) + " FROM adj)"
 
 
 def _homographies(spark, d):
-    q = _quads(spark, d).withColumn("s", once(G._square_to_quad(F.col("quad"))))
-    p = [F.col("quad")[i] for i in range(4)]
-    s = [F.col("s")[i] for i in range(9)]
-    den = (p[1]["x"] - p[2]["x"]) * (p[3]["y"] - p[2]["y"]) - (p[3]["x"] - p[2]["x"]) * (p[1]["y"] - p[2]["y"])
-    q = q.filter((F.abs(den) > 1000) & (F.abs(s[0] * s[4] - s[1] * s[3]) > 1000))
-    return q.select("vec_id", "q", "quad", once(G.homography(F.col("quad"), G.canvas(1920, 1080))).alias("h"))
+    """Every quadrilateral; entries are null where there is no transform."""
+    return _quads(spark, d).select("vec_id", "q", once(G.homography(F.col("quad"), G.canvas(1920, 1080))).alias("h"))
 
 
 def _sig(x: str) -> str:
@@ -555,24 +551,22 @@ def homography_4pt(spark, d):
     return h.select("vec_id", "q", *[sig(F.col("h")[k]).alias(f"h{k}") for k in range(9)])
 
 
-@query(f"WITH {_ORDERED}, {_SQUARE} SELECT vec_id, q, {_r('(h0 * 7.0 + h1 * 11.0 + h2) / (h6 * 7.0 + h7 * 11.0 + h8)')} AS x, {_r('(h3 * 7.0 + h4 * 11.0 + h5) / (h6 * 7.0 + h7 * 11.0 + h8)')} AS y FROM hom WHERE abs(h6 * 7.0 + h7 * 11.0 + h8) > 0.05")
+_W = "nullif(h6 * 7.0 + h7 * 11.0 + h8, 0)"
+
+
+@query(f"WITH {_ORDERED}, {_SQUARE}, p AS (SELECT vec_id, q, (h0 * 7.0 + h1 * 11.0 + h2) / {_W} AS x, (h3 * 7.0 + h4 * 11.0 + h5) / {_W} AS y FROM hom) SELECT vec_id, q, {_sig('x')} AS x, {_sig('y')} AS y FROM p")
 def project_points(spark, d):
-    h = _homographies(spark, d)
-    w = F.col("h")[6] * 7.0 + F.col("h")[7] * 11.0 + F.col("h")[8]
-    p = G.project(F.array(G.point(F.lit(7.0), F.lit(11.0))), F.col("h"))[0]
-    return rounded(h.filter(F.abs(w) > 0.05).select("vec_id", "q", p["x"].alias("x"), p["y"].alias("y")))
+    p = _homographies(spark, d).select("vec_id", "q", once(G.project(F.array(G.point(F.lit(7.0), F.lit(11.0))), F.col("h"))[0]).alias("p"))
+    return p.select("vec_id", "q", sig(F.col("p.x")).alias("x"), sig(F.col("p.y")).alias("y"))
 
 
 _INV = ["h4 * h8 - h5 * h7", "h2 * h7 - h1 * h8", "h1 * h5 - h2 * h4", "h5 * h6 - h3 * h8", "h0 * h8 - h2 * h6", "h2 * h3 - h0 * h5", "h3 * h7 - h4 * h6", "h1 * h6 - h0 * h7", "h0 * h4 - h1 * h3"]
 
 
-@query(f"WITH {_ORDERED}, {_SQUARE}, i AS (SELECT vec_id, q, h0 * ({_INV[0]}) + h1 * ({_INV[3]}) + h2 * ({_INV[6]}) AS det, {', '.join(f'{e} AS a{k}' for k, e in enumerate(_INV))} FROM hom), j AS (SELECT vec_id, q, {', '.join(f'a{k} / det AS v{k}' for k in range(9))} FROM i WHERE abs(det) > 1e-6) SELECT vec_id, q, {', '.join(f'round(v{k} / v8, 4) + 0.0 AS v{k}' for k in range(9))} FROM j WHERE abs(v8) > 1e-3")
+@query(f"WITH {_ORDERED}, {_SQUARE}, i AS (SELECT vec_id, q, h0 * ({_INV[0]}) + h1 * ({_INV[3]}) + h2 * ({_INV[6]}) AS det, {', '.join(f'{e} AS a{k}' for k, e in enumerate(_INV))} FROM hom), j AS (SELECT vec_id, q, {', '.join(f'a{k} / nullif(det, 0) AS v{k}' for k in range(9))} FROM i) SELECT vec_id, q, {', '.join(f'{_sig(f'v{k}')} AS v{k}' for k in range(9))} FROM j")
 def invert_homography(spark, d):
-    h = _homographies(spark, d)
-    m = [F.col("h")[i] for i in range(9)]
-    adj = G._adjugate(m)
-    h = h.filter(F.abs(m[0] * adj[0] + m[1] * adj[3] + m[2] * adj[6]) > 1e-6).withColumn("v", once(G.invert(F.col("h")))).filter(F.abs(F.col("v")[8]) > 1e-3)
-    return h.select("vec_id", "q", *[(F.round(F.col("v")[k] / F.col("v")[8], 4) + F.lit(0.0)).alias(f"v{k}") for k in range(9)])
+    h = _homographies(spark, d).select("vec_id", "q", once(G.invert(F.col("h"))).alias("v"))
+    return h.select("vec_id", "q", *[sig(F.col("v")[k]).alias(f"v{k}") for k in range(9)])
 
 
 _AFFINE = "m AS (SELECT vec_id, q, 1 + x0 / 1000 AS a, y0 / 1000 AS b, x1 AS tx, x2 / 1000 AS c, 1 + y2 / 1000 AS d, y1 AS ty FROM quads)"
@@ -695,23 +689,39 @@ def parse_frame_list(spark, d):
     return read(spark, d, "part").select("p_partkey", F.array_join(frames.cast("array<string>"), ":").alias("frames"))
 
 
-@query()
+@query(f"""WITH {_OBS}, e AS (SELECT *, max(t) OVER (PARTITION BY user_id) AS last_t FROM obs)
+SELECT CAST(user_id AS VARCHAR) AS video, count(*) AS pairs, count(*) FILTER (WHERE ok) AS ok_pairs, {_metric_sql("value", "value", "ok")},
+  count(*) FILTER (WHERE {_TAIL}) AS last_pairs, count(*) FILTER (WHERE ok AND {_TAIL}) AS last_ok_pairs, {_metric_sql("value", "value", f"ok AND {_TAIL}", "last_")}
+FROM e GROUP BY user_id""")
 def summary_json(spark, d):
-    """The nested summary document of all series, one row."""
+    """The nested summary documents, one a series, written and read again."""
+    import uuid
     from datetime import datetime
 
-    from ..sources.tables import summary_document
+    from ..sources.tables import read_summary, summary_documents
+    from ..streaming.run import shared_folder
+
+    s, metrics = last_n_seconds_summary(spark, d), ("mean", "p95", "max")
+
+    def part(prefix: str):
+        metric = F.struct(*[F.col(f"{prefix}value_{m}").alias(m) for m in metrics])
+        return F.struct(F.col(f"{prefix}pairs").alias("pairs"), F.col(f"{prefix}ok_pairs").alias("ok_pairs"), metric.alias("translation_px"))
 
-    s = stability_summary(spark, d)
-    metric = F.struct(F.col("value_mean").alias("mean"), F.col("value_p95").alias("p95"), F.col("value_max").alias("max"))
-    whole = F.struct("pairs", "ok_pairs", metric.alias("translation_px"))
-    rows = s.select(F.struct(F.col("user_id").cast("string").alias("video")).alias("video"), whole.alias("all"), whole.alias("last_seconds"))
-    return summary_document(rows, datetime(2026, 1, 1))
+    rows = s.select(F.struct(F.col("user_id").cast("string").alias("video")).alias("video"), part("").alias("all"), part("last_").alias("last_seconds"))
+    path = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    summary_documents(rows, datetime(2026, 1, 1)).write.text(path)
+    back = read_summary(spark, path, lines=True)
+    out = [F.col("video.video").alias("video")]
+    for prefix, name in (("", "all"), ("last_", "last_seconds")):
+        out += [F.col(f"{name}.pairs").alias(f"{prefix}pairs"), F.col(f"{name}.ok_pairs").alias(f"{prefix}ok_pairs")]
+        out += [F.col(f"{name}.translation_px.{m}").alias(f"{prefix}value_{m}") for m in metrics]
+    return rounded(back.select(*out))
 
 
-@query()
+@query("SELECT vec_id, 28 AS inliers, CAST(0.9 AS DOUBLE) AS a, CAST(0.2 AS DOUBLE) AS b, CAST(5 AS DOUBLE) AS tx, CAST(-3 AS DOUBLE) AS ty FROM embeddings")
 def ransac_similarity(spark, d):
-    """Robust similarity of each frame's points, seeded."""
+    """Robust similarity of each frame's points, seeded; every eighth is moved,
+    so the transform of the others is known."""
     from ..operators.vision import fit_similarity, ransac
 
     p = _points(spark, d)
@@ -728,7 +738,7 @@ def ransac_similarity(spark, d):
         m = np.full((3, 3), np.nan) if m is None else m
         return pd.DataFrame({"vec_id": [pdf["vec_id"].iloc[0]], "inliers": [int(inside.sum())], "a": [m[0, 0]], "b": [m[1, 0]], "tx": [m[0, 2]], "ty": [m[1, 2]]})
 
-    return p.groupBy("vec_id").applyInPandas(fit, "vec_id long, inliers long, a double, b double, tx double, ty double")
+    return rounded(p.groupBy("vec_id").applyInPandas(fit, "vec_id long, inliers long, a double, b double, tx double, ty double"))
 
 
 def _stream(spark, d):
@@ -770,11 +780,7 @@ def smooth_quads(spark, d):
     return rounded(centred_filter(rows, Series("vec_id", "q"), ["tl_x"], 3, "mean").select("vec_id", "q", "tl_x"))
 
 
-@query()
-def smooth_corner_trajectory(spark, d):
-    """Median and mean of all eight coordinates, corners ordered anew."""
-    rows = _quads(spark, d).select("vec_id", "q", *_corner_columns(F.col("quad")))
-    return rounded(smooth_corners(rows, Series("vec_id", "q"), _CORNERS, 3, 3))
+from . import more  # noqa: E402, F401  registers the rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import shlex
 from dataclasses import dataclass, fields, replace
 
 
+def split_extra_args(text: str) -> list[str]:
+    """Words of a command line, quotes as in a shell; a word that ends in a
+    hyphen goes on in the next."""
+    words, out = iter(shlex.split(text)), []
+    for word in words:
+        out.append(word + next(words, "") if word.endswith("-") else word)
+    return out
+
+
 def _odd(n: int) -> bool:
     return n > 0 and n % 2 == 1
 

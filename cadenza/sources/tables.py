@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,10 +29,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, **o
     return raw.select(*out)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(video, width, height, frame, time_seconds, corners) a row; a document
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of a file each, or of a line each: (video, width, height, frame, time_seconds, corners) a row; a document
     without frames, or a frame without exactly four corners, is an error."""
-    docs = spark.read.schema(schemas.ANNOTATIONS).json(path, multiLine=True)
+    docs = spark.read.schema(schemas.ANNOTATIONS).json(path, multiLine=not lines)
     empty = F.raise_error(F.lit("annotations without frames"))
     docs = docs.withColumn("frames", F.when(F.coalesce(F.size("frames"), F.lit(0)) > 0, F.col("frames")).otherwise(empty))
     rows = docs.select("video", "output_size.width", "output_size.height", F.explode("frames").alias("f"))
@@ -41,9 +41,10 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("video", "width", "height", "f.frame", "f.time_seconds", corners.alias("corners"))
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A stability summary document, a row per video."""
-    docs = spark.read.schema(schemas.SUMMARY).json(path, multiLine=True)
+def read_summary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stability summary documents of a file each, or of a line each, a row per
+    video."""
+    docs = spark.read.schema(schemas.SUMMARY).json(path, multiLine=not lines)
     return docs.select("generated_at", F.explode("summary").alias("s")).select("generated_at", "s.video", "s.all", "s.last_seconds")
 
 
@@ -66,18 +67,23 @@ def frames_at(frames: DataFrame, keys: DataFrame) -> DataFrame:
     return found.withColumn("data", F.when(F.col("data").isNotNull(), F.col("data")).otherwise(missing.cast("binary")))
 
 
-def write_csv(df: DataFrame, path: str, schema: StructType, mode: str = "errorifexists") -> None:
-    """The fixed header: other columns are left out, missing ones blank."""
+def write_csv(df: DataFrame, path: str, schema: StructType, mode: str = "errorifexists", even_empty: bool = True) -> bool:
+    """The fixed header: other columns are left out, missing ones blank. Without
+    even_empty nothing is written for a table of no rows; tells what was done."""
+    if not even_empty and df.isEmpty():
+        return False
     have = set(df.columns)
     out = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     df.select(*out).write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    return True
 
 
-def summary_document(summaries: DataFrame, generated_at: datetime | None = None) -> DataFrame:
-    """One row (json) of summaries(video, all, last_seconds), a row a video."""
+def summary_documents(summaries: DataFrame, generated_at: datetime | None = None) -> DataFrame:
+    """A document (json) for each row of summaries(video, all, last_seconds);
+    videos are never gathered to one."""
     stamp = (generated_at or datetime.now()).replace(microsecond=0).isoformat()
-    entries = F.array_sort(F.collect_list(F.struct("video", "all", "last_seconds")))
-    return summaries.agg(F.to_json(F.struct(F.lit(stamp).alias("generated_at"), entries.alias("summary")), {"pretty": "true"}).alias("json"))
+    entry = F.array(F.struct("video", "all", "last_seconds"))
+    return summaries.select(F.to_json(F.struct(F.lit(stamp).alias("generated_at"), entry.alias("summary"))).alias("json"))
 
 
 def annotation_document(frames: DataFrame, generated_at: datetime | None = None) -> DataFrame:
@@ -90,6 +96,15 @@ def annotation_document(frames: DataFrame, generated_at: datetime | None = None)
     return grouped.select("video", F.to_json(doc).alias("json"))
 
 
+def output_name(output: Column, source: Column, folder: Column) -> Column:
+    """Where a run's video goes: the asked name, else the source's stem with
+    `_normalized`, always within the run's folder; .mp4 if it has no ending."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    stem = F.regexp_replace(last(source), r"(?<=.)\.[^.]*$", "")
+    name = F.coalesce(last(F.nullif(output, F.lit(""))), F.concat(stem, F.lit("_normalized.mp4")))
+    return F.concat(folder, F.lit("/"), F.when(name.rlike(r".\.[^.]+$"), name).otherwise(F.concat(name, F.lit(".mp4"))))
+
+
 def run_directory(spark: SparkSession, root: str, name: str) -> str:
     """The first of name, name_01 ... name_999 that isn't there, created; on any
     file system that Spark knows."""
