@@ -11,14 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.config import Config
 from . import vision as V
+from .aggregates import dominant_direction
 from .folds import GeometryGate, quad_measures
 
-LEAST_POINTS = 20
-NEW_POINTS = 250
-FEW_POINTS = 140
+# Least points of a fit, points taken on, points below which they are
+# renewed, their distance, fit and keep errors in reference pixels, round trip, flow window.
+LEAST_POINTS, NEW_POINTS, FEW_POINTS, APART = 20, 250, 140, 8.0
+FIT_ERROR, KEEP_ERROR, KEEP_FACTOR, ROUND_TRIP, WINDOW = 3.0, 3.0, 1.5, 2.0, 31
 
 
 def order_corners(points: np.ndarray) -> np.ndarray:
@@ -86,23 +89,23 @@ class ReferenceTracker:
     def _follow(self, image: np.ndarray, row: dict) -> str:
         c = self.config
         row["point_count"], row["mature_point_count"] = len(self.now), int((self.age >= c.least_point_age).sum())
-        to, there = V.track(self.before, image, self.now) if len(self.now) else (self.now, np.zeros(0, bool))
+        to, there = V.track(self.before, image, self.now, WINDOW) if len(self.now) else (self.now, np.zeros(0, bool))
         if not there.any():
             return "flow_failed"
-        back, again = V.track(image, self.before, to)
+        back, again = V.track(image, self.before, to, WINDOW)
         if not again.any():
             return "backflow_failed"
-        valid = there & again & (np.hypot(*(back - self.now).T) < 2.0)
+        valid = there & again & (np.hypot(*(back - self.now).T) < ROUND_TRIP)
         mature = valid & (self.age >= c.least_point_age)
         row["valid_count"], row["mature_valid_count"] = int(valid.sum()), int(mature.sum())
         h, reason = None, "not_enough_mature_points"
         if mature.sum() >= LEAST_POINTS:
-            h, inside = V.ransac(self.origin[mature], to[mature], V.fit_homography, 4, 3.0, rounds=200)
+            h, inside = V.ransac(to[mature], self.origin[mature], V.fit_homography, 4, FIT_ERROR, rounds=200)
             reason = "homography_failed" if h is None else self._judged(h, self.origin[mature][inside], to[mature][inside], int(mature.sum()), image.shape, row)
         if reason == "accepted":
-            error = np.hypot(*(V.apply(h, self.origin) - to).T)
-            keep = valid & (error <= max(3.0, 1.5 * c.most_reprojection_error))
-            self.quad = V.apply(h, self.reference_quad)
+            error = np.hypot(*(V.apply(h, to) - self.origin).T)
+            keep = valid & (error <= max(KEEP_ERROR, KEEP_FACTOR * c.most_reprojection_error))
+            self.quad = self._seen(h)
             self.last = quad_measures(tuple(self.quad.reshape(-1)))
             self.origin, self.now, self.age = self.origin[keep], to[keep], self.age[keep] + 1
             if len(self.now) < FEW_POINTS or self.number % c.feature_refresh == 0:
@@ -112,11 +115,15 @@ class ReferenceTracker:
             self.origin, self.now, self.age = self.origin[valid], to[valid], self.age[valid]
         return reason
 
+    def _seen(self, h: np.ndarray) -> np.ndarray:
+        """The reference quad in the current frame; h leads to the reference."""
+        return order_corners(V.apply(np.linalg.inv(h), self.reference_quad))
+
     def _judged(self, h, origin, to, mature: int, shape, row: dict) -> str:
         c, n = self.config, len(origin)
-        error = float(np.median(np.hypot(*(V.apply(h, origin) - to).T))) if n else float("inf")
+        error = float(np.median(np.hypot(*(V.apply(h, to) - origin).T))) if n else float("inf")
         cov = unit_coverage(origin, self.reference_quad)
-        quad = V.apply(h, self.reference_quad)
+        quad = self._seen(h)
         row |= {"inlier_count": n, "inlier_ratio": n / max(1, mature), "reprojection_error": error, "coverage_x": cov[0], "coverage_y": cov[1]}
         steps = self.gate.steps_ok(quad_measures(tuple(quad.reshape(-1))), self.last)
         checks = [
@@ -130,9 +137,9 @@ class ReferenceTracker:
         return next((name for name, fails in checks if fails), "accepted")
 
     def _renew(self, image: np.ndarray, h: np.ndarray) -> None:
-        fresh = apart(self._find(image, self.quad), self.now, 8.0)[:NEW_POINTS]
+        fresh = apart(self._find(image, self.quad), self.now, APART)[:NEW_POINTS]
         if len(fresh):
-            self.origin = np.vstack((self.origin, V.apply(np.linalg.inv(h), fresh)))
+            self.origin = np.vstack((self.origin, V.apply(h, fresh)))
             self.now = np.vstack((self.now, fresh))
             self.age = np.append(self.age, np.zeros(len(fresh), int))
 
@@ -169,12 +176,12 @@ class FlowTracker:
     def _predict(self, image: np.ndarray) -> tuple[np.ndarray | None, int]:
         if self.before is None or self.quad is None or len(self.points) < 12:
             return None, 0
-        to, there = V.track(self.before, image, self.points)
-        back, again = V.track(image, self.before, to)
-        ok = there & again & (np.hypot(*(back - self.points).T) < 2.0)
+        to, there = V.track(self.before, image, self.points, WINDOW)
+        back, again = V.track(image, self.before, to, WINDOW)
+        ok = there & again & (np.hypot(*(back - self.points).T) < ROUND_TRIP)
         if ok.sum() < 12:
             return None, 0
-        h, inside = V.ransac(self.points[ok], to[ok], V.fit_homography, 4, 3.0, rounds=200)
+        h, inside = V.ransac(self.points[ok], to[ok], V.fit_homography, 4, FIT_ERROR, rounds=200)
         self.points = to[ok]
         if h is None or inside.sum() < 12:
             return None, int(inside.sum())
@@ -291,6 +298,25 @@ def component_lines(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.
     return out
 
 
+def contour_lines(image: np.ndarray, mask: np.ndarray, most_angle: float = 3.0, kernel: int = 25, thickness: float = 12.0, least: float | None = None) -> list[tuple[float, float]]:
+    """(angle, length) of thin long components of the edges that are left when
+    runs along the row shorter than the kernel go."""
+    least = max(180, mask.shape[1] // 8) if least is None else least
+    edges = horizontal_edges(image) & mask
+    pad = kernel // 2
+    runs = np.lib.stride_tricks.sliding_window_view(np.pad(edges, ((0, 0), (pad, pad))), kernel, axis=1).all(-1)
+    opened = np.lib.stride_tricks.sliding_window_view(np.pad(runs, ((0, 0), (pad, pad))), kernel, axis=1).any(-1)
+    out = []
+    for p in components(V.dilate(opened, 3)):
+        axes = np.linalg.eigh(np.cov((p - p.mean(0)).T))[1]
+        major = axes[:, 1] * (1 if axes[0, 1] >= 0 else -1)
+        long, short = np.ptp(p @ major) + 1, np.ptp(p @ np.array([-major[1], major[0]])) + 1
+        angle = float(np.degrees(np.arctan2(major[1], major[0])))
+        if long >= least and short <= thickness and abs(angle) <= most_angle:
+            out.append((angle, float(long)))
+    return out
+
+
 def line_candidates(frames: DataFrame, detector: str = "hough", most_angle: float = 3.0) -> DataFrame:
     """(video, frame, angle, length) a row per line candidate, for
     dominant_direction()."""
@@ -302,9 +328,28 @@ def line_candidates(frames: DataFrame, detector: str = "hough", most_angle: floa
                 select = V.line_roll_mask(r.height, r.width)
                 if detector == "hough":
                     found = hough_lines(horizontal_edges(V.gray(image)) & select, most_angle)
+                elif detector == "contour":
+                    found = contour_lines(V.gray(image), select, most_angle)
                 else:
                     found = component_lines(V.foreground(image, np.ones_like(select)), select, most_angle)
                 if found:
                     yield pd.DataFrame({"video": r.video, "frame": r.frame, "angle": [a for a, _ in found], "length": [n for _, n in found]})
 
     return frames.mapInPandas(run, "video string, frame int, angle double, length double")
+
+
+def roll_angles(frames: DataFrame, detector: str = "hough", cluster: float = 0.35, least_segments: int = 2, least_length: float = 1000.0, most_angle: float = 3.0) -> DataFrame:
+    """The line-roll table: each frame's candidates, their consensus and whether
+    it is enough. Fewer candidates than segments are told as they are, with all
+    their length; a frame without any has none."""
+    found = line_candidates(frames, detector, most_angle)
+    agreed = dominant_direction(found, ["video", "frame"], "angle", "length", cluster, least_segments, least_length)
+    total = found.groupBy("video", "frame").agg(F.sum("length").alias("all_length"))
+    rows = frames.select("video", "frame").join(agreed, ["video", "frame"], "left").join(total, ["video", "frame"], "left")
+    raw = F.coalesce("candidates", F.lit(0))
+    few = raw < least_segments
+    return rows.select(
+        "video", "frame", raw.cast("int").alias("raw_candidates"), F.when(few, raw).otherwise(F.col("inliers")).cast("int").alias("same_direction_inliers"),
+        F.when(~few, F.col("dominant_angle")).alias("dominant_angle_deg"), F.col("accepted_angle").alias("accepted_angle_deg"),
+        F.coalesce(F.when(few, F.col("all_length")).otherwise(F.col("inlier_length")), F.lit(0.0)).alias("total_inlier_length_px"), F.coalesce("accepted", F.lit(False)).alias("accepted"),
+    )

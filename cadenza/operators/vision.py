@@ -80,18 +80,82 @@ def largest_component(mask: np.ndarray) -> np.ndarray:
     return label == values[count.argmax()] if len(values) else np.zeros_like(mask)
 
 
+def hull(mask: np.ndarray) -> np.ndarray:
+    """The convex hull of a mask's pixels, clockwise as seen."""
+    rows = np.flatnonzero(mask.any(1))
+    ends = [(int(c), int(r)) for r in rows for c in (mask[r].argmax(), mask.shape[1] - 1 - mask[r, ::-1].argmax())]
+
+    def half(points):
+        out: list[tuple[int, int]] = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ends = sorted(set(ends))
+    return np.array(half(ends) + half(ends[::-1]) if len(ends) > 2 else ends, np.float64)
+
+
+def simplified(polygon: np.ndarray, most: float) -> np.ndarray:
+    """A closed polygon without the points that lie within `most` of what is
+    left (Douglas and Peucker, from the two points furthest apart)."""
+    n = len(polygon)
+    if n < 3:
+        return polygon
+    far = np.hypot(*(polygon[:, None] - polygon[None]).transpose(2, 0, 1))
+    a, b = sorted(np.unravel_index(far.argmax(), far.shape))
+    keep, todo = {int(a), int(b)}, [(int(a), int(b)), (int(b), int(a) + n)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        p, q, between = polygon[i % n], polygon[j % n], polygon[np.arange(i + 1, j) % n]
+        d = np.abs((q[0] - p[0]) * (between[:, 1] - p[1]) - (q[1] - p[1]) * (between[:, 0] - p[0])) / max(1e-9, np.hypot(*(q - p)))
+        k = int(d.argmax())
+        if d[k] > most:
+            keep.add((i + 1 + k) % n)
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return polygon[sorted(keep)]
+
+
+def opened(mask: np.ndarray, size: int) -> np.ndarray:
+    return dilate(erode(mask, size), size)
+
+
+# Shares of the perimeter within which a region's outline is simplified.
+OUTLINES = (0.010, 0.012, 0.015, 0.018, 0.020, 0.025, 0.030, 0.040)
+
+
 def detect_screen(image: np.ndarray, low=(85, 20, 50), high=(130, 255, 255), least_share: float = 0.20) -> np.ndarray | None:
-    """Corners (TL, TR, BR, BL) of the greatest region in a colour range, the
-    extreme points of its two diagonals; None if it is too small."""
+    """Corners (TL, TR, BR, BL) of the greatest region in a colour range: its
+    gaps closed, specks opened away, the outline simplified until it has four
+    corners that are a valid screen; None if that fails or it is too small."""
     colour = hsv(image)
     mask = np.all((colour >= low) & (colour <= high), axis=-1)
     size = max(3, min(25, min(mask.shape) // 8) | 1)
-    mask = largest_component(close(mask, size))
+    mask = largest_component(opened(close(mask, size, 2), 5))
     if mask.sum() < least_share * mask.size:
         return None
-    y, x = np.nonzero(mask)
-    pick = [(x + y).argmin(), (y - x).argmin(), (x + y).argmax(), (y - x).argmax()]
-    return np.stack((x[pick], y[pick]), axis=1).astype(np.float64)
+    outline = hull(mask)
+    around = np.hypot(*(outline - np.roll(outline, 1, axis=0)).T).sum()
+    for share in OUTLINES:
+        four = simplified(outline, share * around)
+        if len(four) == 4:
+            s, d = four.sum(1), four[:, 1] - four[:, 0]
+            quad = four[[s.argmin(), d.argmin(), s.argmax(), d.argmax()]]
+            if screen_like(quad, mask.shape[1], mask.shape[0]):
+                return quad
+    return None
+
+
+def screen_like(quad: np.ndarray, width: int, height: int) -> bool:
+    """Area share and form of a screen, corners in order."""
+    side = np.hypot(*(np.roll(quad, -1, axis=0) - quad).T)
+    x, y = quad.T
+    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    tall = (side[1] + side[3]) / 2
+    return bool(0.20 <= area / (width * height) <= 0.85 and tall > 0 and 1.25 <= (side[0] + side[2]) / 2 / tall <= 2.35)
 
 
 def convex_mask(quad: np.ndarray, shape: tuple[int, int], margin: float = 0.0) -> np.ndarray:
@@ -148,7 +212,7 @@ def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
 
 
-def track(before: np.ndarray, after: np.ndarray, points: np.ndarray, window: int = 21, levels: int = 3, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def track(before: np.ndarray, after: np.ndarray, points: np.ndarray, window: int = 31, levels: int = 3, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Pyramidal Lucas-Kanade: new places and whether they were found."""
     pyramid = [(before, after)]
     for _ in range(levels):
