@@ -6,12 +6,16 @@ them; no piece holds that sign after another character (checked on loading), so
 the best segmentation of the text is that of its words. Each distinct word is
 segmented once: words of equal length are rows of one array and advance
 together. For every end position and piece length a rolling hash of the
-substring is looked up among the sorted hashes of the pieces of that length, and
-vectorised maxima keep the best score and its backpointer; of equal scores the
-longest last piece wins. Characters without a piece become byte pieces.
+substring is looked up among the sorted hashes of the pieces of that length and
+compared with the piece found, and vectorised maxima keep the best score and its
+backpointer; of equal scores the longest last piece wins. Characters without a piece
+become byte pieces. A word of more than LONE characters, such as a text without
+spaces, is segmented by itself, with the same result.
 
 The scores decide for any model type: of a model made by merging, too, this
-gives the segmentation of greatest total score, not its order of merges. Decoding
+gives the segmentation of greatest total score, not its order of merges, so ids can
+differ from the library's there. Texts are taken as they are: rules of normalisation
+in the model's file aren't applied. Decoding
 inverts encoding exactly but for U+2581 itself, which comes back as a space.
 A null text is empty and has no ids. Rows with null or repeated ids are encoded
 each by its own text.
@@ -33,6 +37,8 @@ SPACE = "▁"
 CACHE_WORDS = 600_000
 CHUNK_CHARS = 1_000_000
 GROUP = 20_000
+#: Characters beyond which a word is segmented by itself.
+LONE = 400
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: A substring's hash, shifted so, is its place in a table's bitmap.
 _SHIFT = np.uint64(46)
@@ -77,7 +83,9 @@ class Pieces:
             scores = np.array([m.get_score(int(i)) for i in ids])
             there = np.zeros(1 << (64 - int(_SHIFT)), bool)
             there[keys >> _SHIFT] = True
-            self.tables[size] = keys[order], ids[order].astype(np.int32), scores[order], there
+            own = _points([self.text[i] for i in ids[order]], size)
+            self.tables[size] = keys[order], ids[order].astype(np.int32), scores[order], there, own
+        self.scored = {self.text[i]: (i, m.get_score(i)) for i in plain}
         self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -96,7 +104,8 @@ class Pieces:
         where none ends, -2 for a character without a piece. A bitmap of the
         keys' leading bits spares most substrings the search."""
         n = len(words)
-        prefix = self._prefix(_points(words, length))
+        points = _points(words, length)
+        prefix = self._prefix(points)
         power = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         best = np.zeros((length + 1, n))
         piece = np.full((length + 1, n), -2, np.int32)
@@ -107,7 +116,7 @@ class Pieces:
             for size in range(min(j, self.longest), 0, -1):
                 if size not in self.tables:
                     continue
-                keys, numbers, scores, there = self.tables[size]
+                keys, numbers, scores, there, own = self.tables[size]
                 want = prefix[j] - prefix[j - size] * power[size]
                 rows = np.flatnonzero(there[want >> _SHIFT])
                 if not len(rows):
@@ -117,6 +126,9 @@ class Pieces:
                 at[at == len(keys)] = 0
                 hit = keys[at] == want
                 rows, at = rows[hit], at[hit]
+                same = (points[rows, j - size : j] == own[at]).all(1)
+                if not same.all():
+                    rows, at = rows[same], at[same]
                 score = best[j - size][rows] + scores[at]
                 better = score > top[rows]
                 rows, at = rows[better], at[better]
@@ -133,15 +145,34 @@ class Pieces:
         piece[~used] = -1
         return np.ascontiguousarray(piece[1:].T)
 
+    def _lone(self, word: str) -> np.ndarray:
+        """_viterbi() of one long word, by its substrings themselves: a step over
+        an array of one word costs more than the steps of one."""
+        n, scored, sizes = len(word), self.scored, sorted(self.tables, reverse=True)
+        best, piece, back = [0.0] * (n + 1), [-2] * (n + 1), [1] * (n + 1)
+        for j in range(1, n + 1):
+            top = best[j - 1] + self.unknown
+            for size in sizes:
+                if size <= j and (found := scored.get(word[j - size : j])) is not None:
+                    score = best[j - size] + found[1]
+                    if score > top:
+                        top, piece[j], back[j] = score, found[0], size
+            best[j] = top
+        out, at = np.full(n, -1, np.int32), n
+        while at > 0:
+            out[at - 1] = piece[at]
+            at -= back[at]
+        return out[None]
+
     def _segment(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
-            step = max(1, min(GROUP, 2_000_000 // length))
+            step = max(1, min(GROUP, 2_000_000 // length)) if length <= LONE else 1
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                piece = self._viterbi(part, length)
+                piece = self._viterbi(part, length) if length <= LONE else self._lone(part[0])
                 odd = (piece == -2).any(1)
                 ends = np.cumsum((piece != -1).sum(1)) * 4
                 raw = piece[piece != -1].astype("<i4").tobytes()

@@ -7,13 +7,17 @@ transition weights its neighbours, and the Viterbi path decides. A document is
 kept if it passes the base rules and its content lines hold at least
 MIN_CONTENT of its words.
 
-The field is fitted here, on at most SAMPLE labelled documents chosen by the
-hash of their id (a documented bound; everything else covers all rows): lines of
-good documents are content, unless equal to an earlier line, and lines of bad
-ones boilerplate. Without both kinds of label every line is content.
+The field is fitted here, on at most SAMPLE labelled documents of at most
+FIT_CHARS characters, chosen by the hash of their id (documented bounds; everything
+else covers all rows): lines of good documents begin as content, unless equal to an
+earlier line, and lines of bad ones as boilerplate. Labels are of documents, so the
+field is then fitted RELABEL times anew, each time after lines whose own features
+speak clearly against their mark have changed it; that leaves sequences with both
+kinds of line. Without both kinds of label every line is content.
 
 A null or blank text has no words and fails the base rules. Rows with null or
-repeated ids are judged each by its own text; such ids aren't used for fitting.
+repeated ids are judged each by its own text. For fitting, a null id or one with
+unlike labels isn't used, and of a repeated id the text of least hash is.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import id_text, with_id
 
 SAMPLE = 2000
+FIT_CHARS = 20_000
+RELABEL = 3
+#: How far a line's own score must lean the other way before its mark changes.
+LEAN = 1.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT = 0.5
@@ -181,19 +189,43 @@ def fit(seqs: list[np.ndarray], labels: list[np.ndarray], rounds: int = ROUNDS,
     return Crf(theta[:-4].reshape(2, -1), theta[-4:].reshape(2, 2))
 
 
+def relabelled(crf: Crf, seqs: list[np.ndarray], marks: list[np.ndarray]) -> list[np.ndarray]:
+    """The marks, changed where a line's own features lean clearly the other
+    way; repeated lines stay boilerplate."""
+    out = []
+    for x, mark in zip(seqs, marks, strict=True):
+        lean = x @ (crf.weight[1] - crf.weight[0])
+        new = mark.copy()
+        new[(mark == 1) & (lean < -LEAN)] = 0
+        new[(mark == 0) & (lean > LEAN) & (x[:, 6] == 0)] = 1
+        out.append(new)
+    return out
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality, text) of the labelled documents that the field is
+    fitted on: at most `sample` rows."""
+    told = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    picked = told.filter("quality = other").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= FIT_CHARS).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", "quality", F.col("one.text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
-    picked = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").distinct()
-    picked = picked.orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(4 * sample).collect()
     seqs, marks = [], []
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["quality"])):
-        full = [s for s in (r["text"] or "").split("\n") if s.strip(SPACE)]
+    for r in sorted(sample_of(docs, labels, sample).collect(), key=lambda r: r["doc_id"]):
+        full = [s for s in r["text"].split("\n") if s.strip(SPACE)]
         x, _ = line_features(full)
         seqs.append(x)
         marks.append(np.where(x[:, 6] > 0, 0, r["quality"]).astype(np.int64) if len(full) else np.zeros(0, np.int64))
-    if len({int(k) for y in marks for k in np.unique(y)}) < 2:
-        return None
-    return fit(seqs, marks)
+    crf = None
+    for _ in range(1 + RELABEL):
+        marks = relabelled(crf, seqs, marks) if crf else marks
+        if len({int(k) for y in marks for k in np.unique(y)}) < 2:
+            break
+        crf = fit(seqs, marks)
+    return crf
 
 
 _JUDGED = (

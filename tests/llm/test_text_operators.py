@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -105,10 +106,22 @@ def test_crf_learns_held_out_lines(spark):
     out = {r["doc_id"]: r["kept"] for r in quality.judge(df, crf).collect()}
     assert all(out[i] == bool(q) for i, _, q in rows[80:])
     assert quality.train(df, labels.limit(0)) is None
+    mixed = "\n".join([good() for _ in range(6)] + [junk() for _ in range(3)] + [good() for _ in range(4)])
+    row = quality.judge(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), crf).first()
+    assert (row["n_lines"], row["content_lines"], row["kept"]) == (13, 10, True)
     kept = quality.keep_good(df.withColumn("kept", F.lit(7)), crf)
     assert kept.columns == ["doc_id", "text", "kept"] and {r["kept"] for r in kept.collect()} == {7}
 
 
+def test_the_sample_is_bounded_and_of_one_row_an_id(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "x"), (3, "z" * (quality.FIT_CHARS + 1)), (None, "n"), (4, "d"), (5, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, 0), (5, 7)], "doc_id long, quality int")
+    rows = quality.sample_of(df, labels).collect()
+    assert [(r["doc_id"], r["quality"]) for r in sorted(rows)] == [(1, 1), (4, 0)]
+    assert quality.sample_of(df.union(df).repartition(3), labels).orderBy("doc_id").collect() == sorted(rows)
+    assert quality.sample_of(df, labels, 1).count() == 1
+
+
 # ---- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>
@@ -174,6 +187,27 @@ def test_best_score_and_round_trip(model):
     assert model.decode_batch(ids) == [t.replace("▁", " ") for t in weird] == [model.decode(x.tolist()) for x in ids]
 
 
+def test_long_words_and_shared_hashes(model):
+    rng = random.Random(7)
+    for n in (50, 399, 700):
+        words = ["".join(rng.choice("etaoinshrdlué日") for _ in range(n)) for _ in range(3)]
+        for w, row in zip(words, model._viterbi(words, n), strict=True):
+            assert model._lone(w)[0].tolist() == row.tolist()
+    text = "".join(rng.choice("etaoinshrdlué") for _ in range(300_000))
+    begin = time.process_time()
+    ids = model.encode([text])[0]
+    assert time.process_time() - begin < 20 and model.decode(ids.tolist()) == text
+    from copy import copy
+
+    false = copy(model)  # a table in which every substring of one length finds a hash
+    keys, ids, scores, there, own = model.tables[2]
+    false.tables = dict(model.tables)
+    want = model._prefix(_two := pieces._points(["zq"], 2))[-1]
+    k = int(np.searchsorted(keys, want[0]))
+    false.tables[2] = np.insert(keys, k, want), np.insert(ids, k, ids[0]), np.insert(scores, k, 99.0), np.ones_like(there), np.insert(own, k, own[0], axis=0)
+    assert false._viterbi(["zq"], 2).tolist() == model._viterbi(["zq"], 2).tolist() and len(_two) == 1
+
+
 def test_pieces_frames(spark):
     df = docs(spark, WEIRD)
     path = pieces.default_model()
