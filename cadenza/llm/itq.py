@@ -4,18 +4,19 @@ Equal directions are one class, so copies cost one row. A rotation that keeps
 vectors far from its sign changes is learned on a bounded sample by alternating
 signs and a Procrustes step; vectors aren't centred, as that widens the angles
 between vectors that share a mean. Such rotations, from different random starts,
-give codes of TABLES words of TABLE_BITS bits. Each class is stored under its
-own word in every table and looked up under all words within RADIUS bits of it.
+give codes of TABLES words of TABLE_BITS bits, a Hamming table for each, in which a
+class is stored and looked up under its own word.
 A bit differs with probability acos(c) / pi at cosine c if rotations are random,
-so a pair at exactly 0.9 meets in one table with 0.31 and in none of 24 with
-1.4e-4 if tables are independent. Of the classes that meet, those whose codes'
-first CUT_BITS bits differ in at most CUT_DEVIATIONS standard deviations more
+so a pair at exactly 0.9 meets in one table with 0.084 and in none of 112 with
+5e-5 if tables are independent; words within a bit of it would meet as often in 25
+tables, but at 18 rows a table. Of the classes that meet, those whose codes'
+first 128 bits differ in at most CUT_DEVIATIONS standard deviations more
 than expected at MIN_COSINE are ranked again with the original vectors in double
 precision, and pairs with a cosine of MIN_COSINE or more are links. All rows are
 indexed and looked up; the sample only fits the rotations.
 
-Vectors of one dimension are a group of their own. Vectors that are null, zero or hold null or non-finite components link with
-nothing and are their own component. A null id takes part in links, but never
+Vectors of one dimension are a group of their own. Vectors that are null, zero or
+hold null or non-finite components link with nothing and are their own component. A null id takes part in links, but never
 names a component; repeated ids are vectors of their own.
 """
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,13 +34,12 @@ from .common import discard, id_text, materialize, with_id
 from .components import components
 
 SAMPLE = 10_000
-TABLES = 24
+TABLES = 112
 TABLE_BITS = 16
-RADIUS = 1
 CUT_BITS = 128
 CUT_DEVIATIONS = 5
 MIN_COSINE = 0.9
-ROUNDS = 30
+ROUNDS = 10
 SEED = 42
 
 
@@ -100,44 +99,22 @@ def _words(code: np.ndarray, table_bits: int) -> np.ndarray:
     return code[:, : n * table_bits].reshape(len(code), n, table_bits).astype(np.int64) @ weight
 
 
-def _flips(table_bits: int, radius: int) -> np.ndarray:
-    masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(table_bits), r)]
-    return np.array(masks, np.int64)
-
-
-def _coded(dim: int, project: np.ndarray, table_bits: int, masks: np.ndarray):
-    """One row per class, table and word: (spot, cls, code)."""
+def _coded(dim: int, project: np.ndarray, table_bits: int):
+    """One row per class and table: (spot, cls, and the code's first bits)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
+            for k in range(0, len(b), 2000):
+                part = b.iloc[k : k + 2000]
                 x = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(-1, dim)
                 bits = x @ project >= 0
-                raw = [r.tobytes() for r in np.packbits(bits[:, :CUT_BITS], axis=1)]
+                code = np.packbits(bits[:, :CUT_BITS], axis=1).view(np.int64)
                 words = _words(bits, table_bits)
-                for t in range(words.shape[1]):
-                    spot = (words[:, t, None] ^ masks[None, :]) + (t << table_bits)
-                    yield pd.DataFrame(
-                        {
-                            "spot": spot.reshape(-1),
-                            "cls": np.repeat(part["cls"].to_numpy(np.int64), len(masks)),
-                            "code": [c for c in raw for _ in range(len(masks))],
-                        }
-                    )
-
-    return run
-
-
-def _near(limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            left = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
-            right = np.frombuffer(b"".join(b["code2"]), np.uint8).reshape(len(b), -1)
-            near = np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= limit
-            yield b.loc[near, ["a", "b"]]
+                n = words.shape[1]
+                spot = words + (np.arange(n, dtype=np.int64) << table_bits)
+                yield pd.DataFrame(
+                    {"spot": spot.reshape(-1), "cls": np.repeat(part["cls"].to_numpy(np.int64), n), "c0": np.repeat(code[:, 0], n), "c1": np.repeat(code[:, 1], n)}
+                )
 
     return run
 
@@ -155,20 +132,17 @@ def _ranked(dim: int, least: float):
     return run
 
 
-def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int = SAMPLE, tables: int = TABLES, table_bits: int = TABLE_BITS, radius: int = RADIUS) -> DataFrame:
+def links(classes: DataFrame, dim: int, least: float = MIN_COSINE, sample: int = SAMPLE, tables: int = TABLES, table_bits: int = TABLE_BITS) -> DataFrame:
     """(a, b, cosine), a < b, over classes(cls, unit)."""
     picked = classes.orderBy(F.xxhash64("unit")).limit(sample).select("unit").collect()
     x = np.frombuffer(b"".join(r["unit"] for r in picked), np.float64).reshape(-1, dim) if picked else np.zeros((1, dim))
-    project = fit(x, turns=-(-tables * table_bits // dim))[:, : tables * table_bits]
-    schema = "spot long, cls long, code binary"
-    own, around = np.zeros(1, np.int64), _flips(table_bits, radius)
-    stored = classes.mapInPandas(_coded(dim, project, table_bits, own), schema)
-    probed = classes.mapInPandas(_coded(dim, project, table_bits, around), schema)
-    stored = stored.select("spot", F.col("cls").alias("a"), "code")
-    probed = probed.select("spot", F.col("cls").alias("b"), F.col("code").alias("code2"))
-    limit = most_bits(min(CUT_BITS, project.shape[1]), least)
-    met = stored.join(probed, "spot").filter("a < b").select("a", "b", "code", "code2")
-    pairs = materialize(met.mapInPandas(_near(limit), "a long, b long").distinct(), "itq-pairs")
+    bits = max(tables * table_bits, CUT_BITS)
+    project = fit(x, turns=-(-bits // dim))[:, :bits]
+    coded = classes.mapInPandas(_coded(dim, project, table_bits), "spot long, cls long, c0 long, c1 long")
+    left, right = (coded.select("spot", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "c0", "c1")]) for side in ("l", "r"))
+    apart = F.bit_count(F.col("l_c0").bitwiseXOR(F.col("r_c0"))) + F.bit_count(F.col("l_c1").bitwiseXOR(F.col("r_c1")))
+    met = left.join(right, "spot").filter((F.col("l_cls") < F.col("r_cls")) & (apart <= most_bits(CUT_BITS, least)))
+    pairs = materialize(met.select(F.col("l_cls").alias("a"), F.col("r_cls").alias("b")).distinct(), "itq-pairs")
     left = classes.select(F.col("cls").alias("a"), F.col("unit").alias("ua"))
     right = classes.select(F.col("cls").alias("b"), F.col("unit").alias("ub"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub")
