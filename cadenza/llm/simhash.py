@@ -8,6 +8,9 @@ the pigeonhole principle two such embeddings are equal on BLOCKS - D groups at
 least, so they share a cell in one of the C(BLOCKS, BLOCKS - D) grids. Within a
 cell the Manhattan bound is tested first, then the Hamming distance exactly.
 
+The number of BLOCKS follows the number of fingerprints: more blocks make narrower
+cells and more grids, so that chance neighbours stay few however many there are.
+
 A cell of any size is handled exactly and never emits all its pairs: what
 leaves a task is a spanning forest of the links it found. A cell with more than
 CELL rows is passed on in pieces; every pair of pieces is then a task of its own.
@@ -101,6 +104,15 @@ def blocks_of(blocks: int) -> list[np.uint64]:
     return masks
 
 
+def blocks_for(nodes: int, distance: int) -> int:
+    """The least number of blocks whose cells, of some 1.5 bits a segment, hold
+    fewer than eight fingerprints by chance."""
+    blocks = distance + 3
+    while blocks < SEGMENTS and 1.5 * SEGMENTS * (blocks - distance) / blocks < np.log2(max(nodes, 1) / 8):
+        blocks += 1
+    return blocks
+
+
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -256,10 +268,11 @@ def _link_pieces(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell_rows: int = CELL, piece_rows: int = PIECE) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, cell_rows: int = CELL, piece_rows: int = PIECE) -> DataFrame:
     """(a, b) edges between nodes(fp, node) that connect exactly the nodes
     joined by chains of fingerprints at `distance` bits or fewer."""
     spark = nodes.sparkSession
+    blocks = blocks or blocks_for(nodes.count(), distance)
     cells = nodes.mapInPandas(_cells(distance, blocks), "cell long, fp long, node long")
     spread = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
     out = materialize(spread.mapInPandas(_link(distance, cell_rows, piece_rows), _LINKED), "simhash-links")
@@ -273,7 +286,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell_rows: int =
     return edges.unionByName(pairs.groupBy("cell", "i", "j").applyInPandas(_link_pieces(distance), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fp (the fingerprint as a signed long) and
     component_id, the least id reachable over links of `distance` bits or fewer."""
     rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -288,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = minhash.LEAST, distance: int = 4, blocks: int = 7) -> DataFrame:
+def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = minhash.LEAST, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """(row, component) for rows(row, text): `row` names a row, equal names have
     equal texts; a component holds the rows joined by chains of Jaccard
     similarity `least` or more over shingles of `width` words."""

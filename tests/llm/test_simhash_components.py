@@ -92,3 +92,9 @@ def test_edges(spark):
     out = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
     assert out == sorted([(3, 1), (1, 1), (None, 1), (7, 5), (5, 5), (5, 5), (None, None)], key=str)
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    found = [simhash.blocks_for(n, 4) for n in (0, 1, 10**6, 10**7, 10**8, 10**9, 10**10)]
+    assert found[:3] == [7, 7, 7] and found == sorted(found) and found[-1] < 14
+    assert all(len(simhash.blocks_of(b)) == b for b in found)
