@@ -235,8 +235,11 @@ def horizontal_edges(image: np.ndarray, low: float = 30.0) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.pad(wide, ((0, 0), (4, 4)), constant_values=True), 9, axis=1).all(-1) & (dy >= low / 2)
 
 
-def hough_lines(mask: np.ndarray, most_angle: float = 3.0, step: float = 0.1, votes: int = 110, gap: int = 18, least: float | None = None) -> list[tuple[float, float]]:
-    """(angle, length) of near-level runs of edge points: for each angle the
+Line = tuple[float, float, tuple[float, float], tuple[float, float]]
+
+
+def hough_segments(mask: np.ndarray, most_angle: float = 3.0, step: float = 0.1, votes: int = 110, gap: int = 18, least: float | None = None) -> list[Line]:
+    """(angle, length, ends) of near-level runs of edge points: for each angle the
     points vote for their offset; on the offsets with enough votes, runs without
     a longer gap that are long enough count once, for their best angle."""
     least = max(140, mask.shape[1] // 10) if least is None else least
@@ -255,13 +258,31 @@ def hough_lines(mask: np.ndarray, most_angle: float = 3.0, step: float = 0.1, vo
                 if length >= least and len(part) >= votes:
                     found.append((len(part), float(angle), float(length), int(r + base), int(part[0]), int(part[-1])))
     out, taken = [], []
-    for n, angle, length, r, a, b in sorted(found, reverse=True):
+    for _, angle, length, r, a, b in sorted(found, reverse=True):
         if all(abs(r - q) > 60 or b < c or a > d for q, c, d in taken):
             taken.append((r, a, b))
-            out.append((angle, length))
+            t = np.radians(angle)
+            at = lambda x, r=r, t=t: (float(x), float((r + x * np.sin(t)) / np.cos(t)))
+            out.append((angle, length, at(a), at(b)))
     return out
 
 
+def hough_lines(mask: np.ndarray, most_angle: float = 3.0, **options) -> list[tuple[float, float]]:
+    return [x[:2] for x in hough_segments(mask, most_angle, **options)]
+
+
+def _bar(p: np.ndarray) -> tuple[float, float, float, tuple, tuple]:
+    """(angle, long side, short side, ends of the middle line) of a component's
+    box along its principal axis."""
+    axes = np.linalg.eigh(np.cov((p - p.mean(0)).T))[1]
+    major = axes[:, 1] * (1 if axes[0, 1] >= 0 else -1)
+    minor = np.array([-major[1], major[0]])
+    along, across = p @ major, p @ minor
+    middle = minor * (across.min() + across.max()) / 2
+    ends = (tuple((major * v + middle).tolist()) for v in (along.min(), along.max()))
+    return float(np.degrees(np.arctan2(major[1], major[0]))), float(np.ptp(along) + 1), float(np.ptp(across) + 1), *ends
+
+
 def components(mask: np.ndarray) -> list[np.ndarray]:
     """Points (x, y) of each 4-connected component, greatest first."""
     out, rest = [], mask.copy()
@@ -275,9 +296,9 @@ def components(mask: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def component_lines(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.0, least_long: float | None = None, least_short: float = 3.0) -> list[tuple[float, float]]:
-    """(angle, weighted length) of components that look like bars: the box along
-    the principal axis gives sides, fill and aspect; length counts by fill."""
+def component_segments(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.0, least_long: float | None = None, least_short: float = 3.0) -> list[Line]:
+    """(angle, weighted length, ends) of components that look like bars: length
+    counts by how far they fill their box."""
     h, w = mask.shape
     least_long = max(180, w // 8) if least_long is None else least_long
     out = []
@@ -287,20 +308,20 @@ def component_lines(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.
         framing = touches and (x1 - x0 + 1 > 0.9 * w or y1 - y0 + 1 > 0.9 * h)
         if not select[int(y0) : int(y1) + 1, int(x0) : int(x1) + 1].any() or framing:
             continue
-        axes = np.linalg.eigh(np.cov((p - p.mean(0)).T))[1]
-        major = axes[:, 1] * (1 if axes[0, 1] >= 0 else -1)
-        along, across = p @ major, p @ np.array([-major[1], major[0]])
-        long, short = np.ptp(along) + 1, np.ptp(across) + 1
-        angle = float(np.degrees(np.arctan2(major[1], major[0])))
+        angle, long, short, a, b = _bar(p)
         fill = len(p) / max(long * short, 1)
         if long >= least_long and short >= least_short and fill >= 0.35 and long / max(short, 1) >= 1.2 and abs(angle) <= most_angle:
-            out.append((angle, float(long * min(fill, 1))))
+            out.append((angle, float(long * min(fill, 1)), a, b))
     return out
 
 
-def contour_lines(image: np.ndarray, mask: np.ndarray, most_angle: float = 3.0, kernel: int = 25, thickness: float = 12.0, least: float | None = None) -> list[tuple[float, float]]:
-    """(angle, length) of thin long components of the edges that are left when
-    runs along the row shorter than the kernel go."""
+def component_lines(mask: np.ndarray, select: np.ndarray, most_angle: float = 3.0, **options) -> list[tuple[float, float]]:
+    return [x[:2] for x in component_segments(mask, select, most_angle, **options)]
+
+
+def contour_segments(image: np.ndarray, mask: np.ndarray, most_angle: float = 3.0, kernel: int = 25, thickness: float = 12.0, least: float | None = None) -> list[Line]:
+    """(angle, length, ends) of thin long components of the edges that are left
+    when runs along the row shorter than the kernel go."""
     least = max(180, mask.shape[1] // 8) if least is None else least
     edges = horizontal_edges(image) & mask
     pad = kernel // 2
@@ -308,18 +329,22 @@ def contour_lines(image: np.ndarray, mask: np.ndarray, most_angle: float = 3.0,
     opened = np.lib.stride_tricks.sliding_window_view(np.pad(runs, ((0, 0), (pad, pad))), kernel, axis=1).any(-1)
     out = []
     for p in components(V.dilate(opened, 3)):
-        axes = np.linalg.eigh(np.cov((p - p.mean(0)).T))[1]
-        major = axes[:, 1] * (1 if axes[0, 1] >= 0 else -1)
-        long, short = np.ptp(p @ major) + 1, np.ptp(p @ np.array([-major[1], major[0]])) + 1
-        angle = float(np.degrees(np.arctan2(major[1], major[0])))
+        angle, long, short, a, b = _bar(p)
         if long >= least and short <= thickness and abs(angle) <= most_angle:
-            out.append((angle, float(long)))
+            out.append((angle, long, a, b))
     return out
 
 
-def line_candidates(frames: DataFrame, detector: str = "hough", most_angle: float = 3.0) -> DataFrame:
-    """(video, frame, angle, length) a row per line candidate, for
-    dominant_direction()."""
+def contour_lines(image: np.ndarray, mask: np.ndarray, most_angle: float = 3.0, **options) -> list[tuple[float, float]]:
+    return [x[:2] for x in contour_segments(image, mask, most_angle, **options)]
+
+
+_POINT = "struct<x:double,y:double>"
+
+
+def line_segments(frames: DataFrame, detector: str = "hough", most_angle: float = 3.0) -> DataFrame:
+    """(video, frame, angle, length, p1, p2) a row per line candidate of frames
+    (video, frame, height, width, channels, data)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -327,15 +352,22 @@ def line_candidates(frames: DataFrame, detector: str = "hough", most_angle: floa
                 image = V.to_array(r.data, r.height, r.width, r.channels)
                 select = V.line_roll_mask(r.height, r.width)
                 if detector == "hough":
-                    found = hough_lines(horizontal_edges(V.gray(image)) & select, most_angle)
+                    found = hough_segments(horizontal_edges(V.gray(image)) & select, most_angle)
                 elif detector == "contour":
-                    found = contour_lines(V.gray(image), select, most_angle)
+                    found = contour_segments(V.gray(image), select, most_angle)
                 else:
-                    found = component_lines(V.foreground(image, np.ones_like(select)), select, most_angle)
+                    found = component_segments(V.foreground(image, np.ones_like(select)), select, most_angle)
                 if found:
-                    yield pd.DataFrame({"video": r.video, "frame": r.frame, "angle": [a for a, _ in found], "length": [n for _, n in found]})
+                    point = lambda p: {"x": p[0], "y": p[1]}
+                    yield pd.DataFrame([(r.video, r.frame, a, n, point(p), point(q)) for a, n, p, q in found], columns=["video", "frame", "angle", "length", "p1", "p2"])
 
-    return frames.mapInPandas(run, "video string, frame int, angle double, length double")
+    return frames.mapInPandas(run, f"video string, frame int, angle double, length double, p1 {_POINT}, p2 {_POINT}")
+
+
+def line_candidates(frames: DataFrame, detector: str = "hough", most_angle: float = 3.0) -> DataFrame:
+    """(video, frame, angle, length) a row per line candidate, for
+    dominant_direction()."""
+    return line_segments(frames, detector, most_angle).drop("p1", "p2")
 
 
 def roll_angles(frames: DataFrame, detector: str = "hough", cluster: float = 0.35, least_segments: int = 2, least_length: float = 1000.0, most_angle: float = 3.0) -> DataFrame:

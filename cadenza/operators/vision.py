@@ -318,11 +318,42 @@ def pair_motion(before: np.ndarray, after: np.ndarray, least: int = 30, most_err
     }
 
 
-def warp(image: np.ndarray, h: np.ndarray, width: int, height: int) -> np.ndarray:
+def sample_cubic(image: np.ndarray, x: np.ndarray, y: np.ndarray, a: float = -0.75) -> np.ndarray:
+    """Bicubic, the border repeated."""
+    h, w = image.shape[:2]
+    x0, y0 = np.floor(x), np.floor(y)
+
+    def weights(t):
+        d = np.stack((1 + t, t, 1 - t, 2 - t))
+        near = ((a + 2) * d - (a + 3)) * d * d + 1
+        return np.where(d <= 1, near, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a)
+
+    wx, wy = weights(x - x0), weights(y - y0)
+    out = 0.0
+    for j in range(4):
+        row = np.clip(y0 + j - 1, 0, h - 1).astype(int)
+        for i in range(4):
+            part = image[row, np.clip(x0 + i - 1, 0, w - 1).astype(int)]
+            share = wx[i] * wy[j]
+            out = out + part * (share[..., None] if image.ndim == 3 else share)
+    return out
+
+
+def crop_transform(width: int, height: int, left: float, top: float, right: float, bottom: float) -> np.ndarray:
+    """Shares cut from each side of a canvas and the rest stretched over it."""
+    x0, x1, y0, y1 = round(width * left), round(width * (1 - right)), round(height * top), round(height * (1 - bottom))
+    if x0 >= x1 or y0 >= y1:
+        raise ValueError("the crop is empty")
+    sx, sy = width / (x1 - x0), height / (y1 - y0)
+    return np.array([[sx, 0, sx * (0.5 - x0) - 0.5], [0, sy, sy * (0.5 - y0) - 0.5], [0, 0, 1]])
+
+
+def warp(image: np.ndarray, h: np.ndarray, width: int, height: int, cubic: bool = False) -> np.ndarray:
     """The frame seen through transform h (frame to output)."""
     y, x = np.mgrid[:height, :width]
     at = apply(np.linalg.inv(h), np.column_stack((x.reshape(-1), y.reshape(-1))).astype(float))
-    flat = sample(image.astype(np.float64), at[:, 0].reshape(height, width), at[:, 1].reshape(height, width))
+    look = sample_cubic if cubic else sample
+    flat = look(image.astype(np.float64), at[:, 0].reshape(height, width), at[:, 1].reshape(height, width))
     return np.clip(np.rint(flat), 0, 255).astype(np.uint8)
 
 
@@ -367,14 +398,16 @@ def adjacent_motion(frames: DataFrame) -> DataFrame:
     return frames.repartition("video").sortWithinPartitions("video", "frame").mapInPandas(run, columns)
 
 
-def warp_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
+def warp_frames(frames: DataFrame, width: int, height: int, crop: tuple[float, float, float, float] = (0, 0, 0, 0), cubic: bool = True) -> DataFrame:
     """frames(video, frame, height, width, channels, data, transform array of 9)
-    seen through their transforms, in the frame layout."""
+    seen through their transforms, shares (left, top, right, bottom) cut off, in
+    the frame layout."""
+    cut = crop_transform(width, height, *crop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                out = warp(to_array(r.data, r.height, r.width, r.channels), np.array(r.transform, float).reshape(3, 3), width, height)
+                out = warp(to_array(r.data, r.height, r.width, r.channels), cut @ np.array(r.transform, float).reshape(3, 3), width, height, cubic)
                 yield pd.DataFrame({"video": [r.video], "frame": [r.frame], "height": [height], "width": [width], "channels": [r.channels], "data": [out.tobytes()]})
 
     return frames.mapInPandas(run, "video string, frame int, height int, width int, channels int, data binary")

@@ -130,8 +130,30 @@ def test_roll_angles_of_frames(spark, detector):
     df = spark.createDataFrame(rows, "video string, frame int, height int, width int, channels int, data binary")
     out = R.roll_angles(df, detector, least_length=300.0).orderBy("frame").collect()
     assert out[0]["accepted"] and abs(out[0]["accepted_angle_deg"] - 0.5) < 0.35 and out[0]["same_direction_inliers"] >= 2
+    for seg in R.line_segments(df, detector).collect():
+        dx, dy = seg["p2"]["x"] - seg["p1"]["x"], seg["p2"]["y"] - seg["p1"]["y"]
+        assert seg["frame"] == 0 and abs(np.degrees(np.arctan2(dy, dx)) - seg["angle"]) < 0.05 and abs(dx - 300) < 12
+        assert min(abs(seg["p1"]["y"] + dy / 2 - top) for top in (20, 215)) < 6
     assert (out[1]["raw_candidates"], out[1]["total_inlier_length_px"], out[1]["accepted"]) == (0, 0.0, False)
     if detector == "hough":
         moved = [("v", k, 160, 240, 3, frame((0.5 * k, 0)).tobytes()) for k in range(3)]
         rows = L.residual_alignment(spark.createDataFrame(moved, df.schema), gates=L.AlignGates(inliers=20)).orderBy("frame").collect()
         assert [r["accepted"] for r in rows] == [True] * 3 and len(rows[2]["transform"]) == 9
+
+
+def test_cubic_warp_and_crop():
+    y, x = np.mgrid[:40, :60]
+    ramp = np.repeat((2.0 * x + 1.5 * y + 20)[..., None], 3, axis=2)
+    shifted = V.warp(ramp, np.array([[1, 0, 0.5], [0, 1, -0.25], [0, 0, 1]], float), 60, 40, cubic=True)
+    want = np.rint(2.0 * (x - 0.5) + 1.5 * (y + 0.25) + 20)
+    assert np.abs(shifted[3:-3, 3:-3, 0].astype(float) - want[3:-3, 3:-3]).max() <= 1
+    cut = V.warp(ramp, V.crop_transform(60, 40, 0.1, 0.25, 0.1, 0.25), 60, 40)
+    assert abs(float(cut[20, 30, 0]) - float(ramp[20, 30, 0])) <= 2 and abs(float(cut[0, 0, 0]) - float(ramp[10, 6, 0])) <= 2
+    with pytest.raises(ValueError, match="empty"):
+        V.crop_transform(60, 40, 0.5, 0, 0.5, 0)
+
+
+def test_extra_arguments_split():
+    from cadenza.plans.config import split_extra_args
+
+    assert split_extra_args("--a 'b c' x- y- z w-") == ["--a", "b c", "x-y-", "z", "w-"]
