@@ -6,7 +6,9 @@ a transform an array of nine doubles in row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -153,6 +155,48 @@ def invert(h: Column) -> Column:
     return let(_entries(h), outer)
 
 
+_SQUARE_STEPS = [
+    {"dx1": "x1 - x2", "dx2": "x3 - x2", "sx": "x0 - x1 + x2 - x3", "dy1": "y1 - y2", "dy2": "y3 - y2", "sy": "y0 - y1 + y2 - y3"},
+    {"den": "dx1 * dy2 - dx2 * dy1"},
+    {"g": "try_divide(sx * dy2 - dx2 * sy, den)", "h": "try_divide(dx1 * sy - sx * dy1, den)"},
+    {"a": "x1 - x0 + g * x1", "b": "x3 - x0 + h * x3", "d": "y1 - y0 + g * y1", "e": "y3 - y0 + h * y3"},
+]
+_ADJUGATE = ["e * i - f * h", "c * h - b * i", "b * f - c * e", "f * g - d * i", "a * i - c * g", "c * d - a * f", "d * h - e * g", "b * g - a * h", "a * e - b * d"]
+
+
+def _staged(df: DataFrame, start: dict[str, Column], steps: list[dict[str, str]], output: str, entries: list[str]) -> DataFrame:
+    """Steps over named values as columns of their own, each computed once and
+    compiled with the rest of the stage; only `output`, an array, stays."""
+    own, held = set(df.columns), dict(start)
+    names = {n: f"__{n}" for step in [start, *steps] for n in step}
+    if own & set(names.values()):
+        raise ValueError("a column's name begins with two underscores")
+
+    def named(e: str) -> Column:
+        return F.expr(re.sub(r"\b[a-z]+[0-9]?\b", lambda m: names.get(m[0], m[0]), e))
+
+    df = df.withColumns({names[n]: c.cast("double") for n, c in held.items()})
+    for step in steps:
+        df = df.withColumns({names[n]: named(e) for n, e in step.items()})
+    return df.withColumn(output, F.array(*[named(e) for e in entries])).drop(*set(names.values()))
+
+
+def with_canvas_homography(df: DataFrame, quad: str, width: int, height: int, output: str) -> DataFrame:
+    """homography() of a column of quads to a canvas, for whole tables."""
+    start = {f"{a}{i}": F.col(quad)[i][a] for i in range(4) for a in "xy"}
+    plain = {"c": "x0", "f": "y0", "i": "1D"}
+    adjugate = {f"m{k}": e for k, e in enumerate(_ADJUGATE)}
+    scale = [f"{float(width - 1)}D * "] * 3 + [f"{float(height - 1)}D * "] * 3 + [""] * 3
+    return _staged(df, start, [*_SQUARE_STEPS, plain, adjugate], output, [f"try_divide({s}m{k}, m8)" for k, s in enumerate(scale)])
+
+
+def with_inverse(df: DataFrame, transform: str, output: str) -> DataFrame:
+    """invert() of a column of transforms, for whole tables."""
+    start = {n: F.col(transform)[k] for k, n in enumerate("abcdefghi")}
+    adjugate = {f"m{k}": e for k, e in enumerate(_ADJUGATE)}
+    return _staged(df, start, [adjugate, {"det": "a * m0 + b * m3 + c * m6"}], output, [f"try_divide(m{k}, det)" for k in range(9)])
+
+
 def components(h: Column) -> Column:
     """Motion of a transform; a null transform gives eight NaN."""
     names = ["translation_x", "translation_y", "rotation_deg", "scale_x", "scale_y", "scale_avg", "perspective_x", "perspective_y"]

@@ -531,7 +531,7 @@ hom AS (SELECT vec_id, q, """ + ", ".join(f"({'1919.0 * ' if k < 3 else '1079.0
 
 def _homographies(spark, d):
     """Every quadrilateral; entries are null where there is no transform."""
-    return _quads(spark, d).select("vec_id", "q", once(G.homography(F.col("quad"), G.canvas(1920, 1080))).alias("h"))
+    return G.with_canvas_homography(_quads(spark, d), "quad", 1920, 1080, "h").select("vec_id", "q", "h")
 
 
 def _sig(x: str) -> str:
@@ -565,7 +565,7 @@ _INV = ["h4 * h8 - h5 * h7", "h2 * h7 - h1 * h8", "h1 * h5 - h2 * h4", "h5 * h6
 
 @query(f"WITH {_ORDERED}, {_SQUARE}, i AS (SELECT vec_id, q, h0 * ({_INV[0]}) + h1 * ({_INV[3]}) + h2 * ({_INV[6]}) AS det, {', '.join(f'{e} AS a{k}' for k, e in enumerate(_INV))} FROM hom), j AS (SELECT vec_id, q, {', '.join(f'a{k} / nullif(det, 0) AS v{k}' for k in range(9))} FROM i) SELECT vec_id, q, {', '.join(f'{_sig(f'v{k}')} AS v{k}' for k in range(9))} FROM j")
 def invert_homography(spark, d):
-    h = _homographies(spark, d).select("vec_id", "q", once(G.invert(F.col("h"))).alias("v"))
+    h = G.with_inverse(_homographies(spark, d), "h", "v")
     return h.select("vec_id", "q", *[sig(F.col("v")[k]).alias(f"v{k}") for k in range(9)])
 
 

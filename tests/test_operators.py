@@ -282,3 +282,15 @@ def test_screen_detection_and_warp(spark):
     df = spark.createDataFrame(rows, schemas.FRAMES)
     assert all(r["corners"] is not None for r in V.screen_corners(df).collect())
     assert [r["reason"] for r in V.adjacent_motion(df).collect()] == ["not_enough_features"]
+
+
+def test_tables_of_transforms_equal_the_column_forms(spark):
+    from cadenza.functions import geometry as G
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [(float(x), float(y)) for x, y in rng.uniform(0, 900, (4, 2))]) for k in range(50)] + [(50, [(1.0, 1.0)] * 4)]
+    df = spark.createDataFrame(rows, "k int, quad array<struct<x:double,y:double>>")
+    df = G.with_inverse(G.with_canvas_homography(df, "quad", 640, 480, "h"), "h", "v")
+    assert df.columns == ["k", "quad", "h", "v"]
+    both = df.select("h", "v", G.homography(F.col("quad"), G.canvas(640, 480)).alias("h2"), G.invert(F.col("h")).alias("v2")).collect()
+    assert all(r["h"] == r["h2"] and r["v"] == r["v2"] for r in both) and both[50]["h"] == [None] * 9
