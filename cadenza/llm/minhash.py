@@ -9,11 +9,6 @@ probability (1 - s ** GROUP) ** BANDS, 3e-6 at 0.8. One bit of each of MINIMA
 minima makes a sketch; two at 0.8 differ in 10 % of the bits on average, and
 pairs beyond SKETCH_BITS are left (missed at 0.8 with 1e-5). Whatever passes is
 decided by the sets themselves.
-
-Every class is first tested against the least class of each of its cells. Then
-only classes of unlike component are tested, those outside their cell's
-most frequent component against all others: a group of near-equal texts costs
-its size, not its pairs.
 """
 
 from __future__ import annotations

@@ -301,43 +301,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _joined_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) as components() gives them, after further edges (a, b): only
+    the roots that these join are looked at again."""
+    ends = edges
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    met = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    new = materialize(components(met), "simhash-joined")
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+    return materialize(moved.select("node", F.coalesce("next", "root").alias("root")).unionByName(new), "simhash-roots")
+
+
 def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = minhash.LEAST, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """(row, component) for rows(row, text): `row` names a row, equal names have
     equal texts; a component holds the rows joined by chains of Jaccard
-    similarity `least` or more over shingles of `width` words."""
-    sketch, close = minhash.SKETCH, minhash.close
+    similarity `least` or more over shingles of `width` words.
+
+    Classes of equal sets are tested in three steps: against the least class of
+    their fullest cell and their fingerprint's neighbours; then, where a cell
+    still holds several components, one class of each against one of the most
+    frequent; then all pairs of unlike components that share a cell. So a group
+    of near-equal texts costs its size, not its pairs, and none of the links that
+    decide a component is left out."""
+    sketch = minhash.SKETCH
     signed = materialize(rows.mapInPandas(minhash.signatures(width, majority), minhash.SIGNED), "simhash-rows")
-    classes = signed.dropDuplicates(["cls"])
-    posted = materialize(classes.select(F.explode("cells").alias("cell"), "cls", *sketch), "minhash-cells")
-    named = signed.groupBy("cls").agg(F.min("row").alias("row"))
-    texts = rows.join(named, "row").select("cls", "text").dropDuplicates(["cls"])
+    classes = materialize(signed.groupBy("cls").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in (*sketch, "cells")]), "simhash-classes")
+    texts = rows.join(classes.select("row", "cls"), "row").select("cls", "text").dropDuplicates(["cls"])
+    sketches = classes.select("cls", *sketch)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose sketches are close."""
+        for side in ("a", "b"):
+            named = sketches.select(F.col("cls").alias(side), F.struct(*sketch).alias(f"s{side}"))
+            pairs = pairs.join(named, side)
+        return materialize(pairs.filter(minhash.close("sa", "sb")).select("a", "b"), "simhash-pairs")
+
+    posted = classes.select(F.explode("cells").alias("cell"), "cls")
+    cells = posted.groupBy("cell").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).filter("n > 1")
+    shared = materialize(posted.join(materialize(cells, "simhash-cells"), "cell"), "simhash-shared")
 
     prints = materialize(classes.groupBy("fp").agg(F.min("cls").alias("node")), "simhash-nodes")
     within = links(prints, distance, blocks).unionByName(classes.join(prints, "fp").select(F.col("node").alias("a"), F.col("cls").alias("b")))
-    within = within.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    lead = posted.groupBy("cell").agg(F.min(F.struct("cls", *sketch)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    lead = materialize(lead.select("cell", F.col("lead.cls").alias("cls"), *[F.col(f"lead.{s}").alias(s) for s in sketch]), "minhash-leads")
-    x, y = posted.alias("x"), lead.alias("y")
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") > F.col("y.cls")) & close("x", "y"))
-    stars = within.unionByName(met.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")))
-    stars = materialize(stars.distinct(), "minhash-stars")
+    fullest = shared.filter("cls <> lead").groupBy("cls").agg(F.max_by("lead", F.struct("n", "cell")).alias("lead"))
+    stars = within.unionByName(fullest.select(F.col("lead").alias("a"), F.col("cls").alias("b"))).filter("a <> b")
+    stars = near(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = minhash.verified(stars, texts, width, least)
-    roots = components(first)
-
-    mixed = posted.join(lead.select("cell"), "cell", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    mixed = materialize(mixed.withColumn("root", F.coalesce("root", "cls")), "minhash-mixed")
-    shares = mixed.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    major = shares.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("k")).filter("k > 1")
-    mixed = mixed.join(major.select("cell", "major"), "cell")
+    roots = materialize(components(first), "simhash-roots")
+
+    def rooted() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """shared with each class's component; a class of each component that
+        isn't its cell's most frequent; cells that hold several components."""
+        named = shared.select("cell", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        heads = named.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min("cls").alias("head"))
+        major = heads.groupBy("cell").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("major"), F.count("*").alias("k")).filter("k > 1")
+        return named, heads.join(major, "cell").filter(F.col("root") != F.col("major.root")), major
+
+    _, heads, _ = rooted()
+    pairs = heads.select(F.least("head", "major.head").alias("a"), F.greatest("head", "major.head").alias("b")).distinct()
+    heads = near(pairs.join(stars, ["a", "b"], "left_anti"))
+    roots = _joined_roots(roots, minhash.verified(heads, texts, width, least))
+
+    named, _, major = rooted()
+    mixed = materialize(named.join(major.select("cell", F.col("major.root").alias("major")), "cell").join(sketches, "cls"), "simhash-mixed")
     x, y = mixed.filter("root <> major").alias("x"), mixed.alias("y")
-    unlike = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & close("x", "y")
-    met = x.join(y, unlike).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    rest = materialize(met.distinct().join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    second = minhash.verified(rest, texts, width, least)
-
-    whole = materialize(components(first.unionByName(second)), "minhash-roots")
-    for df in (posted, lead, prints, stars, rest):
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & minhash.close("x", "y"))
+    met = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    rest = materialize(met.join(stars, ["a", "b"], "left_anti").join(heads, ["a", "b"], "left_anti"), "simhash-rest")
+    whole = _joined_roots(roots, minhash.verified(rest, texts, width, least))
+    for df in (shared, prints, stars, heads, mixed, rest):
         discard(df)
     return signed.select("row", "cls").join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("row", F.coalesce("root", "cls").alias("component"))
 
