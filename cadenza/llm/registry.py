@@ -8,6 +8,7 @@ from .packing import op2_concat_and_cut
 from .pieces import op8_sentencepiece_viterbi
 from .pii import op1_pii_surrogates
 from .quality import op3_line_crf_quality
+from .runs import op13_kolpakov_kucherov
 from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .suffix_dedup import op6_suffix_levels
@@ -92,6 +93,7 @@ def queries():
         "op8_sentencepiece_viterbi": op8_sentencepiece_viterbi,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_itq_near_dedup": op10_itq_near_dedup,
+        "op13_kolpakov_kucherov": op13_kolpakov_kucherov,
     }
 
 
