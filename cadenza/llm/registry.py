@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op5_composite_text_density
 from .itq import op10_itq_near_dedup
+from .lm import op11_kneser_ney_scores
 from .packing import op2_concat_and_cut
 from .pieces import op8_sentencepiece_viterbi
 from .pii import op1_pii_surrogates
@@ -93,6 +94,7 @@ def queries():
         "op8_sentencepiece_viterbi": op8_sentencepiece_viterbi,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_itq_near_dedup": op10_itq_near_dedup,
+        "op11_kneser_ney_scores": op11_kneser_ney_scores,
         "op13_kolpakov_kucherov": op13_kolpakov_kucherov,
     }
 
