@@ -13,6 +13,7 @@ from .runs import op13_kolpakov_kucherov
 from .secrets import op4_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .suffix_dedup import op6_suffix_levels
+from .token_alignment import op12_segment_alignment
 from .warc import op9_warc_round_trip
 
 OP9_SQL = """
@@ -95,6 +96,7 @@ def queries():
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_itq_near_dedup": op10_itq_near_dedup,
         "op11_kneser_ney_scores": op11_kneser_ney_scores,
+        "op12_segment_alignment": op12_segment_alignment,
         "op13_kolpakov_kucherov": op13_kolpakov_kucherov,
     }
 
