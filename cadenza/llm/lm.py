@@ -40,9 +40,9 @@ from .common import discard, id_text, materialize, scratch, with_id
 
 ORDER = 2
 #: Words that a task counts or scores at a time.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Bytes of training text for each shard of an order.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 SEED = 42
 #: Marks stand outside of words, which hold no spaces.
 BEGIN, END = b" begin", b" end"
@@ -169,9 +169,13 @@ def _count(order: int, shards: int, chunk_words: int):
 def _summed(rows: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns of words and values, those of one n-gram summed, by key; the keys."""
     keys = gram_keys(rows[:words])
-    order = np.argsort(keys, kind="stable")
-    keys, starts = np.unique(keys[order], return_index=True)
-    return np.concatenate((rows[:words, order[starts]], np.add.reduceat(rows[words:, order], starts, axis=1))), keys
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    out = np.empty((len(rows), len(starts)), np.uint64)
+    for k, row in enumerate(rows):
+        out[k] = row[order[starts]] if k < words else np.add.reduceat(row[order], starts)
+    return out, keys[starts]
 
 
 # ---- files
