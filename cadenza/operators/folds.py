@@ -46,16 +46,21 @@ def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], step: Ste
     return made.select(*[F.col("own").getField(c).alias(c) for c in df.columns], F.col("made").alias(output))
 
 
+def absent(value) -> bool:
+    return value is None or value != value
+
+
 @dataclass(frozen=True)
 class RatioGate:
     """Accept a reliable value within `step` of the last accepted one, as a
-    ratio; the first reliable value is accepted. Inputs: value, reliable."""
+    ratio; the first reliable value is accepted. A null or NaN is not reliable.
+    Inputs: value, reliable."""
 
     step: float
 
     def __call__(self, state, row):
         value, reliable = row
-        if not reliable:
+        if not reliable or absent(value):
             return state, False
         if state is None or self.step <= 0:
             return value, True
@@ -64,8 +69,11 @@ class RatioGate:
 
 
 def quad_measures(q: tuple) -> tuple[float, ...]:
-    """Four edges, then the area, of eight corner coordinates."""
-    p = [(q[2 * i], q[2 * i + 1]) for i in range(4)]
+    """Four edges, then the area, of eight corner coordinates in any order: least
+    x + y, least y - x, greatest x + y, greatest y - x; of equals the first."""
+    given = [(q[2 * i], q[2 * i + 1]) for i in range(4)]
+    total, tilt = (lambda c: c[0] + c[1]), (lambda c: c[1] - c[0])
+    p = [min(given, key=total), min(given, key=tilt), max(given, key=total), max(given, key=tilt)]
 
     def side(a, b):
         return ((p[a][0] - p[b][0]) ** 2 + (p[a][1] - p[b][1]) ** 2) ** 0.5
@@ -77,8 +85,9 @@ def quad_measures(q: tuple) -> tuple[float, ...]:
 @dataclass(frozen=True)
 class GeometryGate:
     """The corner trajectory's gate. Inputs: reliable and the eight corner
-    coordinates. The first row comes out true, unless first_true is off, but is
-    compared with only if it was reliable."""
+    coordinates, whose corners are ordered before they are compared. The first row
+    comes out true, unless first_true is off, but is compared with only if it was
+    reliable. A row with a null or NaN corner is not reliable."""
 
     scale_step: float = 0.035
     area_step: float = 0.08
@@ -87,7 +96,7 @@ class GeometryGate:
     def __call__(self, state, row):
         reliable, quad = row[0], row[1:]
         seen, last = state or (not self.first_true, None)
-        if not reliable:
+        if not reliable or any(map(absent, quad)):
             return (True, last), not seen
         now = quad_measures(quad)
         ok = last is None or self.steps_ok(now, last)
@@ -187,9 +196,10 @@ class Blend:
 @dataclass(frozen=True)
 class ResidualSmoother:
     """Translation x and y, rotation and scale averaged together and held to
-    their own steps. Inputs: the four, each null if there was no estimate: such
-    a row gets no correction and keeps the state. With nothing to smooth the raw
-    values come back."""
+    their own steps, beginning at rest (no translation or rotation, scale one).
+    Inputs: the four, each null if there was no estimate: such a row gets no
+    correction and keeps the state. With nothing to smooth the raw values come
+    back."""
 
     weight: float = 0.0
     translation_step: float = 0.0
@@ -197,10 +207,11 @@ class ResidualSmoother:
     scale_step: float = 0.0
 
     def __call__(self, state, row):
-        if any(v is None or v != v for v in row):
+        state = state or (0.0, 0.0, 0.0, 1.0)
+        if any(map(absent, row)):
             return state, None
         steps = (self.translation_step, self.translation_step, self.rotation_step, self.scale_step)
-        if state is None or (self.weight <= 0 and max(steps) <= 0):
+        if self.weight <= 0 and max(steps) <= 0:
             return row, list(row)
         out = []
         for before, value, most in zip(state, row, steps, strict=True):

@@ -346,7 +346,7 @@ _SOME = "((#vec_id + #q) % 3 <> 0)"
 
 
 def _gated(spark, d, gate):
-    rows = _quads(spark, d).select("vec_id", "q", ((F.col("vec_id") + F.col("q")) % 3 != 0).alias("reliable"), *_corner_columns(F.col("quad")))
+    rows = _quads(spark, d, ordered=False).select("vec_id", "q", ((F.col("vec_id") + F.col("q")) % 3 != 0).alias("reliable"), *_corner_columns(F.col("quad")))
     return D.fold(rows, "vec_id", ["q"], ["reliable", *_CORNERS], gate, "ok", "boolean").select("vec_id", "q", "ok")
 
 
@@ -366,11 +366,12 @@ _MEASURES = {"a": ("value", 2.0), "b": ("value * 0.5", 2.0), "c": ("(value - 50)
 
 
 def _smoother_sql() -> str:
-    start = ", ".join(f"CASE WHEN ok THEN {e} END AS {k}" for k, (e, _) in _MEASURES.items())
+    held = lambda before, v, most: f"{before} + greatest(-{most}, least({most}, {before} * 0.8 + ({v}) * (1 - 0.8) - {before}))"
+    rest = {"a": "0.0", "b": "0.0", "c": "0.0", "s": "1.0"}
+    start = ", ".join(f"CAST(CASE WHEN ok THEN {held(rest[k], e, most)} ELSE {rest[k]} END AS DOUBLE) AS {k}" for k, (e, most) in _MEASURES.items())
     step = []
     for k, (e, most) in _MEASURES.items():
-        v = e.replace("value", "o.value")
-        step.append(f"CASE WHEN NOT o.ok THEN f.{k} WHEN f.{k} IS NULL THEN {v} ELSE f.{k} + greatest(-{most}, least({most}, f.{k} * 0.8 + ({v}) * (1 - 0.8) - f.{k})) END")
+        step.append(f"CASE WHEN NOT o.ok THEN f.{k} ELSE {held(f'f.{k}', e.replace('value', 'o.value'), most)} END")
     state = ", ".join(f"CASE WHEN f.ok THEN {_r(f'f.{k}')} END AS {k}" for k in _MEASURES)
     return _recursive(state, f"ok, {start}", f"o.ok, {', '.join(step)}")
 

@@ -73,6 +73,21 @@ def test_geometry_gate_first_row_is_true_but_not_compared():
     assert out == [True, True, False, True]
 
 
+def test_geometry_gate_orders_corners_and_skips_absent_ones():
+    gate, square, nan = D.GeometryGate(), (0, 0, 10, 0, 10, 10, 0, 10), float("nan")
+    turned = [square[2 * k :] + square[: 2 * k] for k in range(4)]
+    state, out = None, []
+    for quad in [*turned, (None, *square[1:]), (nan, *square[1:]), square]:
+        state, ok = gate(state, (True, *quad))
+        out.append(ok)
+    assert out == [True] * 4 + [False, False, True]
+    ratio, state, out = D.RatioGate(0.1), None, []
+    for value in (None, nan, 5.0, None, nan, 5.2):
+        state, ok = ratio(state, (value, True))
+        out.append(ok)
+    assert out == [False, False, True, False, False, True]
+
+
 def test_line_roll_and_smoother():
     roll, state, out = D.LineRoll(limit=1.0, weight=0.5, most=0.1, jump=0.4), None, []
     for v in (5.0, None, 0.9, 0.2, float("nan")):
@@ -80,8 +95,9 @@ def test_line_roll_and_smoother():
         out.append(o)
     assert out[:2] == [1.0, 1.0] and math.isclose(out[2], 0.95) and out[3] == out[2] == out[4]
     smooth = D.ResidualSmoother(weight=0.5, translation_step=1.0)
-    state, first = smooth(None, (0.0, 0.0, 0.0, 1.0))
-    state, none = smooth(state, (None, 0.0, 0.0, 1.0))
+    state, first = smooth(None, (0.5, -4.0, 4.0, 2.0))
+    assert first == [0.25, -1.0, 2.0, 1.5]
+    state, none = smooth(smooth(None, (None, 0.0, 0.0, 1.0))[0], (None, 0.0, 0.0, 1.0))
     state, second = smooth(state, (10.0, 1.0, 2.0, 1.5))
     assert none is None and second == [1.0, 0.5, 1.0, 1.25]
 
