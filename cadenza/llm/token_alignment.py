@@ -25,7 +25,6 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -43,6 +42,8 @@ from .common import discard, id_text, materialize, partitions, with_id
 BLOCK_CHARS = 16_000_000
 #: Segments that are tokenised at a time.
 BATCH = 4096
+#: Rows of segments that leave a task together.
+ROWS = 50_000
 SPACE = "▁"
 _WHITE = " \t\n\r\x0b\f"
 #: A wider white space than either tokenizer's.
@@ -162,26 +163,21 @@ def grouped(text: bytes, a: list[int], a_bytes: list, b: list[int], b_bytes: lis
     return out
 
 
-def encoded(groups: list[tuple[list[int], list[int]]] | None) -> bytes:
-    """The groups as numbers of 2 or 4 bytes: sizes, then ids; nothing for None."""
+def encoded(groups: list[tuple[list[int], list[int]]] | None) -> list[int]:
+    """The number of groups, their sizes, their ids; nothing for None."""
     if groups is None:
-        return b""
-    flat = [len(groups), *(len(x) for g in groups for x in g), *(i for g in groups for x in g for i in x)]
-    return b"\x02" + array("H", flat).tobytes() if max(flat) < 1 << 16 else b"\x04" + array("I", flat).tobytes()
+        return []
+    return [len(groups), *(len(x) for g in groups for x in g), *(i for g in groups for x in g for i in x)]
 
 
-def decoded(code: bytes) -> list[tuple[list[int], list[int]]] | None:
-    if not code:
-        return None
-    flat = array("H" if code[0] == 2 else "I")
-    flat.frombytes(code[1:])
-    n = flat[0]
-    sizes, at, out = flat[1 : 1 + 2 * n].tolist(), 1 + 2 * n, []
-    ids = flat.tolist()
-    for na, nb in zip(sizes[::2], sizes[1::2], strict=True):
-        out.append((ids[at : at + na], ids[at + na : at + na + nb]))
-        at += na + nb
-    return out
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32, byte by byte: the high ones are mostly zeros."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 # ---- blocks
@@ -214,7 +210,7 @@ def _blocks(cuts: str, chars: int):
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 parts = split(" " + text) if text else []
                 places = np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts))
-                docs.append((doc, zstandard.compress(places.tobytes(), 1)))
+                docs.append((doc, packed(places)))
                 held += len(text or "")
                 if held > chars:
                     yield from flush(block, docs, numbers)
@@ -225,103 +221,149 @@ def _blocks(cuts: str, chars: int):
     return run
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[k] .. starts[k] + sizes[k] - 1, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+#: Of some of a block's segments: their places, their codes' lengths, their codes.
+_CODES = "block long, places binary, sizes binary, codes binary"
+
+
 def _aligned(byte_level: str, piece_model: str):
     """Rows (segment, block, place) come sorted by segment: the first of a
-    segment is aligned, the others take its alignment."""
+    segment is aligned, the others take its alignment. They leave together by
+    block, as many as were read at a time."""
+
+    def flush(flat: array, sizes: list[int], rows: list[tuple]) -> pd.DataFrame:
+        codes, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        block, place, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(block, kind="stable")
+        found, first = np.unique(block[order], return_index=True)
+        out = []
+        for b, mine in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            k = at[mine]
+            out.append((b, packed(place[mine]), packed(sizes[k]), packed(codes[_ranges(starts[k], sizes[k])])))
+        return pd.DataFrame(out, columns=["block", "places", "sizes", "codes"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, last, code = pair(byte_level, piece_model), None, b""
+        both, last, code, held, rows = pair(byte_level, piece_model), None, [], 0, []
+        flat, sizes = array("I"), []
         for b in batches:
             segments = b["segment"].to_numpy(object)
+            if not len(segments):
+                continue
+            if not rows:
+                flat, sizes = array("I", code), [len(code)]
             fresh = np.ones(len(segments), bool)
             fresh[1:] = segments[1:] != segments[:-1]
-            fresh[0] = segments[0] != last if len(segments) else False
-            new, codes = segments[fresh].tolist(), [code]
+            fresh[0] = segments[0] != last
+            new, known = segments[fresh].tolist(), len(sizes) - 1
             for k in range(0, len(new), BATCH):
-                codes += [encoded(g) for g in both.align(new[k : k + BATCH])]
-            at = np.cumsum(fresh)
-            yield pd.DataFrame({"block": b["block"], "place": b["place"], "code": [codes[k] for k in at.tolist()]})
-            if len(segments):
-                last, code = segments[-1], codes[-1]
+                for groups in both.align(new[k : k + BATCH]):
+                    code = encoded(groups)
+                    flat.extend(code)
+                    sizes.append(len(code))
+            rows.append((b["block"].to_numpy(np.int64), b["place"].to_numpy(np.int64), known + np.cumsum(fresh)))
+            last, held = segments[-1], held + len(segments)
+            if held >= ROWS:
+                yield flush(flat, sizes, rows)
+                held, rows = 0, []
+        if rows:
+            yield flush(flat, sizes, rows)
 
     return run
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places starts[k] .. starts[k] + sizes[k] - 1, one range after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 #: Rows of documents (pairs: numbers of their block's pairs and how often each is
 #: linked) and of a block's pairs (by number; documents that hold them).
 _COMPOSED = (
     "block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs binary, "
-    "number int, pair long, documents long"
+    "number long, pair long, documents long"
 )
 _DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs"]
 
 
+class _Alignments:
+    """The codes of a block's segments, as arrays by place: numbers of ids and
+    groups, the groups as text, and links as (place, pair's number, times)."""
+
+    def __init__(self, parts: pd.DataFrame):
+        place = np.concatenate([unpacked(x) for x in parts["places"]]) if len(parts) else np.zeros(0, np.int64)
+        size = np.concatenate([unpacked(x) for x in parts["sizes"]]) if len(parts) else place
+        flat = np.concatenate([unpacked(x) for x in parts["codes"]]) if len(parts) else place
+        n = self.n = int(place.max()) + 1 if len(place) else 0
+        self.bad = np.zeros(n, bool)
+        self.bad[place[size == 0]] = True
+        start = np.cumsum(size) - size
+        place, start = place[size > 0], start[size > 0]
+        groups = flat[start]
+        both = flat[_ranges(start + 1, 2 * groups)].reshape(-1, 2)
+        na, nb = both[:, 0], both[:, 1]
+        owner = np.repeat(place, groups)
+        self.figures = np.zeros((4, n), np.int64)
+        for k, values in enumerate((na, nb, np.ones_like(na), na * nb)):
+            self.figures[k] = np.bincount(owner, values, n)
+        ids = np.cumsum(na + nb) - (na + nb)  # within all ids, in the codes' order
+        of_ids = flat[_ranges(start + 1 + 2 * groups, self.figures[0][place] + self.figures[1][place])]
+        inner = _ranges(np.zeros_like(na), na * nb)
+        first = np.repeat(ids, na * nb)
+        a = of_ids[first + inner // np.repeat(nb, na * nb)]
+        b = of_ids[first + np.repeat(na, na * nb) + inner % np.repeat(nb, na * nb)]
+        self.pairs, number = np.unique(a << 32 | b, return_inverse=True)
+        size = max(len(self.pairs), 1)
+        keys, self.times = np.unique(np.repeat(owner, na * nb) * size + number, return_counts=True)
+        self.number = keys % size
+        self.starts = np.searchsorted(keys, np.arange(n + 1) * size)
+        self.texts = [""] * n
+        said = list(map(str, of_ids.tolist()))
+        cut = np.concatenate(([0], np.cumsum(groups))).tolist()
+        spans = list(zip(ids.tolist(), na.tolist(), nb.tolist(), strict=True))
+        for k, p in enumerate(place.tolist()):
+            parts_of = []
+            for i, x, y in spans[cut[k] : cut[k + 1]]:
+                parts_of.append(f"{said[i]}|{said[i + 1]}" if x == y == 1 else f"{','.join(said[i : i + x])}|{','.join(said[i + x : i + x + y])}")
+            self.texts[p] = ";".join(parts_of)
+
+
 def _composed(keep_groups: bool):
     """One block: its documents' rows and its pairs'."""
 
     def run(docs: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        n = len(codes)
-        texts, figures = [""] * n, np.zeros((4, n), np.int64)
-        bad = np.zeros(n, bool)
-        numbers, links, times, starts = _Numbers(), [], [], np.zeros(n, np.int64)
-        sizes = np.zeros(n, np.int64)
-        for place, code in zip(codes["place"].tolist(), codes["code"], strict=True):
-            groups = decoded(code)
-            if groups is None:
-                bad[place] = True
-                continue
-            texts[place] = ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
-            count: Counter = Counter()
-            for a, b in groups:
-                figures[:, place] += len(a), len(b), 1, len(a) * len(b)
-                if len(a) == len(b) == 1:
-                    count[a[0] << 32 | b[0]] += 1
-                else:
-                    of_b = Counter(b)
-                    for x, k in Counter(a).items():
-                        for y, m in of_b.items():
-                            count[x << 32 | y] += k * m
-            starts[place], sizes[place] = len(links), len(count)
-            links += map(numbers.__getitem__, count)
-            times += count.values()
-        links, times = np.array(links, np.int64), np.array(times, np.int64)
-        places = [np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.int64) for x in docs["places"]]
-        places = [p if not bad[p].any() else p[:0] for p in places]
+        known = _Alignments(codes)
+        n, n_pairs = max(known.n, 1), max(len(known.pairs), 1)
+        places = [unpacked(x) for x in docs["places"]]
+        places = [p if not known.bad[p].any() else p[:0] for p in places]
         owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
         flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-        seen, often = np.unique(owner * max(n, 1) + flat, return_counts=True)
-        owner, flat = seen // max(n, 1), seen % max(n, 1)
-        total = [np.bincount(owner, f[flat] * often, len(places)).astype(np.int64) for f in figures]
-        at = _ranges(starts[flat], sizes[flat])
-        keys = np.repeat(owner, sizes[flat]) * max(len(numbers), 1) + links[at]
-        weights = np.repeat(often, sizes[flat]) * times[at]
-        order = np.argsort(keys, kind="stable")
-        held, first = np.unique(keys[order], return_index=True)
-        weights = np.add.reduceat(weights[order], first) if len(first) else weights[:0]
-        doc_of, number = held // max(len(numbers), 1), held % max(len(numbers), 1)
-        bounds = np.searchsorted(doc_of, np.arange(len(places) + 1))
-        rows = {"doc_id": docs["doc_id"].tolist(), "n_a": total[0], "n_b": total[1], "n_groups": total[2], "n_links": total[3], "groups": [], "groups_sha256": [], "pairs": []}
-        for k, p in enumerate(places):
+        seen, often = np.unique(owner * n + flat, return_counts=True)
+        owner, flat = seen // n, seen % n
+        total = [np.bincount(owner, f[flat] * often, len(places)).astype(np.int64) for f in known.figures]
+        sizes = known.starts[flat + 1] - known.starts[flat]
+        at = _ranges(known.starts[flat], sizes)
+        keys = np.repeat(owner, sizes) * n_pairs + known.number[at]
+        weights = np.repeat(often, sizes) * known.times[at]
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
+        held, weights = keys[first], np.add.reduceat(weights, first) if len(first) else weights
+        number = held % n_pairs
+        bounds = np.searchsorted(held, np.arange(len(places) + 1) * n_pairs).tolist()
+        texts, rows = known.texts, []
+        for k, (doc, p) in enumerate(zip(docs["doc_id"], places, strict=True)):
             text = ";".join([texts[i] for i in p.tolist()])
-            rows["groups"].append(text if keep_groups else None)
-            rows["groups_sha256"].append(hashlib.sha256(text.encode()).hexdigest() if text else "")
             mine = slice(bounds[k], bounds[k + 1])
-            rows["pairs"].append(zstandard.compress(np.stack((number[mine], weights[mine])).astype(np.uint64).tobytes(), 1))
-        block = int(docs["block"].iloc[0]) if len(docs) else int(codes["block"].iloc[0])
-        found = pd.DataFrame(rows)
-        documents = np.bincount(number, minlength=len(numbers))
-        tail = pd.DataFrame({"number": np.arange(len(numbers), dtype=np.int32), "pair": np.fromiter(numbers, np.int64, len(numbers)), "documents": documents})
-        out = pd.concat((found.astype({"doc_id": object}), tail[tail["documents"] > 0]), ignore_index=True)
-        out["block"] = block
-        for c in ("n_a", "n_b", "n_groups", "n_links", "number", "pair", "documents"):
-            out[c] = out[c].astype("Int64")
-        return out[["block", *_DOC, "number", "pair", "documents"]].astype(object).where(out.notna(), None)
+            links = packed(np.concatenate((np.diff(number[mine], prepend=0), weights[mine])))
+            rows.append((doc, *(int(t[k]) for t in total), text if keep_groups else None, hashlib.sha256(text.encode()).hexdigest() if text else "", links, None, None, None))
+        documents = np.bincount(number, minlength=len(known.pairs))
+        used = np.flatnonzero(documents)
+        nothing = [None] * len(_DOC)
+        rows += [(*nothing, *x) for x in zip(used.tolist(), known.pairs[used].tolist(), documents[used].tolist(), strict=True)]
+        out = pd.DataFrame(rows, columns=[*_DOC, "number", "pair", "documents"], dtype=object)
+        out.insert(0, "block", int(docs["block"].iloc[0]) if len(docs) else int(codes["block"].iloc[0]))
+        return out
 
     return run
 
@@ -337,7 +379,8 @@ def _totalled(docs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     count[number], best[number] = pairs["count"].to_numpy(np.int64), pairs["best"].to_numpy(bool)
     sums = []
     for raw in docs["pairs"]:
-        at, weight = np.frombuffer(zstandard.decompress(raw), np.uint64).reshape(2, -1).astype(np.int64)
+        steps, weight = np.split(unpacked(raw), 2)
+        at = np.cumsum(steps)
         sums.append((int((best[at] * weight).sum()), int((count[at] * weight).sum())))
     n_best, count_sum = np.array(sums, np.int64).reshape(-1, 2).T
     out = docs[["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256"]]
@@ -356,7 +399,7 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, keep_groups: bool
     blocks = materialize(rows.mapInPandas(_blocks(cuts, block_chars), _BLOCK), "alignment-blocks")
     segments = blocks.filter("segment is not null").select("segment", "block", "place")
     ordered = segments.repartition(partitions(spark), "segment").sortWithinPartitions("segment")
-    codes = ordered.mapInPandas(_aligned(byte_level, piece_model), "block long, place int, code binary")
+    codes = ordered.mapInPandas(_aligned(byte_level, piece_model), _CODES)
     of_docs = blocks.filter("segment is null").select("block", "doc_id", "places")
     both = of_docs.groupBy("block").cogroup(codes.groupBy("block"))
     composed = materialize(both.applyInPandas(_composed(keep_groups), _COMPOSED), "alignment-composed")

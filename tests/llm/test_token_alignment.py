@@ -5,6 +5,8 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -48,16 +50,26 @@ def test_segments_have_the_tokens_of_the_whole_text():
     for text in texts_of(5000, 3) + [" ", "\n", " a", "\ta", "a ", "a \n ", "▁", "a▁b c"]:
         parts = split(" " + text)
         assert "".join(parts) == " " + text
-        found = [ta.decoded(ta.encoded(g)) for g in both.align(parts)]
+        found = both.align(parts)
         if None in found:
             assert whole(text) is None
         else:
             assert [g for x in found for g in x] == whole(text), repr(text)
 
 
-def test_large_groups_survive_their_code():
-    groups = [([70000, 1], [2]), ([3] * 70000, [4, 5])]
-    assert ta.decoded(ta.encoded(groups)) == groups and ta.decoded(ta.encoded(None)) is None and ta.decoded(ta.encoded([])) == []
+def test_codes_of_a_block_come_back():
+    groups = [[([70000, 1], [2]), ([3] * 700, [4, 5])], None, [([7], [8])], [([7], [8]), ([7, 9], [8])]]
+    codes = [ta.encoded(g) for g in groups]
+    place = np.array([2, 0, 3, 1])
+    parts = [(ta.packed(place[k]), ta.packed(np.array([len(codes[p]) for p in place[k]])), ta.packed(np.array([x for p in place[k] for x in codes[p]]))) for k in (slice(0, 3), slice(3, 4))]
+    found = ta._Alignments(pd.DataFrame(parts, columns=["places", "sizes", "codes"]))
+    assert found.bad.tolist() == [False, True, False, False]
+    assert found.texts[2:] == ["7|8", "7|8;7,9|8"] and found.texts[1] == "" and found.texts[0].endswith("3,3|4,5")
+    assert found.figures.T.tolist() == [[702, 3, 2, 1402], [0, 0, 0, 0], [1, 1, 1, 1], [3, 2, 2, 3]]
+    for k, g in enumerate(groups):
+        mine = slice(found.starts[k], found.starts[k + 1])
+        got = {divmod(int(found.pairs[n]), 1 << 32): int(t) for n, t in zip(found.number[mine], found.times[mine], strict=True)}
+        assert got == Counter(p for a, b in g or [] for p in product(a, b))
 
 
 def plain(texts):
