@@ -27,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 from .common import discard, id_text, materialize, partitions, with_id
 
 #: Characters of the documents of one block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 10_000_000
 #: Segments that are tokenised at a time.
 BATCH = 4096
 #: Rows of segments that leave a task together.
 ROWS = 50_000
+#: Segments, or documents, of a block that are composed at a time.
+SLICE = 400_000
+SLICE_DOCS = 4096
 SPACE = "▁"
 _WHITE = " \t\n\r\x0b\f"
 #: A wider white space than either tokenizer's.
@@ -309,23 +313,26 @@ class _Alignments:
         ids = np.cumsum(na + nb) - (na + nb)  # within all ids, in the codes' order
         of_ids = flat[_ranges(start + 1 + 2 * groups, self.figures[0][place] + self.figures[1][place])]
         inner = _ranges(np.zeros_like(na), na * nb)
-        first = np.repeat(ids, na * nb)
-        a = of_ids[first + inner // np.repeat(nb, na * nb)]
-        b = of_ids[first + np.repeat(na, na * nb) + inner % np.repeat(nb, na * nb)]
-        self.pairs, number = np.unique(a << 32 | b, return_inverse=True)
+        first, width = np.repeat(ids, na * nb), np.repeat(nb, na * nb)
+        linked = of_ids[first + inner // width] << 32 | of_ids[first + np.repeat(na, na * nb) + inner % width]
+        del inner, first, width, flat, both
+        self.pairs, number = np.unique(linked, return_inverse=True)
         size = max(len(self.pairs), 1)
         keys, self.times = np.unique(np.repeat(owner, na * nb) * size + number, return_counts=True)
+        del linked, number, owner
         self.number = keys % size
         self.starts = np.searchsorted(keys, np.arange(n + 1) * size)
         self.texts = [""] * n
-        said = list(map(str, of_ids.tolist()))
-        cut = np.concatenate(([0], np.cumsum(groups))).tolist()
-        spans = list(zip(ids.tolist(), na.tolist(), nb.tolist(), strict=True))
-        for k, p in enumerate(place.tolist()):
-            parts_of = []
-            for i, x, y in spans[cut[k] : cut[k + 1]]:
-                parts_of.append(f"{said[i]}|{said[i + 1]}" if x == y == 1 else f"{','.join(said[i : i + x])}|{','.join(said[i + x : i + x + y])}")
-            self.texts[p] = ";".join(parts_of)
+        last, begin = np.cumsum(groups), 0
+        for k in range(0, len(place), BATCH):
+            end = int(last[min(k + BATCH, len(place)) - 1])
+            low = int(ids[begin])
+            said = list(map(str, of_ids[low : int(ids[end]) if end < len(ids) else None].tolist()))
+            spans = zip((ids[begin:end] - low).tolist(), na[begin:end].tolist(), nb[begin:end].tolist(), strict=True)
+            for p, count in zip(place[k : k + BATCH].tolist(), groups[k : k + BATCH].tolist(), strict=True):
+                told = [f"{said[i]}|{said[i + 1]}" if x == y == 1 else f"{','.join(said[i : i + x])}|{','.join(said[i + x : i + x + y])}" for i, x, y in islice(spans, count)]
+                self.texts[p] = ";".join(told)
+            begin = end
 
 
 def _composed(keep_groups: bool):
@@ -333,9 +340,25 @@ def _composed(keep_groups: bool):
 
     def run(docs: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         known = _Alignments(codes)
-        n, n_pairs = max(known.n, 1), max(len(known.pairs), 1)
-        places = [unpacked(x) for x in docs["places"]]
-        places = [p if not known.bad[p].any() else p[:0] for p in places]
+        rows, documents, held, size = [], np.zeros(len(known.pairs), np.int64), [], 0
+        for doc, raw in zip(docs["doc_id"], docs["places"], strict=True):
+            p = unpacked(raw)
+            held.append((doc, p if not known.bad[p].any() else p[:0]))
+            size += len(p)
+            if size > SLICE or len(held) >= SLICE_DOCS:
+                rows += some(known, held, documents)
+                held, size = [], 0
+        rows += some(known, held, documents)
+        used = np.flatnonzero(documents)
+        nothing = [None] * len(_DOC)
+        rows += [(*nothing, *x) for x in zip(used.tolist(), known.pairs[used].tolist(), documents[used].tolist(), strict=True)]
+        out = pd.DataFrame(rows, columns=[*_DOC, "number", "pair", "documents"], dtype=object)
+        out.insert(0, "block", int(docs["block"].iloc[0]) if len(docs) else int(codes["block"].iloc[0]))
+        return out
+
+    def some(known: _Alignments, docs: list[tuple], documents: np.ndarray) -> list[tuple]:
+        """Rows of some documents; the pairs' numbers of documents grow."""
+        n, n_pairs, places = max(known.n, 1), max(len(known.pairs), 1), [p for _, p in docs]
         owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
         flat = np.concatenate(places) if places else np.zeros(0, np.int64)
         seen, often = np.unique(owner * n + flat, return_counts=True)
@@ -352,18 +375,13 @@ def _composed(keep_groups: bool):
         number = held % n_pairs
         bounds = np.searchsorted(held, np.arange(len(places) + 1) * n_pairs).tolist()
         texts, rows = known.texts, []
-        for k, (doc, p) in enumerate(zip(docs["doc_id"], places, strict=True)):
+        for k, (doc, p) in enumerate(docs):
             text = ";".join([texts[i] for i in p.tolist()])
             mine = slice(bounds[k], bounds[k + 1])
             links = packed(np.concatenate((np.diff(number[mine], prepend=0), weights[mine])))
             rows.append((doc, *(int(t[k]) for t in total), text if keep_groups else None, hashlib.sha256(text.encode()).hexdigest() if text else "", links, None, None, None))
-        documents = np.bincount(number, minlength=len(known.pairs))
-        used = np.flatnonzero(documents)
-        nothing = [None] * len(_DOC)
-        rows += [(*nothing, *x) for x in zip(used.tolist(), known.pairs[used].tolist(), documents[used].tolist(), strict=True)]
-        out = pd.DataFrame(rows, columns=[*_DOC, "number", "pair", "documents"], dtype=object)
-        out.insert(0, "block", int(docs["block"].iloc[0]) if len(docs) else int(codes["block"].iloc[0]))
-        return out
+        documents += np.bincount(number, minlength=len(documents))
+        return rows
 
     return run
 
