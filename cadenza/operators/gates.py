@@ -166,10 +166,10 @@ def frames_the_picture(box: Column, width, height) -> Column:
     return touches & ((box["x1"] - box["x0"] > w * 0.9) | (box["y1"] - box["y0"] > h * 0.9))
 
 
-def component_ok(area: Column, box: Column, width: Column, height: Column, intersects: Column, long: Column, short: Column, fill: Column, aspect: Column, angle: Column, least_long, least_short, most_angle: float) -> Column:
+def component_ok(area: Column, box: Column, width: Column, height: Column, intersects: Column, long: Column, short: Column, fill: Column, aspect: Column, angle: Column, least_long, least_short, most_angle: float, least_area: float = 0.002) -> Column:
     """A connected component that can be a text line or edge."""
     framing = frames_the_picture(box, width, height)
-    sized = (area >= 0.002 * width * height) & (long >= least_long) & (short >= least_short)
+    sized = (area >= least_area * width * height) & (long >= least_long) & (short >= least_short)
     return sized & intersects & ~framing & (fill >= 0.35) & (aspect >= 1.2) & (F.abs(angle) <= most_angle)
 
 
