@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import containment as C
 from ..operators import hulls as H
 from ..operators import regions as R
-from .catalogue import _POINTS, _points, _r, once, query, read, rounded
+from ..operators.spacing import spaced_points as spaced
+from .catalogue import _ORDERED, _POINTS, _points, _quads, _r, once, query, read, rounded
 
 _SIDE = 16
 
@@ -74,3 +76,35 @@ def hull_boxes(spark, d):
     hulls = H.convex_hull(_points(spark, d), ["vec_id"], chunk=12).withColumn("box", once(H.least_box(F.col("hull"))))
     rows = hulls.withColumn("s", G.box_sides(F.col("box.width"), F.col("box.height"), F.col("box.angle")))
     return rounded(rows.select("vec_id", F.size("hull").alias("corners"), H.hull_area(F.col("hull")).alias("area"), "s.long", "s.short", "s.angle"))
+
+
+# ---- points
+
+
+#: Best first, each against those taken so far.
+@query(f"""WITH RECURSIVE {_POINTS}, ranked AS MATERIALIZED (SELECT vec_id, i, x, y, row_number() OVER (PARTITION BY vec_id ORDER BY floor(abs(x) / 50) DESC, i) AS k FROM pts),
+walk AS (SELECT vec_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[]) AS taken FROM (SELECT DISTINCT vec_id FROM pts)
+  UNION ALL SELECT w.vec_id, r.k, CASE WHEN len(list_filter(w.taken, lambda t: (t.x - r.x) * (t.x - r.x) + (t.y - r.y) * (t.y - r.y) < 90.0 * 90.0)) = 0 THEN list_append(w.taken, {{'i': r.i, 'x': r.x, 'y': r.y}}) ELSE w.taken END
+  FROM walk w JOIN ranked r ON r.vec_id = w.vec_id AND r.k = w.k + 1),
+done AS (SELECT vec_id, unnest(taken) AS t, generate_subscripts(taken, 1) AS rank FROM walk WHERE k = 32)
+SELECT vec_id, t.i AS i, rank FROM done WHERE rank <= 9""")
+def spaced_points(spark, d):
+    """The best points of each set that keep their distance, nine at most."""
+    points = _points(spark, d).withColumn("quality", F.floor(F.abs("x") / 50))
+    return rounded(spaced(points, ["vec_id"], "quality", "i", 90.0, 9).select("vec_id", "i", "rank"))
+
+
+def _side(a: str, b: str) -> str:
+    return f"(o.{b}_x - o.{a}_x) * (p.y - o.{a}_y) - (o.{b}_y - o.{a}_y) * (p.x - o.{a}_x)"
+
+
+_TURNS = [_side(a, b) for a, b in (("tl", "tr"), ("tr", "br"), ("br", "bl"), ("bl", "tl"))]
+
+
+@query(f"""WITH {_POINTS}, {_ORDERED} SELECT p.vec_id % 50 AS frame, p.vec_id AS point_of, p.i, o.vec_id AS quad_of, o.q FROM pts p JOIN ordered o ON o.vec_id % 50 = p.vec_id % 50
+  WHERE p.i < 4 AND (({" AND ".join(f"{t} >= 0" for t in _TURNS)}) OR ({" AND ".join(f"{t} <= 0" for t in _TURNS)}))""")
+def points_in_quads(spark, d):
+    """Which quadrilaterals of a frame hold which of its points."""
+    points = _points(spark, d).filter("i < 4").select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("point_of"), "i", "x", "y")
+    quads = _quads(spark, d).select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("quad_of"), "q", "quad")
+    return C.points_in_quads(points, quads, ["frame"]).select("frame", "point_of", "i", "quad_of", "q")
