@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import containment as C
 from ..operators import hulls as H
 from ..operators import regions as R
+from ..operators.robust import robust_homographies as fitted_homographies
 from ..operators.spacing import spaced_points as spaced
 from .catalogue import _ORDERED, _POINTS, _points, _quads, _r, once, query, read, rounded
 
@@ -108,3 +109,30 @@ def points_in_quads(spark, d):
     points = _points(spark, d).filter("i < 4").select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("point_of"), "i", "x", "y")
     quads = _quads(spark, d).select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("quad_of"), "q", "quad")
     return C.points_in_quads(points, quads, ["frame"]).select("frame", "point_of", "i", "quad_of", "q")
+
+
+# ---- transforms
+
+#: A known transform for each set of points; every fourth match is an outlier.
+_KNOWN = ["1 + vec_id % 7 / 5e1", "vec_id % 5 / 4e1", "vec_id % 11 * 3e0", "vec_id % 3 / -3e1", "1 - vec_id % 4 / 6e1", "vec_id % 13 * -2e0", "vec_id % 6 / 5e4", "vec_id % 9 / -6e4", "1e0"]
+_CANVAS = [(0, 0), (199, 0), (199, 149), (0, 149)]
+
+
+def _projected(h: list[str], x: str, y: str) -> tuple[str, str]:
+    w = f"(({h[6]}) * {x} + ({h[7]}) * {y} + ({h[8]}))"
+    return f"(({h[0]}) * {x} + ({h[1]}) * {y} + ({h[2]})) / {w}", f"(({h[3]}) * {x} + ({h[4]}) * {y} + ({h[5]})) / {w}"
+
+
+_EXPECTED = ", ".join(f"round({e}, 4) + 0.0 AS {a}{k}" for k, (x, y) in enumerate(_CANVAS) for a, e in zip("xy", _projected([f"k{i}" for i in range(9)], f"{x}.0", f"{y}.0"), strict=True))
+
+
+@query(f"WITH k AS (SELECT DISTINCT vec_id, {', '.join(f'CAST({e} AS DOUBLE) AS k{i}' for i, e in enumerate(_KNOWN))} FROM embeddings) SELECT vec_id, 32 AS matches, 24 AS inliers, {_EXPECTED} FROM k")
+def robust_homographies(spark, d):
+    """Known transforms recovered from matches a quarter of which are wrong."""
+    u, v = _projected(_KNOWN, "x", "y")
+    wrong = F.when(F.col("i") % 4 == 3, 1).otherwise(0)
+    p = _points(spark, d).select("vec_id", F.col("i").alias("index"), F.col("x").alias("sx"), F.col("y").alias("sy"), (F.expr(u) + wrong * (140 + 31 * F.col("i"))).alias("tx"), (F.expr(v) - wrong * (90 + F.col("i") * (F.col("vec_id") % 7) * 17)).alias("ty"))
+    found = fitted_homographies(p, ["vec_id"])
+    corners = G.project(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in _CANVAS]), F.col("transform"))
+    found = found.withColumn("c", once(corners))
+    return found.select("vec_id", "matches", "inliers", *[(F.round(F.col("c")[k][a], 4) + F.lit(0.0)).alias(f"{a}{k}") for k in range(4) for a in "xy"])
