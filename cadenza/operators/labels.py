@@ -22,7 +22,7 @@ def components(links: DataFrame, key: list[str], a: str = "a", b: str = "b") ->
     """(*key, node, root) of every node of links(*key, a, b) but each component's
     least, which is the others' root. Rounds of stars: each node's greater
     neighbours are tied to the least node it sees, then its lesser ones; a round
-    is two aggregations and two joins on (key, node), whose tables are written, and
+    is two aggregations and two joins on (key, node), whose results are written, and
     rounds grow with the logarithm of a component's size. Keys and ends aren't
     null."""
     two = links.select(*key, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
@@ -34,10 +34,10 @@ def components(links: DataFrame, key: list[str], a: str = "a", b: str = "b") ->
         both = now.unionByName(now.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
         wide = both.join(_least(both, key), [*key, "u"]).filter("v > u")
         wide = written(wide.select(*key, F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct(), "links")
-        low = written(_least(wide, key), "links")
+        low = _least(wide, key)
         near = wide.join(low, [*key, "u"]).filter("v <> low").select(*key, F.col("v").alias("u"), F.col("low").alias("v"))
         after = written(near.unionByName(low.withColumnRenamed("low", "v")).distinct(), "links")
-        drop(now, wide, low)
+        drop(now, wide)
         now, state = after, _state(after, key)
         if state == before:
             break

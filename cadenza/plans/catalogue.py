@@ -780,7 +780,7 @@ def smooth_quads(spark, d):
     return rounded(centred_filter(rows, Series("vec_id", "q"), ["tl_x"], 3, "mean").select("vec_id", "q", "tl_x"))
 
 
-from . import more, shapes  # noqa: E402, F401  register the rest
+from . import more, scans, shapes  # noqa: E402, F401  register the rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

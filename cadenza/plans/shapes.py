@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import containment as C
+from ..operators import hough as L
 from ..operators import hulls as H
 from ..operators import regions as R
 from ..operators.robust import robust_homographies as fitted_homographies
@@ -79,6 +80,30 @@ def hull_boxes(spark, d):
     return rounded(rows.select("vec_id", F.size("hull").alias("corners"), H.hull_area(F.col("hull")).alias("area"), "s.long", "s.short", "s.angle"))
 
 
+#: Each frame's mask with a planted line.
+_ANGLES = list(range(-45, 50, 5))
+_EDGES_SQL = f"{_PIXELS}, edge AS (SELECT frame, x, y FROM px UNION SELECT vec_id // 4, x, vec_id // 4 % 8 + x * (vec_id // 4 % 5) // 10 FROM embeddings, range(0, {_SIDE}) t(x))"
+_DIRS = ", ".join(f"({k}, {c}, {s})" for k, _, c, s in L.directions(_ANGLES))
+_BEATS = "b.n > a.n OR (b.n = a.n AND (b.d < a.d OR (b.d = a.d AND b.o < a.o)))"
+
+
+@query(f"""WITH {_EDGES_SQL}, v AS MATERIALIZED (SELECT frame, x, y, d, CAST(floor((y * c - x * s + {L.SCALE // 2}) / {L.SCALE}) AS BIGINT) AS o, x * c + y * s AS along FROM edge, (VALUES {_DIRS}) t(d, c, s)),
+n AS MATERIALIZED (SELECT frame, d, o, count(*) AS n FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 7),
+peak AS (SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.frame = a.frame AND abs(b.d - a.d) <= 1 AND abs(b.o - a.o) <= 1 AND ({_BEATS}))),
+l AS (SELECT v.*, n, CASE WHEN along - lag(along) OVER w <= {2 * L.SCALE} THEN 0 ELSE 1 END AS fresh FROM v JOIN peak USING (frame, d, o) WINDOW w AS (PARTITION BY frame, d, o ORDER BY along, x, y)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY frame, d, o ORDER BY along, x, y ROWS UNBOUNDED PRECEDING) AS part FROM l),
+e AS (SELECT frame, d AS direction, o AS "offset", n AS votes, count(*) AS pixels, min({{'along': along, 'x': x, 'y': y}}) AS a, max({{'along': along, 'x': x, 'y': y}}) AS b FROM g GROUP BY frame, d, o, n, part),
+f AS (SELECT *, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS length, degrees(atan2(b.y - a.y, b.x - a.x)) AS t FROM e)
+SELECT frame, direction, "offset", votes, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, pixels, {_r('length')} AS length, {_r('90 - ((90 - t) - 180.0 * floor((90 - t) / 180.0))')} AS angle FROM f WHERE length >= 6""")
+def hough_segments(spark, d):
+    """Segments of the lines for which most pixels of a frame vote."""
+    pixels, _ = _mask(spark, d)
+    frame = F.expr("vec_id div 4")
+    line = read(spark, d, "embeddings").select(frame.alias("frame"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SIDE - 1).cast("long"))).alias("x"))
+    line = line.select("frame", "x", (F.col("frame") % 8 + F.expr("(x * (frame % 5)) div 10")).alias("y"))
+    return rounded(L.line_segments(pixels.unionByName(line), ["frame"], _ANGLES, 7, 6.0, 2.0))
+
+
 # ---- points
 
 
