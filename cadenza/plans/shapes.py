@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import containment as C
 from ..operators import hough as L
 from ..operators import hulls as H
+from ..operators import outlines as O
 from ..operators import regions as R
 from ..operators.robust import robust_homographies as fitted_homographies
 from ..operators.spacing import spaced_points as spaced
@@ -104,6 +105,30 @@ def hough_segments(spark, d):
     return rounded(L.line_segments(pixels.unionByName(line), ["frame"], _ANGLES, 7, 6.0, 2.0))
 
 
+_SHARES = [0.01, 0.03, 0.06]
+
+
+def _farthest_sql(name: str, start: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT p.vec_id, arg_min({{'i': p.i, 'x': p.x, 'y': p.y}}, [-sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)), p.i]) AS v FROM pts p JOIN ({start}) s USING (vec_id) GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, {_farthest_sql('fa', 'SELECT vec_id, x, y FROM pts WHERE i = 0')}, {_farthest_sql('fb', 'SELECT vec_id, v.x AS x, v.y AS y FROM fa')},
+len AS (SELECT p.vec_id, sum(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))) AS total FROM pts p JOIN pts q ON q.vec_id = p.vec_id AND q.i = (p.i + 1) % 32 GROUP BY 1),
+turn AS MATERIALIZED (SELECT p.vec_id, p.i, p.x, p.y, (p.i - fa.v.i + 32) % 32 AS pos, (fb.v.i - fa.v.i + 32) % 32 AS mid FROM pts p JOIN fa USING (vec_id) JOIN fb USING (vec_id)),
+ring AS MATERIALIZED (SELECT vec_id, pos, x, y, i FROM turn UNION ALL SELECT vec_id, 32, x, y, i FROM turn WHERE pos = 0),
+seg AS (SELECT DISTINCT vec_id, CAST(tolerance AS DOUBLE) AS tolerance, CASE h WHEN 0 THEN 0 ELSE mid END AS s, CASE h WHEN 0 THEN mid ELSE 32 END AS e FROM turn, (VALUES {', '.join(f'({t})' for t in _SHARES)}) t(tolerance), (VALUES (0), (1)) u(h)
+  UNION ALL SELECT f.vec_id, f.tolerance, CASE h WHEN 0 THEN f.s ELSE f.cut END, CASE h WHEN 0 THEN f.cut ELSE f.e END
+  FROM (SELECT g.vec_id, g.tolerance, g.s, g.e, arg_min(p.pos, [-abs((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)), p.pos]) AS cut, max(abs((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS far, any_value(total) AS total
+    FROM seg g JOIN ring a ON a.vec_id = g.vec_id AND a.pos = g.s JOIN ring b ON b.vec_id = g.vec_id AND b.pos = g.e JOIN ring p ON p.vec_id = g.vec_id AND p.pos > g.s AND p.pos < g.e JOIN len ON len.vec_id = g.vec_id GROUP BY ALL) f, (VALUES (0), (1)) u(h)
+  WHERE f.far > f.tolerance * f.total),
+kept AS (SELECT DISTINCT g.vec_id, g.tolerance, r.i FROM seg g JOIN ring r ON r.vec_id = g.vec_id AND r.pos = g.s)
+SELECT vec_id, tolerance, count(*) AS corners, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS kept FROM kept GROUP BY 1, 2""")
+def simplified_outlines(spark, d):
+    """Outlines of points reduced to the corners that a tolerance leaves."""
+    out = O.simplified(_points(spark, d), ["vec_id"], _SHARES)
+    return rounded(out.select("vec_id", "tolerance", F.size("corners").alias("corners"), F.array_join(F.transform("corners", lambda c: c["i"].cast("string")), ",").alias("kept")))
+
+
 # ---- points
 
 
