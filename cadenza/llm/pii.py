@@ -7,18 +7,22 @@ security and account (IBAN) numbers, and persons named with a title, after a cue
 Chinese characters before a form of address. A surname found in a text is replaced
 wherever else it stands in that text. An entity is its kind and its canonical text, so
 its mentions in any case or format get one surrogate (coreference), written in each
-mention's own format and case. Telephone numbers keep their country: those with +1 are
-one with the bare national number.
+mention's own format and case. Digits of all scripts count: an entity is told by their
+values, and each mention gets the surrogate's digits in its own script. Telephone numbers
+keep their country: those with +1 are one with the bare national number.
 
 Numbers and addresses go through a keyed format-preserving permutation: letters
-stay letters of their script, digits digits, and check digits, network prefixes,
+stay letters of their script (beyond the alphabets below, of their block of 128 characters,
+their category and the script in their name), digits digits, and check digits, network prefixes,
 address ranges, country codes and mail domains' ends keep their validity. Given names are drawn
 by the key from names of the same gender and script (neutral ones if the gender isn't
 told), surnames are built in the script. A collision check over the corpus's distinct
 entities settles all: numbers are one space and names another, whatever their kinds; a
 candidate that is itself a real entity of its space, is taken, or is wanted by two (the
 least kind and canonical text win) is drawn again in the next round, so distinct entities
-get distinct surrogates and no surrogate is a real entity. The key is the caller's; the
+get distinct surrogates and no surrogate is a real entity. Where rounds settle nothing any
+more (a range of addresses that is full, say), what is left becomes a mark of its kind and a
+keyed number. The key is the caller's; the
 query and the pipeline read it from the session's cadenza.pii.key.
 
 A null text stays null, and texts without an entity stay as they are. Repeated
@@ -30,7 +34,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -79,9 +85,9 @@ _CUED = re.compile(rf"(?<!\w)(?:{_CUES})\s({_PART}(?:[ -]{_PART}){{1,3}})(?!\w)"
 _LEARNED = re.compile(rf"(?<!\w)(?:Dr|Prof|Doctor|Professor)\.? ({_PART}(?:[ -]{_PART}){{0,3}})(?!\w)")
 _HAN = re.compile(rf"([{SURNAMES_HAN}][\u4e00-\u9fff]{{1,2}})(先生|女士|小姐)")
 _HINT = re.compile(rf"(?<!\w)(?:{'|'.join([*_GENDER, *_KNOWN])})[. ]|(?<!\w)(?:{_CUES}|Dr|Prof|Doctor|Professor)[. \n]|先生|女士|小姐")
-_SIGN = re.compile(r"[0-9@:]")
-_DOMAIN = re.compile(r"@([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)")
-_LOCAL = re.compile(r"[\w.%+-]")
+_SIGN = re.compile(r"[\d@:]")
+_LABEL = r"[^\W_](?:[^\W_]|-(?=-*[^\W_]))*"
+_DOMAIN = re.compile(rf"@({_LABEL}(?:\.{_LABEL})+)")
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\w:-]))"
@@ -95,6 +101,26 @@ _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:
 
 LETTERS = ["abcdefghijklmnopqrstuvwxyz", "0123456789", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"]
 _CLASS = {c: (a, i) for a in LETTERS for i, c in enumerate(a)}
+#: Ranges of addresses whose surrogates stay within them (fixed values); the rest is one range.
+RANGES = [ipaddress.ip_network(x) for x in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()]
+
+
+@lru_cache(65536)
+def alphabet_of(c: str) -> tuple[str, int] | None:
+    """The characters that can stand for c, and c's place in them; None where
+    there are no others. Marks count as letters do."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind, block = unicodedata.category(c), ord(c) & ~127
+    if kind[0] not in "LNM":
+        return None
+    script = lambda x: unicodedata.name(x, "?").split()[0]
+    found = "".join(x for x in map(chr, range(block, block + 128)) if x not in _CLASS and unicodedata.category(x) == kind and script(x) == script(c) and x.lower() == x)
+    return (found, found.index(c)) if c in found and len(found) > 1 else None
+
+
+def _in_local(c: str) -> bool:
+    return c.isalnum() or c in "._%+-" or unicodedata.category(c)[0] == "M"
 
 
 def script_of(word: str) -> str:
@@ -103,7 +129,13 @@ def script_of(word: str) -> str:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+    """The digits' values, whatever their script."""
+    return "".join(str(int(c)) for c in s if c.isdecimal())
+
+
+def _as_in(c: str, digit: str) -> str:
+    """A digit in the script of the digit c."""
+    return chr(ord(c) - int(c) + int(digit))
 
 
 def _iban_ok(s: str) -> bool:
@@ -168,7 +200,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if "@" in text:
             for m in _DOMAIN.finditer(text):
                 b = m.start()
-                while b and _LOCAL.match(text[b - 1]):
+                while b and _in_local(text[b - 1]):
                     b -= 1
                 while b < m.start() and text[b] == ".":
                     b += 1
@@ -184,7 +216,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "mac":
                 canon = re.sub("[:-]", "", raw).lower()
             elif kind == "iban":
-                canon = raw.replace(" ", "")
+                canon = "".join(str(int(c)) if c.isdecimal() else c for c in raw if c != " ")
                 if not 15 <= len(canon) <= 34 or not _iban_ok(canon):
                     continue
             else:
@@ -238,13 +270,13 @@ def reshape(key: bytes, tweak: str, text: str) -> str:
     one number; other characters stay."""
     value, size, shape = 0, 1, []
     for c in text:
-        if known := _CLASS.get(c):
+        if known := alphabet_of(c):
             alphabet, i = known
             value, size = value * len(alphabet) + i, size * len(alphabet)
             shape.append(alphabet)
         else:
             shape.append(None)
-    value = permute(key, tweak + "|" + "".join("." if a is None else str(LETTERS.index(a)) for a in shape), value, size)
+    value = permute(key, tweak + "|" + "".join("." if a is None else str(LETTERS.index(a)) if a in LETTERS else a[0] for a in shape), value, size)
     out = []
     for c, a in zip(reversed(text), reversed(shape), strict=True):
         if a is None:
@@ -263,10 +295,6 @@ def luhn_digit(digits: str) -> int:
     return -total % 10
 
 
-def _scope(address: ipaddress.IPv4Address) -> tuple[bool, ...]:
-    return address.is_private, address.is_loopback, address.is_multicast, address.is_link_local, address.is_reserved
-
-
 def _syllables(key: bytes, script: str, canon: str, attempt: int, tag: str, n: int) -> str:
     number, parts = _number(key, tag, script, canon, attempt), []
     for _ in range(n):
@@ -285,11 +313,15 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         grown = local + "".join(str(_number(key, tweak, canon, i) % 10) for i in range(max(0, attempt - 3)))
         return f"{reshape(key, tweak, grown)}@{'.'.join(keep)}"
     if kind == "ip":
-        value = int(ipaddress.IPv4Address(canon))
-        scope = _scope(ipaddress.IPv4Address(canon))
+        own = ipaddress.IPv4Address(canon)
+        net = next((n for n in RANGES if own in n), None)
+        if net is not None:
+            first = int(net.network_address)
+            return str(ipaddress.IPv4Address(first + permute(key, f"{tweak}|{net}", int(own) - first, net.num_addresses)))
+        value = int(own)
         while True:
             value = permute(key, tweak, value, 1 << 32)
-            if _scope(ipaddress.IPv4Address(value)) == scope:
+            if not any(ipaddress.IPv4Address(value) in n for n in RANGES):
                 return str(ipaddress.IPv4Address(value))
     if kind == "ip6":
         value = int(ipaddress.IPv6Address(canon))
@@ -324,14 +356,19 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 
 
 def render(kind: str, mention: str, surrogate: str) -> str:
-    """The surrogate in the mention's format and case."""
+    """The surrogate in the mention's format, case and digits."""
+    if surrogate.startswith("<"):
+        return surrogate
     if kind in ("card", "ssn", "phone"):
         surrogate = surrogate.lstrip("+")
-        spots = [i for i, c in enumerate(mention) if c.isdigit()][-len(surrogate) :]
+        spots = [i for i, c in enumerate(mention) if c.isdecimal()][-len(surrogate) :]
         out = list(mention)
         for i, d in zip(spots, surrogate, strict=True):
-            out[i] = d
+            out[i] = _as_in(mention[i], d)
         return "".join(out)
+    if kind == "ip":
+        own = next(c for c in mention if c.isdecimal())
+        return "".join(_as_in(own, c) if c != "." else c for c in surrogate)
     if kind in ("mac", "iban"):
         rest = iter(surrogate)
         out = "".join(next(rest) if c.isalnum() else c for c in mention)
@@ -369,6 +406,15 @@ def _candidates(key: bytes, attempt: int):
     return run
 
 
+def _marks(key: bytes):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [f"<{k} {_number(key, 'mark', k, c) >> 160:024x}>" for k, c in zip(b["kind"], b["canon"], strict=True)]
+            yield b[["kind", "canon"]].assign(surrogate=made)
+
+    return run
+
+
 def _space() -> Column:
     """Kinds whose surrogates may not be equal."""
     kind = F.col("kind")
@@ -401,7 +447,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame
             return given
         idle, waiting = (idle + 1 if still == waiting else 0), still
         if idle == rounds:
-            raise RuntimeError(f"{still} entities without a surrogate: {rounds} rounds settled none")
+            marked = pending.mapInPandas(_marks(secret), "kind string, canon string, surrogate string")
+            return given.unionByName(materialize(marked, "pii-marks"))
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
