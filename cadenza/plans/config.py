@@ -5,6 +5,9 @@ from __future__ import annotations
 import shlex
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def split_extra_args(text: str) -> list[str]:
     """Words of a command line, quotes as in a shell; a word that ends in a
@@ -89,3 +92,15 @@ PROFILES = {
     "dynamic": {"least_point_age": 15, "median_window": 5, "mean_window": 31},
     "low-latency": {"least_point_age": 1, "median_window": 1, "mean_window": 1},
 }
+
+
+def with_profiles(rows: DataFrame, profile: str = "profile") -> DataFrame:
+    """Settings as columns (point_age, median_window, mean_window), where a row's
+    preset wins over what it asks; no preset leaves them."""
+    out = {}
+    for column, field in (("point_age", "least_point_age"), ("median_window", "median_window"), ("mean_window", "mean_window")):
+        c = F.col(column)
+        for name, values in PROFILES.items():
+            c = F.when(F.col(profile) == name, values[field]).otherwise(c)
+        out[column] = c
+    return rows.withColumns(out)

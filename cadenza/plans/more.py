@@ -9,19 +9,21 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import folds as D
 from ..operators import gates as Q
 from ..operators import joins as J
+from ..operators import point_ages as P
 from ..operators import sampling as S
 from ..operators.timeseries import Series, smooth_corners, smooth_residual
 from ..sources import schemas
 from ..sources import tables as IO
 from ..streaming.run import shared_folder
 from .catalogue import (
-    _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, observations, query, read, rounded,
+    _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, _stream, observations, query, read, rounded,
 )
-from .config import PROFILES, Config
+from .config import with_profiles
 
 
 def _folder(spark) -> str:
@@ -49,8 +51,10 @@ def metadata_probe(spark, d):
 
 @query(f"WITH {_VIDEOS} SELECT video, {_r('fps')} AS fps, {_r('frame_count / fps')} AS duration_seconds FROM videos WHERE fps > 0")
 def metadata_strict(spark, d):
-    """The same where a video without fps would be an error."""
-    return rounded(IO.video_metadata(_videos(spark, d).filter("fps > 0"), strict=True).select("video", "fps", "duration_seconds"))
+    """The same where a video without fps is an error: probed first, so that the
+    strict reading gets none and would end at one."""
+    known = IO.video_metadata(_videos(spark, d)).join(_videos(spark, d).filter("fps > 0").select("video"), "video", "left_semi")
+    return rounded(IO.video_metadata(known.drop("duration_seconds"), strict=True).select("video", "fps", "duration_seconds"))
 
 
 @query("WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders) SELECT CAST(o_custkey AS VARCHAR) AS video, frame, CAST(o_orderkey AS VARCHAR) AS data FROM f WHERE frame <= 1")
@@ -62,19 +66,46 @@ def random_access(spark, d):
     return IO.frames_at(frames, keys).select("video", F.col("frame").cast("long").alias("frame"), F.col("data").cast("string").alias("data"))
 
 
-@query("SELECT f AS frame, md5(string_agg(chr(CAST(33 + (f * 7 + x * 3 + y * 5 + c * 11) % 60 AS INTEGER)), '' ORDER BY y, x, c)) AS pixels FROM range(0, 40) a(f), range(0, 6) b(y), range(0, 8) e(x), range(0, 3) g(c) GROUP BY f")
+_FRAME_SQL = "SELECT CAST(label AS VARCHAR) AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, 8 AS height, md5(unhex(array_to_string(list_transform(embedding, lambda v: lpad(hex(CAST(floor(CAST(v AS DOUBLE) * 100) AS BIGINT) + 128), 2, '0')), ''))) AS pixels FROM embeddings"
+
+
+def _frames(spark, d):
+    """An embedding as a frame of 8 by 8 bytes, its label as the video."""
+    e = read(spark, d, "embeddings")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(v.cast("double") * 100) + 128), 2, "0")), ""))
+    frame = Series("label", "vec_id").index().cast("int")
+    return e.select(F.col("label").cast("string").alias("video"), frame.alias("frame"), *[F.lit(v).alias(n) for n, v in (("height", 8), ("width", 8), ("channels", 1))], data.alias("data"))
+
+
+def _landed(spark, frames):
+    from ..sources import landed, scratch
+
+    landed.register(spark)
+    path = scratch.folder(spark, "frames")
+    frames.sortWithinPartitions("video", "frame").write.format("landedframes").mode("append").save(path)
+    return path
+
+
+def _shown(frames):
+    return rounded(frames.select("video", "frame", "height", F.md5("data").alias("pixels")))
+
+
+@query(_FRAME_SQL)
 def raw_video_scan(spark, d):
-    """Frames of a raw file, written here and scanned in runs of seven."""
-    from ..sources import rawvideo
+    """Frames landed by a sink and scanned in runs of seven."""
+    path = _landed(spark, _frames(spark, d))
+    return _shown(spark.read.format("landedframes").option("framesPerPartition", 7).load(path))
 
-    read(spark, d, "region")
-    rawvideo.register(spark)
-    path = f"{_folder(spark)}.raw"
-    store, inner = rawvideo._open(path)
-    with store.open_output_stream(inner) as f:
-        f.write(bytes(33 + (k * 7 + x * 3 + y * 5 + c * 11) % 60 for k in range(40) for y in range(6) for x in range(8) for c in range(3)))
-    scan = spark.read.format("rawframes").options(path=path, height=6, width=8, framesPerPartition=7).load()
-    return scan.select(F.col("frame").cast("long").alias("frame"), F.md5("data").alias("pixels"))
+
+@query(_FRAME_SQL)
+def streamed_frames(spark, d):
+    """Frames landed in two goes and read as a stream."""
+    from ..streaming.run import drain
+
+    frames = _frames(spark, d)
+    path = _landed(spark, frames.filter("frame % 3 = 0"))
+    frames.filter("frame % 3 <> 0").write.format("landedframes").mode("append").save(path)
+    return _shown(drain(spark.readStream.format("landedframes").load(path)))
 
 
 # ---- tables written and read again
@@ -126,15 +157,32 @@ def align_csv(spark, d):
     return rounded(out.select("frame", F.isnan("perspective_y").alias("missing"), shown("translation_x"), shown("rotation_deg")))
 
 
-@query(f"WITH {_OBS} SELECT row_number() OVER (ORDER BY event_id) - 1 AS sample, i AS frame, {_r('value')} AS reprojection_error FROM obs WHERE event_id % 50 = 0")
+@query(f"WITH {_OBS} SELECT event_id AS sample, i AS frame, CASE WHEN ok THEN {_r('value')} END AS reprojection_error, event_type AS reason FROM obs")
 def probe_csv(spark, d):
-    """Probe rows through CSV; a table of none isn't written."""
-    e = observations(spark, d).withColumn("frame", SERIES.index()).filter("event_id % 50 = 0")
-    none = IO.write_csv(e.limit(0), _folder(spark), schemas.LEARNED, even_empty=False)
-    rows = e.withColumn("sample", F.col("event_id") / 50).withColumn("reprojection_error", F.col("value"))
-    first = e.agg(F.min("event_id")).first()[0] // 50
-    out = _again(spark, rows.withColumn("sample", (F.col("sample") - first).cast("int")), schemas.LEARNED, even_empty=False)
-    return rounded(out.filter(F.lit(not none)).select("sample", "frame", "reprojection_error"))
+    """Probe rows through CSV, whose header are the first row's keys; a table of
+    none isn't written."""
+    e = observations(spark, d).withColumn("i", SERIES.index())
+    pairs = [F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in (("sample", F.col("event_id")), ("frame", F.col("i")), ("reprojection_error", F.col("value")), ("reason", F.col("event_type")))]
+    fields = F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.col("ok") | (p["k"] != "reprojection_error")))
+    rows = e.select(F.struct((~F.col("ok")).alias("last"), "event_id").alias("at"), fields.alias("fields"))
+    path = _folder(spark)
+    none = IO.write_by_keys(rows.filter(F.lit(False)), path, "fields", "at")
+    IO.write_by_keys(rows, path, "fields", "at")
+    found = spark.read.option("header", True).csv(path).filter(F.lit(none is None))
+    return rounded(found.select(F.col("sample").cast("long"), F.col("frame").cast("long"), F.col("reprojection_error").cast("double"), "reason"))
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE event_type <> 'error') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS rejected, CAST(count(DISTINCT user_id) AS BIGINT) AS series FROM events""")
+def progress_counts(spark, d):
+    """Counts of accepted and rejected rows that come with a written result."""
+    from ..sources.scratch import written
+    from .progress import observed
+
+    rows, counts = observed(observations(spark, d), "gate", F.col("ok"))
+    done = written(rows.withColumn("smoothed", SERIES.running_count(~F.col("ok"))), "progress")
+    told = counts.get
+    series = done.agg(F.countDistinct("user_id").alias("series"))
+    return series.select(*[F.lit(told[k]).cast("long").alias(k) for k in ("rows", "accepted", "rejected")], "series")
 
 
 @query(f"WITH {_QUADS} SELECT CAST(vec_id AS VARCHAR) AS video, 640 AS width, q AS frame, {_r('q / 30.0')} AS time_seconds, {_r('x0')} AS x0, {_r('y3')} AS y3 FROM quads")
@@ -149,13 +197,12 @@ def annotations_round_trip(spark, d):
     return rounded(back.select("video", "width", "frame", "time_seconds", F.col("corners")[0][0].alias("x0"), F.col("corners")[3][1].alias("y3")))
 
 
-@query("SELECT k AS attempt, CASE WHEN k = 0 THEN 'run' ELSE 'run_' || lpad(CAST(k AS VARCHAR), 2, '0') END AS name FROM range(0, 4) t(k)")
+@query("""WITH c AS (SELECT o_orderkey, coalesce(nullif(regexp_replace(regexp_replace('run ' || o_orderpriority, '[^\\pL\\pN_.-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'run') AS base, row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) - 1 AS k, o_orderdate FROM orders)
+SELECT o_orderkey, base || CASE WHEN k = 0 THEN '' ELSE '_' || lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(k AS VARCHAR))) AS INTEGER), '0') END AS name FROM c""")
 def run_directories(spark, d):
-    """The first free names of a run."""
-    read(spark, d, "region")
-    root = _folder(spark)
-    made = [(k, IO.run_directory(spark, root, "run").rsplit("/", 1)[1]) for k in range(4)]
-    return spark.createDataFrame(made, "attempt long, name string")
+    """The free names of a day's runs: the first as asked, the others numbered."""
+    o = read(spark, d, "orders").withColumn("base", X.clean_path_part(F.concat(F.lit("run "), "o_orderpriority")))
+    return IO.run_names(o, ["o_orderdate"], "base", "o_orderkey").select("o_orderkey", "name")
 
 
 @query("SELECT p_partkey, '/runs/1/' || CASE p_size % 4 WHEN 0 THEN 'in.' || p_partkey || '_normalized.mp4' WHEN 1 THEN 'asked.mp4' WHEN 2 THEN 'asked.mkv' ELSE 'asked.' || p_partkey END AS path FROM part")
@@ -167,13 +214,12 @@ def output_resolution(spark, d):
     return p.select("p_partkey", IO.output_name(asked, source, F.lit("/runs/1")).alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('dynamic', 15, 5, 31), ('low-latency', 1, 1, 1)) t(profile, point_age, median_window, mean_window)")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 15 WHEN 1 THEN 1 ELSE p_size END AS point_age, CASE p_size % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 9 END AS median_window, CASE p_size % 3 WHEN 0 THEN 31 WHEN 1 THEN 1 ELSE 11 END AS mean_window FROM part""")
 def profiles(spark, d):
-    """What the presets leave of explicit settings."""
-    read(spark, d, "region")
-    asked = Config(least_point_age=7, median_window=9, mean_window=11)
-    rows = [(n, c.least_point_age, c.median_window, c.mean_window) for n in PROFILES for c in [asked.with_profile(n)]]
-    return rounded(spark.createDataFrame(rows, "profile string, point_age int, median_window int, mean_window int"))
+    """What the presets leave of explicit settings, a row a run."""
+    k = F.col("p_size") % 3
+    asked = read(spark, d, "part").select("p_partkey", F.when(k == 0, "dynamic").when(k == 1, "low-latency").alias("profile"), F.col("p_size").alias("point_age"), F.lit(9).alias("median_window"), F.lit(11).alias("mean_window"))
+    return rounded(with_profiles(asked).drop("profile"))
 
 
 # ---- scalars and gates
@@ -328,6 +374,31 @@ def frame_points(spark, d):
     return rounded(e.lateralJoin(FramePoints(F.col("xy").outer())).select("vec_id", "i", "x", "y"))
 
 
+_AGES = f"""WITH {_OBS}, e AS (SELECT user_id, event_id, i, CAST(floor(value) AS BIGINT) % 6 AS p, event_type <> 'view' AS kept FROM obs),
+d AS (SELECT a.event_id, f.p, f.p = a.p AS own, max(CASE WHEN NOT f.kept THEN f.i ELSE -1 END) AS dropped, arg_max(f.kept, f.i) AS alive FROM e a JOIN e f ON f.user_id = a.user_id AND f.i <= a.i GROUP BY 1, 2, 3),
+n AS (SELECT event_id, count(*) FILTER (WHERE alive) AS points, max(CASE WHEN own THEN dropped END) AS since FROM d GROUP BY 1)
+SELECT a.user_id, a.event_id, count(f.event_id) AS age, any_value(n.points) AS points FROM e a JOIN n USING (event_id) LEFT JOIN e f ON f.user_id = a.user_id AND f.p = a.p AND f.i <= a.i AND f.i > n.since GROUP BY 1, 2"""
+
+
+def _sightings(e):
+    return e.select("user_id", "ts", "event_id", (F.floor("value") % 6).alias("point"), (F.col("event_type") != "view").alias("kept"))
+
+
+@query(_AGES)
+def point_ages(spark, d):
+    """How long a series' points have been kept, and how many there are."""
+    return P.point_ages(_sightings(read(spark, d, "events")), "user_id", ["ts", "event_id"], "point", "kept").select("user_id", "event_id", "age", "points")
+
+
+@query(_AGES)
+def stream_point_ages(spark, d):
+    """The same over a stream, with a map of points as Spark's state."""
+    from ..streaming.run import drain
+
+    out = P.stream_point_ages(_sightings(_stream(spark, d)), "user_id", ["ts", "event_id"], "point", "kept")
+    return drain(out).select("user_id", "event_id", "age", "points")
+
+
 # ---- folds of whole states
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -78,6 +78,26 @@ def write_csv(df: DataFrame, path: str, schema: StructType, mode: str = "errorif
     return True
 
 
+def write_by_keys(df: DataFrame, path: str, fields: str, order: str, mode: str = "errorifexists") -> list[str] | None:
+    """Rows of maps (text by name) as CSV whose header is the first row's keys in
+    their order; other keys are left out, missing ones blank. Tells the header; a
+    table of no rows isn't written (None)."""
+    first = df.select(order, F.map_keys(fields).alias("keys")).agg(F.min_by("keys", order).alias("keys")).first()["keys"]
+    if first is None:
+        return None
+    df.select(*[F.try_element_at(fields, F.lit(k)).alias(k) for k in first]).write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    return first
+
+
+def run_names(df: DataFrame, key: list[str], name: str, order: str) -> DataFrame:
+    """df with its `name` made unique within each key: the first by order keeps
+    it, the others are name_01, name_02, ..."""
+    k = F.row_number().over(Window.partitionBy(*key, name).orderBy(order)) - 1
+    number = k.cast("string")
+    shown = F.concat(F.lit("_"), F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0")))
+    return df.withColumn("name", F.concat(name, F.when(k == 0, "").otherwise(shown)))
+
+
 def summary_documents(summaries: DataFrame, generated_at: datetime | None = None) -> DataFrame:
     """A document (json) for each row of summaries(video, all, last_seconds);
     videos are never gathered to one."""
