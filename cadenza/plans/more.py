@@ -23,7 +23,7 @@ from ..streaming.run import shared_folder
 from .catalogue import (
     _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, _stream, observations, query, read, rounded,
 )
-from .config import with_profiles
+from .config import Config, with_profiles
 
 
 def _folder(spark) -> str:
