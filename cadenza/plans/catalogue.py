@@ -695,11 +695,10 @@ SELECT CAST(user_id AS VARCHAR) AS video, count(*) AS pairs, count(*) FILTER (WH
 FROM e GROUP BY user_id""")
 def summary_json(spark, d):
     """The nested summary documents, one a series, written and read again."""
-    import uuid
     from datetime import datetime
 
+    from ..sources import scratch
     from ..sources.tables import read_summary, summary_documents
-    from ..streaming.run import shared_folder
 
     s, metrics = last_n_seconds_summary(spark, d), ("mean", "p95", "max")
 
@@ -708,7 +707,7 @@ def summary_json(spark, d):
         return F.struct(F.col(f"{prefix}pairs").alias("pairs"), F.col(f"{prefix}ok_pairs").alias("ok_pairs"), metric.alias("translation_px"))
 
     rows = s.select(F.struct(F.col("user_id").cast("string").alias("video")).alias("video"), part("").alias("all"), part("last_").alias("last_seconds"))
-    path = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    path = scratch.folder(spark, "summaries")
     summary_documents(rows, datetime(2026, 1, 1)).write.text(path)
     back = read_summary(spark, path, lines=True)
     out = [F.col("video.video").alias("video")]

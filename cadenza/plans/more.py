@@ -3,7 +3,6 @@ trajectories, table functions. See catalogue.py for the stand-in tables."""
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -17,9 +16,8 @@ from ..operators import joins as J
 from ..operators import point_ages as P
 from ..operators import sampling as S
 from ..operators.timeseries import Series, smooth_corners, smooth_residual
-from ..sources import schemas
+from ..sources import schemas, scratch
 from ..sources import tables as IO
-from ..streaming.run import shared_folder
 from .catalogue import (
     _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, _stream, observations, query, read, rounded,
 )
@@ -27,7 +25,7 @@ from .config import Config, with_profiles
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "tables")
 
 
 # ---- sources
@@ -78,7 +76,7 @@ def _frames(spark, d):
 
 
 def _landed(spark, frames):
-    from ..sources import landed, scratch
+    from ..sources import landed
 
     landed.register(spark)
     path = scratch.folder(spark, "frames")
@@ -175,11 +173,10 @@ def probe_csv(spark, d):
 @query("""SELECT count(*) AS rows, count(*) FILTER (WHERE event_type <> 'error') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS rejected, CAST(count(DISTINCT user_id) AS BIGINT) AS series FROM events""")
 def progress_counts(spark, d):
     """Counts of accepted and rejected rows that come with a written result."""
-    from ..sources.scratch import written
     from .progress import observed
 
     rows, counts = observed(observations(spark, d), "gate", F.col("ok"))
-    done = written(rows.withColumn("smoothed", SERIES.running_count(~F.col("ok"))), "progress")
+    done = scratch.written(rows.withColumn("smoothed", SERIES.running_count(~F.col("ok"))), "progress")
     told = counts.get
     series = done.agg(F.countDistinct("user_id").alias("series"))
     return series.select(*[F.lit(told[k]).cast("long").alias(k) for k in ("rows", "accepted", "rejected")], "series")
@@ -297,11 +294,11 @@ def strict_zip(spark, d):
     return J.strict_zip(o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderdate"), ["o_orderkey"])
 
 
-@query(f"WITH {_POINTS} SELECT a.vec_id, a.i AS ref_index, b.i AS frame_index, {_r('a.x')} AS ref_x, {_r('b.y')} AS frame_y FROM pts a JOIN pts b ON b.vec_id = a.vec_id AND b.i = 31 - a.i WHERE a.i % 3 = 0")
+@query(f"WITH {_POINTS} SELECT a.vec_id, a.i AS ref_index, b.i AS frame_index, {_r('a.x')} AS ref_x, {_r('b.y')} AS frame_y FROM pts a JOIN pts b ON b.vec_id = a.vec_id AND b.i = 31 - a.i")
 def index_gather(spark, d):
     """Matches by index, gathered from both point tables."""
     p = _points(spark, d).select("vec_id", F.col("i").cast("long").alias("index"), "x", "y")
-    matches = p.filter("index % 3 = 0").select("vec_id", F.col("index").alias("ref_index"), (31 - F.col("index")).alias("frame_index"))
+    matches = p.select("vec_id", F.col("index").alias("ref_index"), (31 - F.col("index")).alias("frame_index"))
     return rounded(J.matched_points(matches, p, p, ["vec_id"]).select("vec_id", "ref_index", "frame_index", "ref_x", "frame_y"))
 
 

@@ -6,15 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..streaming.run import shared_folder
-
-_MADE: list[str] = []
+from ..streaming.run import MADE, shared_folder
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which purge() removes."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    MADE.append(path)
     return path
 
 
@@ -36,12 +34,13 @@ def drop(*tables: DataFrame) -> None:
     """Remove what written() made, once nothing reads it any more."""
     for df in tables:
         path = getattr(df, "_written_at", None)
-        if path in _MADE:
+        if path in MADE:
             remove(df.sparkSession, path)
-            _MADE.remove(path)
+            MADE.remove(path)
 
 
 def purge(spark: SparkSession) -> None:
-    """Remove all that this process wrote aside: once no lazy result reads it."""
-    while _MADE:
-        remove(spark, _MADE.pop())
+    """Remove all that this process wrote aside, drained streams included: once no
+    lazy result reads it."""
+    while MADE:
+        remove(spark, MADE.pop())

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this process wrote to the shared folder; sources.scratch.purge() removes it.
+MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a
     local master without it a temporary one."""
@@ -22,6 +26,7 @@ def drain(out: DataFrame, mode: str = "append") -> DataFrame:
     of the one before. Nothing is gathered on the driver."""
     spark = out.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    MADE.append(root)
 
     def keep(batch: DataFrame, number: int) -> None:
         path = f"{root}/rows/batch={number}" if mode == "append" else f"{root}/rows"
