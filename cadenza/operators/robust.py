@@ -1,10 +1,11 @@
-"""Homographies from correspondences with outliers, as one plan.
-
-Seeded samples of four matches are rows; each gives an exact transform in closed
-form. Transforms and matches meet on their key, and what a transform explains is
-summed before the shuffle. The best one's inliers are fitted by least squares:
-the normal equations are sums, and elimination over an array solves them. Nothing
-runs in Python, and no task holds a set of matches.
+"""Homographies and similarities from correspondences with outliers, as one plan.
+
+Seeded samples of four matches (two for a similarity) are rows; each gives an
+exact transform in closed form. Transforms and matches meet on their key, and what
+a transform explains is summed before the shuffle. The best one's inliers are
+fitted by least squares: the normal equations are sums, and elimination over an
+array solves them (a similarity's solution is a ratio of covariances). Nothing runs
+in Python, and no task holds a set of matches.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from .hulls import bound
 _M, _A, _B, _C = 2147483647, 48271, 16807, 69621
 
 
-def _draws(n: Column, number: Column, seed: int) -> Column:
-    """Four different whole numbers below n, by the sample's number."""
-    drawn = [F.pmod(F.pmod((number + 1) * _A + F.lit(k * _B + seed * _C), F.lit(_M)) * _A, F.lit(_M)) % (n - k) for k in range(4)]
+def _draws(n: Column, number: Column, seed: int, size: int = 4) -> Column:
+    """`size` different whole numbers below n, by the sample's number."""
+    drawn = [F.pmod(F.pmod((number + 1) * _A + F.lit(k * _B + seed * _C), F.lit(_M)) * _A, F.lit(_M)) % (n - k) for k in range(size)]
     out = F.array(drawn[0].cast("long"))
     for d in drawn[1:]:  # counted past those there are
         out = F.concat(out, F.array(F.aggregate(F.array_sort(out), d.cast("long"), lambda v, p: v + (v >= p).cast("long"))))
@@ -80,6 +81,43 @@ def _fit(inliers: DataFrame, key: list[str]) -> DataFrame:
     return named.select(*key, F.array(*[F.try_divide(c, r[8]) for c in full]).alias("transform"))
 
 
+def _fit_similarity(inliers: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, transform): the similarity of least squares over rows sx, sy, tx,
+    ty; null without any extent."""
+    named = ("sx", "sy", "tx", "ty")
+    sums = inliers.groupBy(*key).agg(
+        *[F.avg(c).alias(f"m_{c}") for c in named], (F.var_pop("sx") + F.var_pop("sy")).alias("d"),
+        (F.covar_pop("sx", "tx") + F.covar_pop("sy", "ty")).alias("c"), (F.covar_pop("sx", "ty") - F.covar_pop("sy", "tx")).alias("s"),
+    )
+    turned = sums.withColumns({"a": F.try_divide("c", "d"), "b": F.try_divide("s", "d")})
+    tx = F.col("m_tx") - F.col("a") * F.col("m_sx") + F.col("b") * F.col("m_sy")
+    ty = F.col("m_ty") - F.col("b") * F.col("m_sx") - F.col("a") * F.col("m_sy")
+    zero = F.lit(0.0)
+    return turned.select(*key, F.array(F.col("a"), -F.col("b"), tx, F.col("b"), F.col("a"), ty, zero, zero, F.lit(1.0)).alias("transform"))
+
+
+def _two(p: Column) -> Column:
+    """The similarity of two matches; null entries where they start in one place."""
+    dx, dy, du, dv = (p[1][c] - p[0][c] for c in ("sx", "sy", "tx", "ty"))
+    far = dx * dx + dy * dy
+
+    def moved(a, b):
+        zero = F.lit(0.0)
+        return F.array(a, -b, p[0]["tx"] - a * p[0]["sx"] + b * p[0]["sy"], b, a, p[0]["ty"] - b * p[0]["sx"] - a * p[0]["sy"], zero, zero, F.lit(1.0))
+
+    return G.let([F.try_divide(dx * du + dy * dv, far), F.try_divide(dx * dv - dy * du, far)], moved)
+
+
+def _four(p: Column) -> Column:
+    quad = lambda a, b: F.transform(p, lambda m: G.point(m[a], m[b]))
+    return G.homography(quad("sx", "sy"), quad("tx", "ty"))
+
+
+def robust_similarities(matches: DataFrame, key: list[str], samples: int = 64, threshold: float = 2.0, seed: int = 0) -> DataFrame:
+    """robust_homographies() for turns, one scale and shifts, from samples of two."""
+    return _robust(matches, key, samples, threshold, seed, 2, _two, _fit_similarity)
+
+
 def robust_homographies(matches: DataFrame, key: list[str], samples: int = 64, threshold: float = 3.0, seed: int = 0) -> DataFrame:
     """(*key, matches, inliers, inlier_ratio, median_error, transform) of
     matches(*key, index, sx, sy, tx, ty), whose index counts from 0 without gaps.
@@ -87,18 +125,21 @@ def robust_homographies(matches: DataFrame, key: list[str], samples: int = 64, t
     the one of least error, then of least number; its inliers are fitted, and
     counted again under the fitted transform. A key with fewer than four matches,
     or whose samples have no transform, has a null one and no inliers."""
+    return _robust(matches, key, samples, threshold, seed, 4, _four, _fit)
+
+
+def _robust(matches: DataFrame, key: list[str], samples: int, threshold: float, seed: int, size: int, model, fit) -> DataFrame:
     counts = matches.groupBy(*key).agg(F.count("*").alias("matches"))
-    numbers = counts.filter("matches >= 4").withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
-    drawn = numbers.select(*key, "sample", F.posexplode(_draws(F.col("matches"), F.col("sample"), seed)).alias("k", "index"))
-    four = drawn.join(matches, [*key, "index"]).groupBy(*key, "sample").agg(F.array_sort(F.collect_list(F.struct("k", "sx", "sy", "tx", "ty"))).alias("p"))
-    quad = lambda a, b: F.transform("p", lambda p: G.point(p[a], p[b]))
-    models = four.select(*key, "sample", G.homography(quad("sx", "sy"), quad("tx", "ty")).alias("h"))
+    numbers = counts.filter(F.col("matches") >= size).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    drawn = numbers.select(*key, "sample", F.posexplode(_draws(F.col("matches"), F.col("sample"), seed, size)).alias("k", "index"))
+    taken = drawn.join(matches, [*key, "index"]).groupBy(*key, "sample").agg(F.array_sort(F.collect_list(F.struct("k", "sx", "sy", "tx", "ty"))).alias("p"))
+    models = taken.select(*key, "sample", model(F.col("p")).alias("h"))
     models = written(models.filter(F.forall("h", lambda v: v.isNotNull() & ~F.isnan(v))), "homographies")
     scored = matches.join(models, key).select(*key, "sample", _error(F.col("h")).alias("e")).filter(F.col("e") <= threshold)
     score = scored.groupBy(*key, "sample").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
     best = score.groupBy(*key).agg(F.min_by("sample", F.struct(-F.col("n"), "e", "sample")).alias("sample"))
     chosen = models.join(best, [*key, "sample"]).select(*key, "h")
-    fitted = written(_fit(matches.join(chosen, key).filter(_error(F.col("h")) <= threshold), key), "homographies")
+    fitted = written(fit(matches.join(chosen, key).filter(_error(F.col("h")) <= threshold), key), "homographies")
     errors = matches.join(fitted, key).withColumn("e", _error(F.col("transform"))).filter(F.col("e") <= threshold)
     told = errors.groupBy(*key).agg(F.count("*").alias("inliers"), F.percentile("e", F.lit(0.5)).alias("median_error"))
     out = counts.join(fitted, key, "left").join(told, key, "left")

@@ -721,23 +721,14 @@ def summary_json(spark, d):
 def ransac_similarity(spark, d):
     """Robust similarity of each frame's points, seeded; every eighth is moved,
     so the transform of the others is known."""
-    from ..operators.vision import fit_similarity, ransac
+    from ..operators.robust import robust_similarities
 
     p = _points(spark, d)
     x, y, i = F.col("x"), F.col("y"), F.col("i")
     out = F.when(i % 8 == 0, x + 300).otherwise(0.9 * x - 0.2 * y + 5)
-    p = p.select("vec_id", "i", "x", "y", out.alias("u"), (0.2 * x + 0.9 * y - 3).alias("v"))
-
-    def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("i")
-        m, inside = ransac(pdf[["x", "y"]].to_numpy(), pdf[["u", "v"]].to_numpy(), fit_similarity, 2, 2.0, rounds=60)
-        m = np.full((3, 3), np.nan) if m is None else m
-        return pd.DataFrame({"vec_id": [pdf["vec_id"].iloc[0]], "inliers": [int(inside.sum())], "a": [m[0, 0]], "b": [m[1, 0]], "tx": [m[0, 2]], "ty": [m[1, 2]]})
-
-    return rounded(p.groupBy("vec_id").applyInPandas(fit, "vec_id long, inliers long, a double, b double, tx double, ty double"))
+    matches = p.select("vec_id", i.alias("index"), x.alias("sx"), y.alias("sy"), out.alias("tx"), (0.2 * x + 0.9 * y - 3).alias("ty"))
+    found = robust_similarities(matches, ["vec_id"], 60)
+    return rounded(found.select("vec_id", "inliers", *[F.col("transform")[k].alias(n) for n, k in (("a", 0), ("b", 3), ("tx", 2), ("ty", 5))]))
 
 
 def _stream(spark, d):

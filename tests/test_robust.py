@@ -49,6 +49,31 @@ def test_planted_transforms_come_back(spark):
         assert got[g].transform is None and got[g].inliers == 0
 
 
+def test_planted_similarities_come_back(spark):
+    rng = random.Random(5)
+    rows, good = [], {}
+    for g in range(10):
+        a, b, tx, ty, good[g] = 1 + rng.uniform(-0.3, 0.3), rng.uniform(-0.4, 0.4), rng.uniform(-90, 90), rng.uniform(-90, 90), 0
+        for i in range(50):
+            x, y = rng.uniform(0, 900), rng.uniform(0, 600)
+            u, v = a * x - b * y + tx + rng.gauss(0, 0.2), b * x + a * y + ty + rng.gauss(0, 0.2)
+            wrong = rng.random() < 0.4
+            good[g] += not wrong
+            rows.append((g, i, x, y, u + wrong * rng.uniform(50, 500), v - wrong * rng.uniform(50, 500)))
+    rows += [(20, 0, 1.0, 1.0, 2.0, 2.0), (21, 0, 3.0, 3.0, 1.0, 1.0), (21, 1, 3.0, 3.0, 2.0, 2.0)]
+    matches = spark.createDataFrame(rows, "g long, index long, sx double, sy double, tx double, ty double")
+    for r in R.robust_similarities(matches, ["g"]).collect():
+        if r.g >= 20:
+            assert r.transform is None and r.inliers == 0
+            continue
+        assert r.inliers == good[r.g]
+        own = np.array([m[2:] for m in rows if m[0] == r.g and math.dist(project(r.transform, *m[2:4]), m[4:]) <= 2])
+        x, y, u, v = own.T
+        z, one = np.zeros_like(x), np.ones_like(x)
+        fit = np.linalg.lstsq(np.vstack([np.array([x, -y, one, z]).T, np.array([y, x, z, one]).T]), np.concatenate([u, v]), rcond=None)[0]
+        assert np.allclose([r.transform[k] for k in (0, 3, 2, 5)], fit)
+
+
 def test_samples_are_different_numbers(spark):
     df = spark.range(2000).select((F.col("id") % 50 + 4).alias("n"), R._draws(F.col("id") % 50 + 4, F.col("id"), 3).alias("d"))
     seen = set()
