@@ -28,13 +28,14 @@ def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], step: Ste
     as None); the other columns pass by in Arrow's form."""
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")
     rows = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(key, *order)
-    rows = rows.select(own, F.col(f"`{key}`").cast("string").alias("series"), *[F.col(f"`{c}`").alias(f"in{k}") for k, c in enumerate(inputs)])
+    rows = rows.select(own, F.col(f"`{key}`").cast("string").alias("series"))
+    places = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = start, object()
         for b in batches:
             values = []
-            columns = [b.column(f"in{k}").to_pylist() for k in range(len(inputs))]
+            columns = [b.column("own").field(k).to_pylist() for k in places]
             for k, *row in zip(b.column("series").to_pylist(), *columns, strict=True):
                 if k != now:
                     state, now = start, k

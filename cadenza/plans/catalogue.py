@@ -257,6 +257,9 @@ def running_reject_count(spark, d):
 
 # ---- folds
 
+#: A row's name in a series: what a fold's plan carries besides its inputs.
+_ROW = ("user_id", "ts", "event_id")
+
 
 def _recursive(state: str, start: str, step: str, more: str = "") -> str:
     """A recursive twin of a fold: one round per position in the series."""
@@ -272,19 +275,20 @@ _GATE = "o.value / f.s BETWEEN 1 - 0.9 AND 1 + 0.9"
 @query(_recursive("a AS accepted", "CASE WHEN ok THEN value END AS s, ok AS a", f"CASE WHEN o.ok AND (f.s IS NULL OR {_GATE}) THEN o.value ELSE f.s END, o.ok AND (f.s IS NULL OR {_GATE})"))
 def sequential_gate(spark, d):
     """Accept against the last accepted value, not the previous one."""
-    out = D.fold(observations(spark, d), "user_id", ["ts", "event_id"], ["value", "ok"], D.RatioGate(0.9), "accepted", "boolean")
+    e = observations(spark, d).select(*_ROW, "value", "ok")
+    out = D.fold(e, "user_id", ["ts", "event_id"], ["value", "ok"], D.RatioGate(0.9), "accepted", "boolean")
     return out.select("user_id", "event_id", "accepted")
 
 
 @query(_recursive(f"{_r('s')} AS ema", "value AS s", "f.s * 0.8 + o.value * (1 - 0.8)"))
 def ema_smooth(spark, d):
-    out = D.fold(observations(spark, d), "user_id", ["ts", "event_id"], ["value"], D.Ema(0.8), "ema", "double")
+    out = D.fold(observations(spark, d).select(*_ROW, "value"), "user_id", ["ts", "event_id"], ["value"], D.Ema(0.8), "ema", "double")
     return rounded(out.select("user_id", "event_id", "ema"))
 
 
 @query(_recursive(f"{_r('s')} AS ema", "value AS s", "f.s + greatest(-5.0, least(5.0, f.s * 0.7123456789 + o.value * (1 - 0.7123456789) - f.s))"))
 def step_limited_ema(spark, d):
-    out = D.fold(observations(spark, d), "user_id", ["ts", "event_id"], ["value"], D.Ema(0.7123456789, 5.0), "ema", "double")
+    out = D.fold(observations(spark, d).select(*_ROW, "value"), "user_id", ["ts", "event_id"], ["value"], D.Ema(0.7123456789, 5.0), "ema", "double")
     return rounded(out.select("user_id", "event_id", "ema"))
 
 
@@ -295,7 +299,7 @@ _ROLL = "f.s * 0.8 + greatest(-2.0, least(2.0, o.value / 100)) * (1 - 0.8)"
 def line_roll_follow(spark, d):
     """A roll angle with misses, jumps held, averaging and step limits."""
     e = observations(spark, d).withColumn("angle_in", F.when(F.col("ok"), F.col("value") / 100))
-    out = D.fold(e, "user_id", ["ts", "event_id"], ["angle_in"], D.LineRoll(2.0, 0.8, 0.12, 0.9), "angle", "double")
+    out = D.fold(e.select(*_ROW, "angle_in"), "user_id", ["ts", "event_id"], ["angle_in"], D.LineRoll(2.0, 0.8, 0.12, 0.9), "angle", "double")
     return rounded(out.select("user_id", "event_id", "angle"))
 
 
@@ -303,7 +307,7 @@ def line_roll_follow(spark, d):
 def detect_flow_blend(spark, d):
     """Predictions corrected towards detections, with their fallbacks."""
     e = observations(spark, d).withColumns({"predicted": F.when(F.col("ok"), F.col("value") + 1), "detected": F.when(F.col("event_type") == "view", F.col("value"))})
-    out = D.fold(e, "user_id", ["ts", "event_id"], ["predicted", "detected"], D.Blend(0.08, 0.0, 10.0), "blended", "double")
+    out = D.fold(e.select(*_ROW, "predicted", "detected"), "user_id", ["ts", "event_id"], ["predicted", "detected"], D.Blend(0.08, 0.0, 10.0), "blended", "double")
     return rounded(out.select("user_id", "event_id", "blended"))
 
 

@@ -19,7 +19,7 @@ from ..operators.timeseries import Series, smooth_corners, smooth_residual
 from ..sources import schemas, scratch
 from ..sources import tables as IO
 from .catalogue import (
-    _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, _stream, observations, query, read, rounded,
+    _AFFINE, _CORNERS, _EDGES, _OBS, _ORDERED, _PICK, _POINTS, _QUADS, _ROW, SERIES, _affines, _corner_columns, _near, _points, _quads, _r, _recursive, _stream, observations, query, read, rounded,
 )
 from .config import Config, with_profiles
 
@@ -448,7 +448,7 @@ def _smoother_sql() -> str:
 def residual_smoother(spark, d):
     """Four components averaged and held to their steps; rejected rows get none."""
     e = observations(spark, d).withColumns({k: F.when(F.col("ok"), F.expr(v)) for k, (v, _) in _MEASURES.items()})
-    out = D.fold(e, "user_id", ["ts", "event_id"], list(_MEASURES), D.ResidualSmoother(0.8, 2.0, 0.1, 0.01), "m", "array<double>")
+    out = D.fold(e.select(*_ROW, *_MEASURES), "user_id", ["ts", "event_id"], list(_MEASURES), D.ResidualSmoother(0.8, 2.0, 0.1, 0.01), "m", "array<double>")
     return rounded(out.select("user_id", "event_id", *[F.col("m")[i].alias(k) for i, k in enumerate(_MEASURES)]))
 
 
@@ -462,7 +462,7 @@ _TO = _CLIP.format(f"f.s + greatest(-0.12, least(0.12, f.s * 0.8 + {_CLIP.format
 def line_roll_counts(spark, d):
     """The followed roll angle with its updates and misses."""
     e = observations(spark, d).withColumn("angle_in", F.when(F.col("ok"), F.col("value") / 100))
-    out = D.fold(e, "user_id", ["ts", "event_id"], ["angle_in"], D.LineRollDriver(D.LineRoll(2.0, 0.8, 0.12, 0.9)), "s", "array<double>")
+    out = D.fold(e.select(*_ROW, "angle_in"), "user_id", ["ts", "event_id"], ["angle_in"], D.LineRollDriver(D.LineRoll(2.0, 0.8, 0.12, 0.9)), "s", "array<double>")
     return rounded(out.select("user_id", "event_id", F.col("s")[0].alias("angle"), F.col("s")[1].cast("long").alias("updates"), F.col("s")[2].cast("long").alias("misses")))
 
 
