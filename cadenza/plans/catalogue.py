@@ -269,10 +269,11 @@ def _recursive(state: str, start: str, step: str, more: str = "") -> str:
 SELECT user_id, event_id, {state} FROM f{more}"""
 
 
-_GATE = "o.value / f.s BETWEEN 1 - 0.9 AND 1 + 0.9"
+#: The bounds in doubles, as RatioGate's: a decimal 1 - 0.9 is a greater number.
+_GATE = "f.s > 0 AND o.value / f.s BETWEEN 1 - CAST(0.9 AS DOUBLE) AND 1 + CAST(0.9 AS DOUBLE)"
 
 
-@query(_recursive("a AS accepted", "CASE WHEN ok THEN value END AS s, ok AS a", f"CASE WHEN o.ok AND (f.s IS NULL OR {_GATE}) THEN o.value ELSE f.s END, o.ok AND (f.s IS NULL OR {_GATE})"))
+@query(_recursive("a AS accepted", "CASE WHEN ok THEN value END AS s, ok AS a", f"CASE WHEN o.ok AND (f.s IS NULL OR ({_GATE})) THEN o.value ELSE f.s END, o.ok AND (f.s IS NULL OR ({_GATE}))"))
 def sequential_gate(spark, d):
     """Accept against the last accepted value, not the previous one."""
     e = observations(spark, d).select(*_ROW, "value", "ok")
