@@ -455,7 +455,7 @@ def residual_smoother(spark, d):
 _M = "CASE WHEN {0}ok THEN {0}value / 100 END"
 _MISS = f"(NOT o.ok OR (f.s IS NOT NULL AND abs({_M.format('o.')} - f.s) > 0.9))"
 _CLIP = "greatest(-2.0, least(2.0, {0}))"
-_TO = _CLIP.format(f"f.s + greatest(-0.12, least(0.12, f.s * 0.8 + {_CLIP.format(_M.format('o.'))} * (1 - 0.8) - f.s))")
+_TO = _CLIP.format(f"f.s + greatest(-0.12, least(0.12, f.s * 0.8 + {_CLIP.format(_M.format('o.'))} * (1 - CAST(0.8 AS DOUBLE)) - f.s))")
 
 
 @query(_recursive(f"{_r('s')} AS angle, u AS updates, m AS misses", f"{_CLIP.format(_M.format(''))} * CASE WHEN ok THEN 1 END AS s, CAST(ok AS BIGINT) AS u, CAST(NOT ok AS BIGINT) AS m", f"CASE WHEN {_MISS} THEN f.s WHEN f.s IS NULL THEN {_CLIP.format(_M.format('o.'))} ELSE {_TO} END, f.u + CAST(NOT {_MISS} AS BIGINT), f.m + CAST({_MISS} AS BIGINT)"))

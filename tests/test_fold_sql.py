@@ -6,7 +6,7 @@ import pytest
 from cadenza.plans import catalogue
 
 #: A tenth of the value before; a step of 0.9 from an average.
-SERIES = {"sequential_gate": [(0.1, 0.01), (0.2, 0.02), (0.9, 0.09), (0.0, 1.0)]}
+SERIES = {"sequential_gate": [(0.1, 0.01), (0.2, 0.02), (0.9, 0.09), (0.0, 1.0)], "line_roll_counts": [(95.29, 117.69, 189.77), (95.29, 117.69, 9.77)]}
 
 
 @pytest.mark.parametrize("name", sorted(SERIES))
