@@ -43,15 +43,20 @@ def solve(rows: Column) -> Column:
     return F.transform(done, lambda row: F.element_at(row, -1))
 
 
-def _error(h: Column) -> Column:
-    """Distance of a match's target from its projected source."""
+_ENTRIES = [f"__h{k}" for k in range(9)]
+
 
-    def far(h):
-        w = h[6] * F.col("sx") + h[7] * F.col("sy") + h[8]
-        u, v = F.try_divide(h[0] * F.col("sx") + h[1] * F.col("sy") + h[2], w), F.try_divide(h[3] * F.col("sx") + h[4] * F.col("sy") + h[5], w)
-        return F.hypot(u - F.col("tx"), v - F.col("ty"))
+def _entered(df: DataFrame, key: list[str], transform: str) -> DataFrame:
+    """key and the transform's entries as columns, which compiled code reads."""
+    return df.select(*key, *[F.col(transform)[k].alias(c) for k, c in enumerate(_ENTRIES)])
 
-    return bound(h, far)
+
+def _error() -> Column:
+    """Distance of a match's target from its projected source."""
+    h = [F.col(c) for c in _ENTRIES]
+    w = h[6] * F.col("sx") + h[7] * F.col("sy") + h[8]
+    u, v = F.try_divide(h[0] * F.col("sx") + h[1] * F.col("sy") + h[2], w), F.try_divide(h[3] * F.col("sx") + h[4] * F.col("sy") + h[5], w)
+    return F.hypot(u - F.col("tx"), v - F.col("ty"))
 
 
 def _fit(inliers: DataFrame, key: list[str]) -> DataFrame:
@@ -62,7 +67,7 @@ def _fit(inliers: DataFrame, key: list[str]) -> DataFrame:
         *[F.avg(c).alias(f"m_{c}") for c in places],
         *[F.greatest(F.sqrt((F.var_pop(f"{s}x") + F.var_pop(f"{s}y")) / 2), F.lit(1e-12)).alias(f"d_{s}") for s in "st"],
     )
-    rows = inliers.join(scale, key)
+    rows = inliers.join(scale.hint("merge"), key)
     rows = rows.withColumns({f"__{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c[0]}") for c in places})
     x, y, u, v = (F.col(f"__{c}") for c in places)
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -129,18 +134,21 @@ def robust_homographies(matches: DataFrame, key: list[str], samples: int = 64, t
 
 
 def _robust(matches: DataFrame, key: list[str], samples: int, threshold: float, seed: int, size: int, model, fit) -> DataFrame:
+    matches = matches.hint("merge")  # matches and samples are too many for a broadcast, whatever their file's size
     counts = matches.groupBy(*key).agg(F.count("*").alias("matches"))
     numbers = counts.filter(F.col("matches") >= size).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
     drawn = numbers.select(*key, "sample", F.posexplode(_draws(F.col("matches"), F.col("sample"), seed, size)).alias("k", "index"))
     taken = drawn.join(matches, [*key, "index"]).groupBy(*key, "sample").agg(F.array_sort(F.collect_list(F.struct("k", "sx", "sy", "tx", "ty"))).alias("p"))
-    models = taken.select(*key, "sample", model(F.col("p")).alias("h"))
-    models = written(models.filter(F.forall("h", lambda v: v.isNotNull() & ~F.isnan(v))), "homographies")
-    scored = matches.join(models, key).select(*key, "sample", _error(F.col("h")).alias("e")).filter(F.col("e") <= threshold)
+    # a generator's output, so that the filter and the entries don't work it out again
+    models = taken.select(*key, "sample", F.explode(F.array(model(F.col("p")))).alias("h"))
+    models = written(_entered(models.filter(F.forall("h", lambda v: v.isNotNull() & ~F.isnan(v))), [*key, "sample"], "h"), "homographies")
+    scored = matches.join(models, key).select(*key, "sample", _error().alias("e")).filter(F.col("e") <= threshold)
     score = scored.groupBy(*key, "sample").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
     best = score.groupBy(*key).agg(F.min_by("sample", F.struct(-F.col("n"), "e", "sample")).alias("sample"))
-    chosen = models.join(best, [*key, "sample"]).select(*key, "h")
-    fitted = written(fit(matches.join(chosen, key).filter(_error(F.col("h")) <= threshold), key), "homographies")
-    errors = matches.join(fitted, key).withColumn("e", _error(F.col("transform"))).filter(F.col("e") <= threshold)
+    chosen = models.join(best, [*key, "sample"]).drop("sample")
+    inliers = matches.join(chosen.hint("merge"), key).filter(_error() <= threshold).select(*matches.columns)
+    fitted = written(fit(inliers, key), "homographies")
+    errors = matches.join(_entered(fitted, key, "transform"), key).withColumn("e", _error()).filter(F.col("e") <= threshold)
     told = errors.groupBy(*key).agg(F.count("*").alias("inliers"), F.percentile("e", F.lit(0.5)).alias("median_error"))
     out = counts.join(fitted, key, "left").join(told, key, "left")
     inliers = F.coalesce("inliers", F.lit(0))

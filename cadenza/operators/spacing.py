@@ -69,7 +69,7 @@ def spaced_points(points: DataFrame, key: list[str], quality: str, order: str, d
     same = F.col("__by") == F.col("__taken")
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    out = rows.join(chosen, same, "left_semi")
+    out = rows.join(chosen.hint("merge"), same, "left_semi")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("__by")))
     if most is not None:
         out = out.filter(F.col("rank") <= most)

@@ -17,10 +17,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table that is read back; drop() removes it."""
+    """df as a Parquet table that is read back; drop() removes it. Its joins are
+    merges: Spark knows a file's compressed size, which says little of its rows or
+    of what they are exploded to, and would send them all through the driver."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
     out._written_at = path
     return out
 

@@ -90,3 +90,12 @@ def test_elimination(spark):
     rows = [[float(v) for v in r] for r in np.c_[a, b]]
     got = spark.createDataFrame([(rows,), ([[0.0, 1.0], ],)], "m array<array<double>>").select(R.solve(F.col("m")).alias("x")).collect()
     assert np.allclose(got[0].x, np.linalg.solve(a, b)) and got[1].x == [None]
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    from cadenza.sources.scratch import written
+
+    samples = written(spark.range(50).selectExpr("id as k", "id % 3 as v"), "samples")
+    joined = spark.range(50).selectExpr("id as k").join(samples.filter("v > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60)))), "k")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 33 * 60
