@@ -190,6 +190,19 @@ def with_canvas_homography(df: DataFrame, quad: str, width: int, height: int, ou
     return _staged(df, start, [*_SQUARE_STEPS, plain, adjugate], output, [f"try_divide({s}m{k}, m8)" for k, s in enumerate(scale)])
 
 
+def with_homography(df: DataFrame, source: Column | list[Column], target: Column | list[Column], output: str) -> DataFrame:
+    """homography() of two quads of four points each, for whole tables; `output` and a
+    number name two columns on the way."""
+    square = ["a", "b", "x0", "d", "e", "y0", "g", "h", "1D"]
+    sides = [f"{output}0", f"{output}1"]
+    for side, quad in zip(sides, (source, target), strict=True):
+        df = _staged(df, {f"{a}{i}": quad[i][a] for i in range(4) for a in "xy"}, _SQUARE_STEPS, side, square)
+    start = {n: F.col(sides[0])[k] for k, n in enumerate("abcdefghi")} | {f"n{k}": F.col(sides[1])[k] for k in range(9)}
+    adjugate = {f"m{k}": e for k, e in enumerate(_ADJUGATE)}
+    times = {f"p{3 * r + c}": f"n{3 * r} * m{c} + n{3 * r + 1} * m{3 + c} + n{3 * r + 2} * m{6 + c}" for r in range(3) for c in range(3)}
+    return _staged(df, start, [adjugate, times], output, [f"try_divide(p{k}, p8)" for k in range(9)]).drop(*sides)
+
+
 def with_inverse(df: DataFrame, transform: str, output: str) -> DataFrame:
     """invert() of a column of transforms, for whole tables."""
     start = {n: F.col(transform)[k] for k, n in enumerate("abcdefghi")}

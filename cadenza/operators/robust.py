@@ -101,8 +101,10 @@ def _fit_similarity(inliers: DataFrame, key: list[str]) -> DataFrame:
     return turned.select(*key, F.array(F.col("a"), -F.col("b"), tx, F.col("b"), F.col("a"), ty, zero, zero, F.lit(1.0)).alias("transform"))
 
 
-def _two(p: Column) -> Column:
-    """The similarity of two matches; null entries where they start in one place."""
+def _two(taken: DataFrame) -> DataFrame:
+    """taken with h, the similarity of its two matches p; null entries where they
+    start in one place."""
+    p = F.col("p")
     dx, dy, du, dv = (p[1][c] - p[0][c] for c in ("sx", "sy", "tx", "ty"))
     far = dx * dx + dy * dy
 
@@ -110,12 +112,13 @@ def _two(p: Column) -> Column:
         zero = F.lit(0.0)
         return F.array(a, -b, p[0]["tx"] - a * p[0]["sx"] + b * p[0]["sy"], b, a, p[0]["ty"] - b * p[0]["sx"] - a * p[0]["sy"], zero, zero, F.lit(1.0))
 
-    return G.let([F.try_divide(dx * du + dy * dv, far), F.try_divide(dx * dv - dy * du, far)], moved)
+    return taken.withColumn("h", G.let([F.try_divide(dx * du + dy * dv, far), F.try_divide(dx * dv - dy * du, far)], moved))
 
 
-def _four(p: Column) -> Column:
-    quad = lambda a, b: F.transform(p, lambda m: G.point(m[a], m[b]))
-    return G.homography(quad("sx", "sy"), quad("tx", "ty"))
+def _four(taken: DataFrame) -> DataFrame:
+    """taken with h, the homography of its four matches p."""
+    quad = lambda a, b: [G.point(F.col("p")[i][a], F.col("p")[i][b]) for i in range(4)]
+    return G.with_homography(taken, quad("sx", "sy"), quad("tx", "ty"), "h")
 
 
 def robust_similarities(matches: DataFrame, key: list[str], samples: int = 64, threshold: float = 2.0, seed: int = 0) -> DataFrame:
@@ -140,7 +143,7 @@ def _robust(matches: DataFrame, key: list[str], samples: int, threshold: float,
     drawn = numbers.select(*key, "sample", F.posexplode(_draws(F.col("matches"), F.col("sample"), seed, size)).alias("k", "index"))
     taken = drawn.join(matches, [*key, "index"]).groupBy(*key, "sample").agg(F.array_sort(F.collect_list(F.struct("k", "sx", "sy", "tx", "ty"))).alias("p"))
     # a generator's output, so that the filter and the entries don't work it out again
-    models = taken.select(*key, "sample", F.explode(F.array(model(F.col("p")))).alias("h"))
+    models = model(taken).select(*key, "sample", F.explode(F.array("h")).alias("h"))
     models = written(_entered(models.filter(F.forall("h", lambda v: v.isNotNull() & ~F.isnan(v))), [*key, "sample"], "h"), "homographies")
     scored = matches.join(models, key).select(*key, "sample", _error().alias("e")).filter(F.col("e") <= threshold)
     score = scored.groupBy(*key, "sample").agg(F.count("*").alias("n"), F.sum("e").alias("e"))

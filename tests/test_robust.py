@@ -99,3 +99,14 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     joined = spark.range(50).selectExpr("id as k").join(samples.filter("v > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60)))), "k")
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 33 * 60
+
+
+def test_staged_homography_is_the_expression(spark):
+    from cadenza.functions import geometry as G
+
+    rng = random.Random(3)
+    rows = [([(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(4)], [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(4)]) for _ in range(20)]
+    rows.append(([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], rows[0][1]))
+    df = spark.createDataFrame(rows, "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    both = G.with_homography(df.withColumn("want", G.homography(F.col("a"), F.col("b"))), F.col("a"), F.col("b"), "got")
+    assert set(both.columns) == {"a", "b", "want", "got"} and all(r.want == r.got for r in both.collect())
