@@ -68,17 +68,29 @@ def weighted_median(df: DataFrame, key: list[str], value: str, weight: str, name
 def dominant_direction(df: DataFrame, key: list[str], angle: str, length: str, cluster: float = 0.35, least_segments: int = 2, least_length: float = 1000.0, most_angle: float | None = None) -> DataFrame:
     """Consensus of weighted line candidates: their weighted median angle, the
     candidates within `cluster` degrees of it, and the weighted median of those
-    if they are enough and long enough."""
-    first = weighted_median(df, key, angle, length, "dominant_angle")
-    near = df.join(first, key).withColumn("__in", F.abs(F.col(angle) - F.col("dominant_angle")) <= cluster)
-    counts = near.groupBy(*key, "dominant_angle").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if("__in").alias("inliers"), F.sum(F.when(F.col("__in"), F.col(length)).otherwise(0.0)).alias("inlier_length")
-    )
-    second = weighted_median(near.filter("__in"), key, angle, length, "cluster_angle")
+    if they are enough and long enough. Equal angles are one step, and all else is
+    windows over the steps: one pass over the candidates, one exchange by key."""
+    steps = df.dropna(subset=key).groupBy(*key, angle).agg(F.count(F.lit(1)).alias("__n"), F.sum(length).alias("__w"))
+    by = Window.partitionBy(*key)
+    so_far = by.orderBy(angle).rowsBetween(Window.unboundedPreceding, 0)
+
+    def reached(weight: Column) -> tuple[Column, Column]:
+        return F.sum(weight).over(so_far), F.sum(weight).over(by)
+
+    run, whole = reached(F.col("__w"))
+    steps = steps.withColumns({"__run": run, "__all": whole})
+    steps = steps.withColumn("dominant_angle", F.min(F.when(F.col("__run") >= F.col("__all") / 2, F.col(angle))).over(by)).filter("dominant_angle is not null")
+    steps = steps.withColumn("__in", F.abs(F.col(angle) - F.col("dominant_angle")) <= cluster)
+    run, whole = reached(F.when(F.col("__in"), F.col("__w")))
+    steps = steps.withColumns({"__run": run, "__all": whole})
+    found = steps.groupBy(*key, "dominant_angle").agg(
+        F.sum("__n").alias("candidates"), F.sum(F.when(F.col("__in"), F.col("__n")).otherwise(0)).alias("inliers"), F.sum(F.when(F.col("__in"), F.col("__w")).otherwise(0.0)).alias("inlier_length"),
+        F.min(F.when(F.col("__in") & (F.col("__run") >= F.col("__all") / 2), F.col(angle))).alias("cluster_angle"),
+    )
     ok = (F.col("inliers") >= least_segments) & (F.col("inlier_length") >= least_length)
     if most_angle is not None:
         ok = ok & (F.abs("cluster_angle") <= most_angle)
-    found = counts.join(second, key, "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    found = found.withColumn("accepted", F.coalesce(ok, F.lit(False)))
     return found.withColumn("accepted_angle", F.when(F.col("accepted"), F.col("cluster_angle"))).drop("cluster_angle")
 
 

@@ -310,3 +310,18 @@ def test_tables_of_transforms_equal_the_column_forms(spark):
     assert df.columns == ["k", "quad", "h", "v"]
     both = df.select("h", "v", G.homography(F.col("quad"), G.canvas(640, 480)).alias("h2"), G.invert(F.col("h")).alias("v2")).collect()
     assert all(r["h"] == r["h2"] and r["v"] == r["v2"] for r in both) and both[50]["h"] == [None] * 9
+
+
+def test_dominant_direction_is_one_pass(spark):
+    from cadenza.operators import aggregates as A
+
+    rows = [(k % 3 if k % 10 else None, float(k % 7) / 10, float(k % 5)) for k in range(200)]
+    found = A.dominant_direction(spark.createDataFrame(rows, "g long, a double, w double"), ["g"], "a", "w", 0.15, 2, 1.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for r in found.collect():
+        mine = [(a, w) for g, a, w in rows if g == r.g]
+        middle = lambda of: min(a for a, _ in of if sum(w for b, w in of if b <= a) >= sum(w for _, w in of) / 2)
+        near = [(a, w) for a, w in mine if abs(a - middle(mine)) <= 0.15]
+        assert (r.dominant_angle, r.candidates, r.inliers, r.inlier_length, r.accepted_angle) == (middle(mine), len(mine), len(near), sum(w for _, w in near), middle(near))
+    assert found.count() == 3
