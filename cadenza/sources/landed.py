@@ -6,8 +6,10 @@ after the other; commit lists all tasks' runs in the folder's next manifest
 (000000.json, 000001.json, ...), which makes them visible at once. Abort removes
 what tasks wrote, and files that no manifest names are never read, so a task that
 fails or runs twice leaves no frame. A stream's offset is the number of manifests
-seen. A partition is a run of at most framesPerPartition (256) frames. Options:
-path, which pyarrow's file systems know.
+seen. Frames are read in pieces of runs, framesPerPartition (256) frames each at
+most; a partition takes pieces together while they have no more frames than that, or
+where there would be more than PARTITIONS, so single frames and short pieces don't
+cost a task each. Options: path, which pyarrow's file systems know.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -23,6 +26,9 @@ from .rawvideo import _open
 from .schemas import FRAMES
 
 RUN = 256
+#: Partitions that short pieces are dealt to, until these have PARTITION_BYTES.
+PARTITIONS = 256
+PARTITION_BYTES = 64 << 20
 
 
 @dataclass
@@ -35,7 +41,7 @@ class Landed(WriterCommitMessage):
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     file: str
     offset: int
     video: str
@@ -45,6 +51,31 @@ class Piece(InputPartition):
     width: int
     channels: int
 
+    @property
+    def size(self) -> int:
+        return self.count * self.height * self.width * self.channels
+
+
+@dataclass
+class Share(InputPartition):
+    """The pieces that one task reads."""
+
+    pieces: list[Piece]
+
+
+def shares(pieces: list[Piece], most: int) -> list[Share]:
+    """Pieces in order, dealt out: a share has at most `most` frames, or at most
+    its part of all bytes, or one piece."""
+    part = min(PARTITION_BYTES, -(-sum(p.size for p in pieces) // PARTITIONS))
+    out, frames, held = [], 0, 0
+    for p in pieces:
+        frames, held = frames + p.count, held + p.size
+        if not out or (frames > most and held > part):
+            out.append(Share([]))
+            frames, held = p.count, p.size
+        out[-1].pieces.append(p)
+    return out
+
 
 class LandedFrames(DataSource):
     @classmethod
@@ -89,20 +120,22 @@ class _Folder:
                 out += [Piece(name, offset + k * size, video, frame + k, min(self.run, count - k), *shape) for k in range(0, count, self.run)]
         return out
 
-    def frames(self, p: Piece) -> Iterator[tuple]:
-        store, path = _open(f"{self.uri}/{p.file}")
-        size = p.height * p.width * p.channels
-        with store.open_input_file(path) as f:
-            f.seek(p.offset)
-            for k in range(p.count):
-                yield p.video, p.first + k, p.height, p.width, p.channels, f.read(size)
+    def frames(self, share: Share) -> Iterator[tuple]:
+        for name, pieces in groupby(share.pieces, lambda p: p.file):
+            store, path = _open(f"{self.uri}/{name}")
+            with store.open_input_file(path) as f:
+                for p in pieces:
+                    size = p.height * p.width * p.channels
+                    f.seek(p.offset)
+                    for k in range(p.count):
+                        yield p.video, p.first + k, p.height, p.width, p.channels, f.read(size)
 
 
 class _Reader(_Folder, DataSourceReader):
-    def partitions(self) -> list[Piece]:
-        return self.pieces(0, len(self.manifests()))
+    def partitions(self) -> list[Share]:
+        return shares(self.pieces(0, len(self.manifests())), self.run)
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Share) -> Iterator[tuple]:
         return self.frames(partition)
 
 
@@ -113,10 +146,10 @@ class _StreamReader(_Folder, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"manifests": len(self.manifests())}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return self.pieces(start["manifests"], end["manifests"])
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        return shares(self.pieces(start["manifests"], end["manifests"]), self.run)
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Share) -> Iterator[tuple]:
         return self.frames(partition)
 
 

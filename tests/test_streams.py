@@ -145,3 +145,12 @@ def test_names_of_runs(spark):
     df = spark.createDataFrame([(k, "run" if k % 2 else "x") for k in range(6)] + [(9, None)], "k long, base string")
     got = {r.k: r.name for r in IO.run_names(df, [], "base", "k").collect()}
     assert got == {0: "x", 1: "run", 2: "x_01", 3: "run_01", 4: "x_02", 5: "run_02", 9: None}
+
+
+def test_short_pieces_share_tasks():
+    single = [landed.Piece("f", 2 * k, "v", 3 * k, 1, 1, 2, 1) for k in range(10_000)]
+    dealt = landed.shares(single, 7)
+    assert len(dealt) <= landed.PARTITIONS + 1 and [p for s in dealt for p in s.pieces] == single
+    assert [len(s.pieces) for s in landed.shares(single[:3], 1)] == [1, 1, 1]
+    large = [landed.Piece("f", 0, "v", 0, 1, 1, landed.PARTITION_BYTES, 1)] * 3
+    assert [len(s.pieces) for s in landed.shares(large, 1)] == [1, 1, 1] and landed.shares([], 7) == []
