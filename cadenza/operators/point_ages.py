@@ -61,21 +61,24 @@ class _Tracked(StatefulProcessor):
         pdf.columns = [*self.names, "__series", "__point", "__kept"]  # Spark renames what begins with an underscore
         pdf = pdf.sort_values(self.order, kind="stable", na_position="first")
         n = self.count.get()[0] if self.count.exists() else 0
-        ages, living = [], []
-        for point, kept in zip(pdf["__point"].tolist(), pdf["__kept"].tolist(), strict=True):
-            now = 0
+        points = pdf["__point"].tolist()
+        # each point of the batch is read and written once: every call is a message to the JVM
+        before = {p: self.ages.getValue((p,))[0] if self.ages.containsKey((p,)) else 0 for p in dict.fromkeys(points) if not absent(p)}
+        now, ages, living = dict(before), [], []
+        for point, kept in zip(points, pdf["__kept"].tolist(), strict=True):
             if not absent(point):
-                known = self.ages.containsKey((point,))
-                now = self.ages.getValue((point,))[0] if known else 0
                 if kept == "true":
-                    now += 1
-                    n += not known
-                    self.ages.updateValue((point,), (now,))
-                elif kept == "false" and known:
-                    now, n = 0, n - 1
-                    self.ages.removeKey((point,))
-            ages.append(now)
+                    n += not now[point]
+                    now[point] += 1
+                elif kept == "false" and now[point]:
+                    now[point], n = 0, n - 1
+            ages.append(0 if absent(point) else now[point])
             living.append(n)
+        for point, age in now.items():
+            if age and age != before[point]:
+                self.ages.updateValue((point,), (age,))
+            elif before[point] and not age:
+                self.ages.removeKey((point,))
         self.count.update((n,))
         yield pdf[self.names].assign(age=ages, points=living)
 

@@ -154,3 +154,47 @@ def test_short_pieces_share_tasks():
     assert [len(s.pieces) for s in landed.shares(single[:3], 1)] == [1, 1, 1]
     large = [landed.Piece("f", 0, "v", 0, 1, 1, landed.PARTITION_BYTES, 1)] * 3
     assert [len(s.pieces) for s in landed.shares(large, 1)] == [1, 1, 1] and landed.shares([], 7) == []
+
+
+def test_a_batch_meets_a_points_state_once():
+    import pandas as pd
+
+    calls = []
+
+    class Ages(dict):
+        def containsKey(self, k):
+            calls.append(k)
+            return k in self
+
+        def getValue(self, k):
+            calls.append(k)
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append(k)
+            del self[k]
+
+    class Count:
+        n = None
+
+        def exists(self):
+            return self.n is not None
+
+        def get(self):
+            return self.n
+
+        def update(self, v):
+            self.n = v
+
+    tracked = P._Tracked(["k"], ["k"])
+    tracked.ages, tracked.count = Ages(), Count()
+    words = {None: None, True: "true", False: "false"}
+    rows = [(k, None if p is None else str(p), words[kept]) for _, k, p, kept in sightings(300, 9)]
+    got = [r for part in (rows[:200], rows[200:]) for out in tracked.handleInputRows(None, iter([pd.DataFrame([(k, "s", p, kept) for k, p, kept in part])]), None) for r in out.itertuples(index=False, name=None)]
+    want = plain([("s", k, p, None if kept is None else kept == "true") for k, p, kept in rows])
+    assert got == [(k, age, points) for _, k, age, points in want]
+    assert len(calls) <= 2 * 5 * 3
