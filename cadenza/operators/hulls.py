@@ -89,10 +89,13 @@ def hull_area(hull: Column) -> Column:
 
 
 def least_box(hull: Column) -> Column:
-    """The box of least area around a hull: struct width, height, angle. One of
-    its sides lies along a side of the hull, so each side's direction, turned into
-    [0, 90) degrees, is tried; of equal areas the one of least angle. width is
-    the side along the angle. A single point has no sides: zeros."""
+    """The box of least area around a hull: struct width, height, angle, area,
+    ratio. One of its sides lies along a side of the hull, so each side's direction,
+    turned into [0, 90) degrees, is tried; of equal areas the one of least angle.
+    width is the side along the angle. area, and ratio of the long side to the short
+    one (null if that is zero), are one division each, not made of the sides: around
+    whole numbers they are exact where sides have roots. A single point has no
+    sides: zeros."""
 
     def tried(hull, p, i):
         q = hull[(i + 1) % F.size(hull)]
@@ -103,13 +106,13 @@ def least_box(hull: Column) -> Column:
         def measured(ux, uy):
             along = F.transform(hull, lambda c: c["x"] * ux + c["y"] * uy)
             across = F.transform(hull, lambda c: c["y"] * ux - c["x"] * uy)
-            return G.let([F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across), ux, uy], lambda w, h, ux, uy: F.array(w * h / (ux * ux + uy * uy), F.degrees(F.atan2(uy, ux)), w / F.hypot(ux, uy), h / F.hypot(ux, uy)))
+            return G.let([F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across), ux, uy], lambda w, h, ux, uy: F.array(w * h / (ux * ux + uy * uy), F.degrees(F.atan2(uy, ux)), w / F.sqrt(ux * ux + uy * uy), h / F.sqrt(ux * ux + uy * uy), F.try_divide(F.greatest(w, h), F.least(w, h))))
 
         return G.let([ux, uy], measured)
 
     def best(hull):
         found = F.array_min(F.transform(hull, lambda p, i: tried(hull, p, i)))
-        found = F.when(F.size(hull) < 2, F.array(*[F.lit(0.0)] * 4)).otherwise(found)
-        return bound(found, lambda b: F.struct(b[2].alias("width"), b[3].alias("height"), b[1].alias("angle")))
+        found = F.when(F.size(hull) < 2, F.array(*[F.lit(0.0)] * 4, F.lit(None).cast("double"))).otherwise(found)
+        return bound(found, lambda b: F.struct(b[2].alias("width"), b[3].alias("height"), b[1].alias("angle"), b[0].alias("area"), b[4].alias("ratio")))
 
     return bound(hull, best)

@@ -96,8 +96,10 @@ def component_candidates(pixels: DataFrame, frames: DataFrame, key: list[str], s
     """(*key, label, pixels, area, x0, y0, x1, y1, long, short, angle, fill,
     aspect, length, accepted) of every outer region of masks: its filled pixels,
     outline area, upright box (ends exclusive), least-area box and whether it can
-    be a line within `selection`, a struct x0, y0, x1, y1. length is the long side
-    times the fill, at most one."""
+    be a line within `selection`, a struct x0, y0, x1, y1. fill and aspect are by the
+    box's area and its sides' ratio, each one division, so that they are exact at
+    their bounds; an area or a short side under one counts as one. length is the
+    long side times the fill, at most one."""
     regions = written(outer_regions(row_runs(pixels, key), frames, key), "regions")
     boxes = regions.groupBy(*key, "label").agg(
         F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels"), F.min("x0").alias("x0"), F.min("y").alias("y0"), (F.max("x1") + 1).alias("x1"), (F.max("y") + 1).alias("y1")
@@ -106,8 +108,9 @@ def component_candidates(pixels: DataFrame, frames: DataFrame, key: list[str], s
     rects = convex_hull(ends, [*key, "label"]).select(*key, "label", least_box(F.col("hull")).alias("rect"))
     rows = boxes.join(region_areas(regions, key), [*key, "label"]).join(rects, [*key, "label"]).join(frames.select(*key, "width", "height"), key)
     sides = G.box_sides(F.col("rect.width"), F.col("rect.height"), F.col("rect.angle"))
-    shape = G.fill_and_aspect(F.col("area"), F.col("rect.width"), F.col("rect.height"))
-    rows = rows.withColumns({"s": sides, "f": shape})
+    rows = rows.withColumn("s", sides)
+    aspect = F.when(F.col("s.short") >= 1, F.col("rect.ratio")).otherwise(F.col("s.long"))
+    rows = rows.withColumn("f", F.struct((F.col("area") / F.greatest(F.col("rect.area"), F.lit(1.0))).alias("fill"), aspect.alias("aspect")))
     box = F.struct("x0", "y0", "x1", "y1")
     ok = component_ok(F.col("area"), box, F.col("width"), F.col("height"), boxes_intersect(box, selection), F.col("s.long"), F.col("s.short"), F.col("f.fill"), F.col("f.aspect"), F.col("s.angle"), least_long, least_short, angle_limit, least_area)
     return rows.select(

@@ -49,8 +49,8 @@ def _box_sql(points: str, key: str) -> str:
     return f"""dir AS (SELECT DISTINCT {p}, q.x - p.x AS dx, q.y - p.y AS dy FROM {points} p JOIN {points} q ON {on('p', 'q')} WHERE q.x <> p.x OR q.y <> p.y),
 turned AS (SELECT DISTINCT {key}, CASE WHEN dx > 0 AND dy >= 0 THEN dx WHEN dx <= 0 AND dy > 0 THEN dy WHEN dx < 0 AND dy <= 0 THEN -dx ELSE -dy END AS ux, CASE WHEN dx > 0 AND dy >= 0 THEN dy WHEN dx <= 0 AND dy > 0 THEN -dx WHEN dx < 0 AND dy <= 0 THEN -dy ELSE dx END AS uy FROM dir),
 extent AS (SELECT {p}, ux, uy, max(p.x * ux + p.y * uy) - min(p.x * ux + p.y * uy) AS w, max(p.y * ux - p.x * uy) - min(p.y * ux - p.x * uy) AS h FROM {points} p JOIN turned t ON {on('p', 't')} GROUP BY ALL),
-tried AS (SELECT {key}, w * h * 1.0 / (ux * ux + uy * uy) AS box, degrees(atan2(uy, ux)) AS turn, w / sqrt(ux * ux + uy * uy) AS w, h / sqrt(ux * ux + uy * uy) AS h FROM extent),
-rect AS (SELECT {key}, arg_min({{'w': w, 'h': h, 'turn': turn}}, [box, turn]) AS r FROM tried GROUP BY {key})"""
+tried AS (SELECT {key}, w * h * 1.0 / (ux * ux + uy * uy) AS box, degrees(atan2(uy, ux)) AS turn, w / sqrt(ux * ux + uy * uy) AS w, h / sqrt(ux * ux + uy * uy) AS h, greatest(w, h) / least(w, h) AS ratio FROM extent),
+rect AS (SELECT {key}, arg_min({{'w': w, 'h': h, 'turn': turn, 'box': box, 'ratio': ratio}}, [box, turn]) AS r FROM tried GROUP BY {key})"""
 
 
 _SIDES = "greatest(w, h) AS long, least(w, h) AS short, 90 - ((90 - CASE WHEN w < h THEN turn + 90 ELSE turn END) - 180.0 * floor((90 - CASE WHEN w < h THEN turn + 90 ELSE turn END) / 180.0)) AS angle"
@@ -58,8 +58,8 @@ _SIDES = "greatest(w, h) AS long, least(w, h) AS short, 90 - ((90 - CASE WHEN w
 
 @query(f"""WITH RECURSIVE {_REGIONS}, {_AREAS}, ends AS MATERIALIZED (SELECT frame, label, y, min(x) AS x FROM region GROUP BY 1, 2, 3 UNION SELECT frame, label, y, max(x) FROM region GROUP BY 1, 2, 3),
 {_box_sql('ends', 'frame, label')}, b AS (SELECT frame, label, count(*) AS pixels, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM region GROUP BY 1, 2),
-j AS (SELECT b.*, area, coalesce(r.w, 0.0) AS w, coalesce(r.h, 0.0) AS h, coalesce(r.turn, 0.0) AS turn FROM b JOIN areas USING (frame, label) LEFT JOIN rect USING (frame, label)),
-s AS (SELECT *, {_SIDES}, area / greatest(w * h, 1.0) AS fill, greatest(w, h) / greatest(least(w, h), 1.0) AS aspect FROM j)
+j AS (SELECT b.*, area, coalesce(r.w, 0.0) AS w, coalesce(r.h, 0.0) AS h, coalesce(r.turn, 0.0) AS turn, coalesce(r.box, 0.0) AS box, r.ratio AS ratio FROM b JOIN areas USING (frame, label) LEFT JOIN rect USING (frame, label)),
+s AS (SELECT *, {_SIDES}, area / greatest(box, 1.0) AS fill, CASE WHEN least(w, h) >= 1 THEN ratio ELSE greatest(w, h) END AS aspect FROM j)
 SELECT frame, label, pixels, area, x0, y0, x1, y1, {', '.join(f'{_r(c)} AS "{c}"' for c in ('long', 'short', 'angle', 'fill', 'aspect'))}, {_r('long * least(fill, 1.0)')} AS length,
   area >= 0.01 * 256 AND long >= 2.5 AND short >= 1.0 AND x0 < 14 AND x1 > 2 AND y0 < 12 AND y1 > 2 AND NOT ((x0 <= 1 OR y0 <= 1 OR x1 >= 15 OR y1 >= 15) AND (x1 - x0 > 16 * 0.9 OR y1 - y0 > 16 * 0.9))
   AND fill >= 0.35 AND aspect >= 1.2 AND abs(angle) <= 50 AS accepted FROM s""")
