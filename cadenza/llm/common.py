@@ -16,6 +16,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes that a Python worker is handed at a time; Spark's own default is 64 MB.
 BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Whether a query's shuffle files go when it ends; by default they stay until the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,10 +69,15 @@ def purge(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage
-    ends there, and a lost executor costs no recomputation."""
+    ends there, a lost executor costs no recomputation, and the shuffle files that
+    led there go at once."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new query, which heeds the setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

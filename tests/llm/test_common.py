@@ -1,8 +1,10 @@
 """Scratch tables and the folder they go to."""
 
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import common
 from cadenza.streaming import run
@@ -26,3 +28,17 @@ def test_a_cluster_needs_a_shared_folder(folder):
         folder(cluster)
     there = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "hdfs://x/y/"), sparkContext=None)
     assert folder(there) == "hdfs://x/y"
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = held()
+    out = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 7
