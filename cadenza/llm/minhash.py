@@ -88,7 +88,7 @@ def signatures(width: int, fold):
     return run
 
 
-def _sets(width: int):
+def sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"cls": b["cls"], "found": [shingles(t, width).tobytes() for t in b["text"]]})
@@ -120,9 +120,9 @@ def close(left: str, right: str):
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of (a, b) those whose sets are alike; texts(cls, text) has every class."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = materialize(texts.join(ends, "cls", "left_semi").mapInPandas(_sets(width), "cls long, found binary"), "minhash-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a")
-    both = both.join(sets.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
+    found = materialize(texts.join(ends, "cls", "left_semi").mapInPandas(sets(width), "cls long, found binary"), "minhash-sets")
+    both = pairs.join(found.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a")
+    both = both.join(found.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
     done = materialize(both.mapInPandas(_decided(least), "a long, b long"), "minhash-links")
-    discard(sets)
+    discard(found)
     return done

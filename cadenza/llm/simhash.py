@@ -37,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import clumps, minhash
 from .common import discard, id_text, materialize, partitions, with_id
 from .components import components
+from .forest import Forest
 
 SEGMENTS = 32
 CELL = 20_000
@@ -148,44 +149,11 @@ def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(two).astype(np.int64)
 
 
-class _Forest:
-    """Union-find over row numbers; remembers the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while True:
-            nxt = up[up]
-            if (nxt == up).all():
-                self.up = up
-                return up
-            up = nxt
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        root = self.roots()
-        new = root[i] != root[j]
-        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
-            ra, rb = self.find(a), self.find(b)
-            if ra != rb:
-                self.up[max(ra, rb)] = min(ra, rb)
-                self.links.append((a, b))
-
-
 def link_runs(key: np.ndarray, fp: np.ndarray, distance: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the rows of equal key (rows sorted by key) that lie
     within `distance` bits. With `side`, only pairs of unlike side count."""
     n = len(key)
-    forest = _Forest(n)
+    forest = Forest(n)
     e, x = embed(fp), fp.view(np.uint64)
     at = np.arange(n)
     shift = 1
@@ -321,9 +289,10 @@ def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = mi
     Classes of equal sets are tested in three steps: against the least class of
     their fullest cell and their fingerprint's neighbours; then, where a cell
     still holds several components, one class of each against one of the most
-    frequent; then all pairs of unlike components that share a cell. So a group
-    of near-equal texts costs its size, not its pairs, and none of the links that
-    decide a component is left out."""
+    frequent; then all pairs of unlike components that share a cell, tested in
+    arrays by parts of groups (clumps.py). So a group of near-equal texts makes
+    rows by its size, not its pairs, and none of the links that decide a component
+    is left out."""
     sketch = minhash.SKETCH
     signed = materialize(rows.mapInPandas(minhash.signatures(width, majority), minhash.SIGNED), "simhash-rows")
     classes = materialize(signed.groupBy("cls").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in (*sketch, "cells")]), "simhash-classes")
@@ -363,13 +332,9 @@ def similar_texts(rows: DataFrame, width: int = minhash.WIDTH, least: float = mi
     roots = _joined_roots(roots, minhash.verified(heads, texts, width, least))
 
     named, _, major = rooted()
-    mixed = materialize(named.join(major.select("cell", F.col("major.root").alias("major")), "cell").join(sketches, "cls"), "simhash-mixed")
-    x, y = mixed.filter("root <> major").alias("x"), mixed.alias("y")
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & minhash.close("x", "y"))
-    met = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    rest = materialize(met.join(stars, ["a", "b"], "left_anti").join(heads, ["a", "b"], "left_anti"), "simhash-rest")
-    whole = _joined_roots(roots, minhash.verified(rest, texts, width, least))
-    for df in (shared, prints, stars, heads, mixed, rest):
+    mixed = materialize(named.join(major.select("cell"), "cell").join(sketches, "cls"), "simhash-mixed")
+    whole = _joined_roots(roots, clumps.links(mixed, texts, width, least))
+    for df in (shared, prints, stars, heads, mixed):
         discard(df)
     return signed.select("row", "cls").join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("row", F.coalesce("root", "cls").alias("component"))
 
