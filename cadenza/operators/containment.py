@@ -1,32 +1,55 @@
 """Points in quadrilaterals, by grid cells.
 
-A quadrilateral stands in the cells its box covers, a point in its own; they
-meet in an equi-join on (key, cell) and are tested exactly. Large quadrilaterals
-take coarser cells: each has the level at which its box covers few cells, and a
-point looks at one cell of each level in use. So no quadrilateral is spread over
-more than COVER cells, and none meets points outside of its cells.
+A quadrilateral stands in the cells it touches, a point in its own; they meet in
+an equi-join on (key, cell) and are tested exactly. Large quadrilaterals take
+coarser cells: each has the level at which its box covers few cells, and a point
+looks at one cell of each level in use. So no quadrilateral is spread over more
+than (COVER + 1)^2 cells, and it meets few points that it doesn't hold: the pairs
+tried grow with the pairs found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells along each side of a box at most, less one.
 COVER = 4
 
+#: The corners in plain columns: with an array's entries the join's generated
+#: method is too long for the JVM to compile (8,000 bytes), 18 us for a pair.
+_CORNERS = [(f"__x{i}", f"__y{i}") for i in range(4)]
+
+
+def _edges() -> list[tuple[Column, Column, Column, Column]]:
+    """x and y of each edge's start, and its direction."""
+    at = [(F.col(x), F.col(y)) for x, y in _CORNERS]
+    return [(px, py, qx - px, qy - py) for (px, py), (qx, qy) in zip(at, at[1:] + at[:1], strict=True)]
+
 
-def inside(x: Column, y: Column, quad: Column) -> Column:
+def _all(conditions: list[Column]) -> Column:
+    return reduce(Column.__and__, conditions)
+
+
+def inside(x: Column, y: Column) -> Column:
     """Within a convex quadrilateral or on its edge, in whichever direction its
     corners go."""
-    turns = []
-    for i in range(4):
-        p, q = quad[i], quad[(i + 1) % 4]
-        turns.append((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
-    left, right = F.lit(True), F.lit(True)
-    for t in turns:
-        left, right = left & (t >= 0), right & (t <= 0)
-    return left | right
+    turns = [dx * (y - py) - dy * (x - px) for px, py, dx, dy in _edges()]
+    return _all([t >= 0 for t in turns]) | _all([t <= 0 for t in turns])
+
+
+def _touches(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """False only where inside() is at no place of the cell: each turn's extremes
+    are at corners of the cell, also as rounded, since each step of it is
+    monotonic."""
+    most, least = [], []
+    for px, py, dx, dy in _edges():
+        ahead, up = dx >= 0, dy >= 0
+        most.append(dx * (F.when(ahead, y1).otherwise(y0) - py) - dy * (F.when(up, x0).otherwise(x1) - px))
+        least.append(dx * (F.when(ahead, y0).otherwise(y1) - py) - dy * (F.when(up, x1).otherwise(x0) - px))
+    return _all([t >= 0 for t in most]) | _all([t <= 0 for t in least])
 
 
 def points_in_quads(points: DataFrame, quads: DataFrame, key: list[str], quad: str = "quad", x: str = "x", y: str = "y") -> DataFrame:
@@ -34,15 +57,26 @@ def points_in_quads(points: DataFrame, quads: DataFrame, key: list[str], quad: s
     the same key that hold them. Their other columns have different names. A
     null or NaN place is in none; a quadrilateral without extent holds the points
     on it."""
-    xs, ys = F.transform(quad, lambda p: p["x"]), F.transform(quad, lambda p: p["y"])
-    box = {"__x0": F.array_min(xs), "__x1": F.array_max(xs), "__y0": F.array_min(ys), "__y1": F.array_max(ys)}
-    good = quads.withColumns(box).filter(F.forall(quad, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])))
-    extent = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-9))
+    names = [c for pair in _CORNERS for c in pair]
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    # exploded: its value, in place of a copy of its expression for each use
+    good = quads.withColumn("__quad", F.explode(F.array(quad)))
+    good = good.withColumns({c: F.col("__quad")[i][a] for i, pair in enumerate(_CORNERS) for c, a in zip(pair, "xy", strict=True)}).drop("__quad").filter(_all([there(c) for c in names]))
+    xs, ys = names[::2], names[1::2]
+    low = {"x": F.least(*xs), "y": F.least(*ys)}
+    high = {"x": F.greatest(*xs), "y": F.greatest(*ys)}
+    extent = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1e-9))
     good = good.withColumn("__level", F.ceil(F.log2(extent / COVER)).cast("int"))
     side = F.pow(F.lit(2.0), F.col("__level"))
-    cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    spread = good.withColumn("__cx", F.explode(F.sequence(cell("__x0"), cell("__x1")))).withColumn("__cy", F.explode(F.sequence(cell("__y0"), cell("__y1"))))
+    cell = lambda c: F.floor(c / side).cast("long")
+    spread = good.withColumn("__side", side)
+    for a in "xy":
+        spread = spread.withColumn(f"__c{a}", F.explode(F.sequence(cell(low[a]), cell(high[a]))))
+    bounds = [(F.col(f"__c{a}") + k) * F.col("__side") for a in "xy" for k in (0, 1)]
+    spread = spread.filter(_touches(*bounds)).drop("__side")
     levels = good.select(*key, "__level").distinct()
-    here = points.join(levels, key).filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).withColumns({"__cx": cell(x), "__cy": cell(y)})
-    met = here.join(spread, [*key, "__level", "__cx", "__cy"]).filter(F.col(x).between(F.col("__x0"), F.col("__x1")) & F.col(y).between(F.col("__y0"), F.col("__y1")) & inside(F.col(x), F.col(y), F.col(quad)))
-    return met.drop("__level", "__cx", "__cy", *box)
+    here = points.filter(there(x) & there(y)).join(levels, key).withColumns({"__cx": cell(F.col(x)), "__cy": cell(F.col(y))})
+    px, py = F.col(x), F.col(y)
+    # The points of a cell are the few that a merge keeps for each row.
+    met = spread.join(here, [*key, "__level", "__cx", "__cy"]).filter(px.between(low["x"], high["x"]) & py.between(low["y"], high["y"]) & inside(px, py))
+    return met.select(*key, *[c for c in points.columns if c not in key], *[c for c in quads.columns if c not in key])

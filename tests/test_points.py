@@ -1,6 +1,7 @@
 """Spaced points and points in quadrilaterals against plain Python."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,53 @@ def test_points_in_quads_of_all_sizes(spark):
             if g == h and min(a for a, _ in c) <= x <= max(a for a, _ in c) and min(b for _, b in c) <= y <= max(b for _, b in c):
                 want.add((k, i))
     assert got == want and (90, 900) in got and (91, 901) in got and (91, 902) not in got
+
+
+def turned_quads(n):
+    """Convex ones in any position, thin and wide, a third of them mirrored, on
+    whole numbers: many edges and corners are on points or on cells' sides."""
+    rng = random.Random(9)
+    out = []
+    while len(out) < n:
+        p = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(4)]
+        turns = [(p[(i + 1) % 4][0] - p[i][0]) * (p[(i + 2) % 4][1] - p[i][1]) - (p[(i + 1) % 4][1] - p[i][1]) * (p[(i + 2) % 4][0] - p[i][0]) for i in range(4)]
+        if all(t > 0 for t in turns) or all(t < 0 for t in turns) and len(out) % 3 == 0:
+            out.append([(float(x), float(y)) for x, y in p])
+    return out
+
+
+def tables(spark, quads, points):
+    q = spark.createDataFrame([(k % 2, k, [{"x": x, "y": y} for x, y in p]) for k, p in enumerate(quads)], "g long, k long, quad array<struct<x:double,y:double>>")
+    return spark.createDataFrame([(i % 2, i, x, y) for i, (x, y) in enumerate(points)], "g long, i long, x double, y double"), q
+
+
+def test_points_in_turned_quads_and_on_their_edges(spark):
+    rng = random.Random(2)
+    quads = turned_quads(80) + [[(-32.0, -32.0), (32.0, 32.0), (32.0, 32.0), (-32.0, -32.0)], [(0.0, 0.0), (0.0, 0.0), (8.0, 0.0), (8.0, 8.0)]]
+    points = [(float(rng.randint(-40, 40)), float(rng.randint(-40, 40))) for _ in range(1200)]
+    p, q = tables(spark, quads, points)
+    got = [(r.k, r.i) for r in points_in_quads(p, q, ["g"]).collect()]
+    want = set()
+    for k, c in enumerate(quads):
+        for i, (x, y) in enumerate(points):
+            t = [(c[(n + 1) % 4][0] - c[n][0]) * (y - c[n][1]) - (c[(n + 1) % 4][1] - c[n][1]) * (x - c[n][0]) for n in range(4)]
+            boxed = min(a for a, _ in c) <= x <= max(a for a, _ in c) and min(b for _, b in c) <= y <= max(b for _, b in c)
+            if k % 2 == i % 2 and boxed and (all(v >= 0 for v in t) or all(v <= 0 for v in t)):
+                want.add((k, i))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_points_in_quads_join_is_compiled(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    p, q = tables(spark, turned_quads(20), [(1.0, 1.0)])
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        points_in_quads(p, q, ["g"]).select("g", "i", "k").explain("codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
