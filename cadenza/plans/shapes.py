@@ -153,10 +153,10 @@ _TURNS = [_side(a, b) for a, b in (("tl", "tr"), ("tr", "br"), ("br", "bl"), ("b
 
 
 @query(f"""WITH {_POINTS}, {_ORDERED} SELECT p.vec_id % 50 AS frame, p.vec_id AS point_of, p.i, o.vec_id AS quad_of, o.q FROM pts p JOIN ordered o ON o.vec_id % 50 = p.vec_id % 50
-  WHERE p.i < 4 AND (({" AND ".join(f"{t} >= 0" for t in _TURNS)}) OR ({" AND ".join(f"{t} <= 0" for t in _TURNS)}))""")
+  WHERE ({" AND ".join(f"{t} >= 0" for t in _TURNS)}) OR ({" AND ".join(f"{t} <= 0" for t in _TURNS)})""")
 def points_in_quads(spark, d):
     """Which quadrilaterals of a frame hold which of its points."""
-    points = _points(spark, d).filter("i < 4").select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("point_of"), "i", "x", "y")
+    points = _points(spark, d).select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("point_of"), "i", "x", "y")
     quads = _quads(spark, d).select((F.col("vec_id") % 50).alias("frame"), F.col("vec_id").alias("quad_of"), "q", "quad")
     return C.points_in_quads(points, quads, ["frame"]).select("frame", "point_of", "i", "quad_of", "q")
 

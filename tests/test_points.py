@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cadenza.operators.containment import points_in_quads
 from cadenza.operators.spacing import spaced_points
+from cadenza.plans import catalogue
 
 
 def greedy(points, distance, most):
@@ -108,3 +110,19 @@ def test_points_in_quads_join_is_compiled(spark, capsys):
             spark.conf.set(k, v)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000
+
+
+def test_points_in_quads_tries_every_point(spark, tmp_path):
+    """All 32 points of each vector, by the query and by its SQL."""
+    rng = random.Random(12)
+    square = [0.5 * s for s in (-1, -1, 1, -1, 1, 1, -1, 1)]
+    vectors = {k: [rng.uniform(-0.4, 0.4) for _ in range(64)] for k in (0, 1, 50, 100)}
+    vectors[0][:8] = square
+    rows = [(k, v, 0) for k, v in vectors.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    order = ["frame", "point_of", "i", "quad_of", "q"]
+    got = [tuple(r[c] for c in order) for r in catalogue.queries()["points_in_quads"](spark, str(tmp_path)).collect()]
+    by_sql = duckdb.sql(f"SELECT {', '.join(order)} FROM ({catalogue.oracle_sql()['points_in_quads'].replace('FROM embeddings', f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")})").fetchall()
+    assert len(got) == len(set(got)) and sorted(got) == sorted(by_sql)
+    # The square holds all points of its frame, and of no other.
+    assert {r[1:3] for r in got if r[3:] == (0, 0)} == {(k, i) for k in (0, 50, 100) for i in range(32)}
